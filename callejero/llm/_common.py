@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import let_workers_import
+
 #: Most rows of a side table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -44,4 +46,4 @@ def with_broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return let_workers_import(spark).read.parquet(f"{sf_dir}/{name}.parquet")

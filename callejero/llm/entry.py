@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from .decontamination import OP2_SQL, op2_decontamination
+from .quality_rules import OP7_SQL, op7_quality_rules
 from .sharding import op4_sharding
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
+    "op7_quality_rules": op7_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op7_quality_rules": OP7_SQL,
+}
