@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
+from .mixing import op3_mixing
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .sharding import op4_sharding
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op7_quality_rules": op7_quality_rules,
 }
