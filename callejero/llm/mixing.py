@@ -9,10 +9,11 @@ by the pivotal method. Two documents with fractions p and q pass mass between th
 0 or 1; the other goes on to meet the next. Documents are met in order of size, so mass moves between
 documents of like size and the words taken stay near the target. The reduction is a tree: leaves are
 (source, size class, hash bucket), streamed in sorted order with one open document in memory; the open
-documents of all leaves meet by (source, size class), then by source. Documents with over 1 / `heavy` of
-their source's words, of which a source has fewer than `heavy`, join only at this root. There few documents
-of unlike sizes meet, so the outcome that brings the source's words nearer its target is taken in place of a
-draw, largest documents first. A hot source is spread over all its classes and buckets.
+documents of all leaves meet by (source, size class); the open documents of all classes meet at the root of
+their source. Documents with over 1 / `heavy` of their source's words, of which a source has fewer than
+`heavy`, join only at this root. There few documents of unlike sizes are left, and a draw could miss the
+target by one of the largest, so they are rounded, largest first, to the side that keeps the source's words
+nearer its target. A hot source is spread over all its classes and buckets.
 
 Draws are hashes of the ids involved, so reruns agree. Null texts have size 0. Repeated rows are separate
 documents that share their draws' ids. An empty table gives an empty result.
@@ -68,13 +69,13 @@ def _reducer(level: int):
     """A function over sorted rows that lets the documents of each leaf meet; one open document is held.
 
     Decided documents get _p 0 or 1, the open one keeps a fraction. At the root (level 2) `_off`, the words
-    by which the source is above its target so far, decides in place of the draw, the last document included.
+    by which the source is above its target so far, decides in place of meetings and draws.
     """
 
-    def settle(row: dict, off: float) -> dict:
-        if level == 2 and EPS <= row["_p"] <= 1 - EPS:
-            row["_p"] = 1.0 if abs(off + row["size"] * (1 - row["_p"])) < abs(off - row["size"] * row["_p"]) else 0.0
-        return row
+    def settle(row: dict, off: float) -> float:
+        up, down = row["size"] * (1 - row["_p"]), -row["size"] * row["_p"]
+        row["_p"] = 1.0 if abs(off + up) < abs(off + down) else 0.0
+        return off + (up if row["_p"] else down)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, held, off = None, None, 0.0
@@ -83,39 +84,48 @@ def _reducer(level: int):
             schema = batch.schema
             out = []
             keys = list(zip(*[batch.column(k).to_pylist() for k in ("_source", "_class", "_bucket")[: 3 - level]], strict=True))
-            rows = batch.to_pylist()
-            for key, row in zip(keys, rows, strict=True):
+            for key, row in zip(keys, batch.to_pylist(), strict=True):
                 if key != leaf:
                     if held:
-                        out.append(settle(held, off))
+                        out.append(held)
                     leaf, held, off = key, None, row["_off"]
                 if row["_p"] < EPS or row["_p"] > 1 - EPS:
                     row["_p"] = float(round(row["_p"]))
                     out.append(row)
+                elif level == 2:
+                    off = settle(row, off)
+                    out.append(row)
                 elif held is None:
                     held = row
                 else:
-                    p, q = held["_p"], row["_p"]
-                    if level < 2:
-                        held["_p"], row["_p"] = pivot(p, q, _draw(level, held["_id"], row["_id"]))
-                    else:
-                        gain = lambda x, m=held["size"], n=row["size"], p=p, q=q: m * (x[0] - p) + n * (x[1] - q)
-                        held["_p"], row["_p"] = best = min(pivot(p, q, 0.0), pivot(p, q, 1.0), key=lambda x: abs(off + gain(x)))
-                        off += gain(best)
-                    going = [r for r in (held, row) if EPS <= r["_p"] <= 1 - EPS]
-                    for r in (held, row):
-                        if r not in going:
+                    held["_p"], row["_p"] = pivot(held["_p"], row["_p"], _draw(level, held["_id"], row["_id"]))
+                    meeting, held = (held, row), None
+                    for r in meeting:
+                        if EPS <= r["_p"] <= 1 - EPS:
+                            held = r
+                        else:
                             r["_p"] = float(round(r["_p"]))
                             out.append(r)
-                    held = going[0] if going else None
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         if held:
-            yield pa.RecordBatch.from_pylist([settle(held, off)], schema=schema)
+            yield pa.RecordBatch.from_pylist([held], schema=schema)
 
     return reduce
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, buckets: int = 64, heavy: int = 200) -> DataFrame:
+def off_target(parts: list[DataFrame]) -> DataFrame:
+    """_source and _off: expected words of all documents, as decided so far, above the target."""
+    words = F.sum(F.col("size") * F.col("_p"))
+    first = [F.first(c).alias(c) for c in ("source_size", "target", "_whole")]
+    sums = [p.groupBy("_source").agg(words.alias("_part"), *first) for p in parts]
+    every = sums[0]
+    for s in sums[1:]:
+        every = every.unionByName(s)
+    above = F.sum("_part") + F.first("_whole") * F.first("source_size") - F.first("target")
+    return stored(every.groupBy("_source").agg(above.alias("_off")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, buckets: int = 64, heavy: int = 50) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every row of docs."""
     sized = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
     targets = stored(source_targets(sized, weights, cap)).withColumnRenamed("source", "_s")
@@ -134,18 +144,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
         F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int").alias("_class"),
         F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("_bucket"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
+        F.lit(0.0).alias("_off"),
     )
-    rows = rows.withColumn("_off", F.lit(0.0))
     is_heavy = F.col("size") * heavy > F.col("source_size")
     late, rows = rows.where(is_heavy), rows.where(~is_heavy)
     done: list[DataFrame] = []
     for level, keys in enumerate((["_source", "_class", "_bucket"], ["_source", "_class"], ["_source"])):
         if level == 2:
             rows = rows.unionByName(late)
-            words = F.sum(F.col("size") * F.col("_p"))
-            parts = [df.groupBy("_source").agg(words.alias("_part"), F.first("source_size").alias("_n"), F.first("target").alias("_t"), F.first("_whole").alias("_k")) for df in (*done, rows)]
-            off = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("_source")
-            off = stored(off.agg((F.sum("_part") + F.first("_k") * F.first("_n") - F.first("_t")).alias("_off")))
+            off = off_target([*done, rows])
             rows = rows.drop("_off").join(with_broadcast_if_small(off), "_source").select(*rows.columns)
         order = [*keys, F.col("size").desc() if level == 2 else F.col("size"), "_id"]
         met = stored(rows.repartition(*keys).sortWithinPartitions(*order).mapInArrow(_reducer(level), rows.schema))
