@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
 from .mixing import op3_mixing
+from .near_dedup import op9_near_dedup
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .sharding import op4_sharding
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
