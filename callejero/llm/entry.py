@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
+from .language_id import op1_language_id
 from .mixing import op3_mixing
 from .near_dedup import op9_near_dedup
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .sharding import op4_sharding
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
