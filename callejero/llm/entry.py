@@ -6,6 +6,7 @@ from .decontamination import OP2_SQL, op2_decontamination
 from .language_id import op1_language_id
 from .mixing import op3_mixing
 from .near_dedup import op9_near_dedup
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .sharding import op4_sharding
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
