@@ -9,12 +9,14 @@ from .near_dedup import op9_near_dedup
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .sharding import op4_sharding
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
@@ -22,5 +24,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
 }
