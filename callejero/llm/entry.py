@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
+from .html_extraction import op8_html_extraction
 from .language_id import op1_language_id
 from .mixing import op3_mixing
 from .near_dedup import op9_near_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_extraction": op8_html_extraction,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
