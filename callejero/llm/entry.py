@@ -7,6 +7,7 @@ from .html_extraction import op8_html_extraction
 from .language_id import op1_language_id
 from .mixing import op3_mixing
 from .near_dedup import op9_near_dedup
+from .pii import op5_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .sharding import op4_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
