@@ -144,7 +144,7 @@ def shard_plan(
 
 
 def with_shards(docs: DataFrame, **options) -> DataFrame:
-    """docs with shard and slot; rows are matched by doc_id, CRC of the text and their number among such rows."""
+    """docs with shard and slot (columns of these names are replaced); rows are matched by doc_id, CRC of the text and their number among such rows."""
     plan = shard_plan(docs, **options)
     key = ["doc_id", "_crc", "_copy"]
     copy = F.row_number().over(Window.partitionBy("doc_id", "_crc").orderBy(F.lit(0)))
