@@ -7,8 +7,8 @@ Bands of `rows` coordinates are keys of buckets. At similarity 0.8 two sets miss
 chance of 5e-7.
 
 Links are found in rounds that never write all pairs of a bucket. In each of the first two rounds every
-bucket compares its members with one leader only (the least class key, then one drawn by hash); pairs are
-confirmed on the full sets of shingle hashes, and confirmed links are joined to components. Members of a
+bucket compares its members with one leader only (the least class key, then one drawn by hash, for those
+that are not in its component yet); pairs are confirmed on the full sets of shingle hashes, and confirmed links are joined to components. Members of a
 bucket that are in one component by then need no further test. Members of buckets that still hold several
 components are compared across components by an exact prefix-filtered join, which leaves out pairs that
 cannot link and pairs already tested.
@@ -193,27 +193,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     verifier = _Verifier(docs, classes.drop("_bands"), width, percent)
 
     tested: DataFrame | None = None
-    links: DataFrame | None = None
-    sizes = classes.select(F.col("_class").alias("_leader"), F.col("_size").alias("_other"))
+    root: DataFrame | None = None
+    sizes = classes.select(F.col("_class").alias("b"), F.col("_size").alias("_other"))
 
     def take(pairs: DataFrame) -> DataFrame:
-        """Confirm new pairs, and return the components so far."""
-        nonlocal tested, links
+        """Confirm new pairs, and return the components so far; only links between components are followed up."""
+        nonlocal tested
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        found = verifier.confirm(pairs)
-        links = found if links is None else links.union(found)
-        return stored(components(links))
+        links = verifier.confirm(pairs)
+        if root is None:
+            return stored(components(links))
+        links = _with_root(_with_root(links, root, "a", "_ra"), root, "b", "_rb").select(F.col("_ra").alias("a"), F.col("_rb").alias("b")).where("a != b")
+        joined = stored(components(links))
+        moved = root.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+        return stored(moved.unionByName(joined.join(root.select("node"), "node", "left_anti").select("node", "root")))
 
-    root: DataFrame | None = None
     for leader in ("_first", "_drawn"):
-        rest = entries if root is None else _open_entries(entries, root)
-        pairs = rest.where(F.col("_class") != F.col(leader)).select(F.col("_class").alias("a"), F.col(leader).alias("b"), "_size").distinct()
-        pairs = pairs.join(sizes.withColumnRenamed("_leader", "b"), "b").where(_may_link(F.col("_size"), F.col("_other"), percent))
-        root = take(pairs)
+        if root is None:
+            rest = entries.where(F.col("_class") != F.col(leader))
+        else:
+            rest = _with_root(_open_entries(entries, root), root, leader, "_leading").where("_root != _leading")
+        pairs = rest.select(F.col("_class").alias("a"), F.col(leader).alias("b"), "_size").distinct().join(sizes, "b")
+        root = take(pairs.where(_may_link(F.col("_size"), F.col("_other"), percent)))
     open_ = stored(_open_entries(entries, root).groupBy("_class").agg(F.first("_size").alias("_size"), F.first("_root").alias("_root")))
     root = take(_prefix_pairs(open_, verifier.sets(open_.select("_class")), percent))
 
@@ -225,9 +230,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _with_root(df: DataFrame, root: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the component of the class in a column; a class without links is its own."""
+    side = root.select(F.col("node").alias(column), F.col("root").alias(name))
+    return df.join(side, column, "left").withColumn(name, F.coalesce(name, column))
+
+
 def _open_entries(entries: DataFrame, root: DataFrame) -> DataFrame:
     """Entries of buckets that hold more than one component, with their component."""
-    named = entries.join(root.withColumnRenamed("node", "_class"), "_class", "left").withColumn("_root", F.coalesce("root", "_class")).drop("root")
+    named = _with_root(entries, root, "_class", "_root")
     mixed = named.groupBy("_bucket").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo != _hi").select("_bucket")
     return named.join(mixed, "_bucket", "left_semi")
 
