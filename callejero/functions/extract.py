@@ -15,7 +15,8 @@ ZONE_PREFIX = r"URBANIZACION|URB\.?|PUEBLO JOVEN|P\.J\.|PJ|A\.H\.|AH|ASENTAMIENT
 
 
 def _get(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, f"(?U){pattern}", group)), F.lit(""))
+    """The group of the first match, null without one; the text is evaluated once."""
+    return F.trim(F.get(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(group)), F.lit(0)))
 
 
 def street_type(text: Column) -> Column:
@@ -88,7 +89,7 @@ def zone_name(text: Column) -> Column:
     behind = _get(text, rf"\b(?:{ZONE_PREFIX})\s+([^,;()-]+?)(?=\s+(?:{STREET_PREFIX}|MZ|LT|LOTE|MANZANA|BLOCK|BLOQUE|BLQ|TORRE|DPTO|DEP|PISO|REF)\b|,|;|\(|\s*-|$)")
     name = F.coalesce(F.when(~before.isin(lx.CITIES), before), behind)
     name = squeeze(F.regexp_replace(name, r"(?U)\s+(?:CHICLAYO|LAMBAYEQUE|FERRENAFE)$", ""))
-    return F.coalesce(F.nullif(name, F.lit("")), F.when(text.rlike(r"(?U)\bCERCADO\b"), F.lit("CERCADO DE CHICLAYO")))
+    return F.coalesce(name, F.when(text.rlike(r"(?U)\bCERCADO\b"), F.lit("CERCADO DE CHICLAYO")))
 
 
 def zone_type(text: Column) -> Column:

@@ -71,10 +71,8 @@ def name_index(catalog: DataFrame, id_col: str, name_col: str, unique: bool = Fa
     return index
 
 
-def cascade_keys(text: Column) -> Column:
-    """The keys under which a name is looked up, in order."""
-    clean = sanitize(text)
-    bare = F.trim(F.regexp_replace(clean, _PREFIX, ""))
+def cascade_keys(clean: Column, bare: Column) -> Column:
+    """The keys under which a cleaned name, and the same without prefix, is looked up, in order."""
     return F.array(clean, remove_accents(clean), bare, remove_accents(bare), normalize_variants(bare))
 
 
@@ -89,12 +87,11 @@ def match_exact(queries: DataFrame, index: DataFrame, id_col: str, text: str = "
     The first key that is in the index decides; among its rows the sector counts first, then the type, then
     condition F, then the order of ids.
     """
-    clean = sanitize(F.col(text))
-    keys = F.transform(cascade_keys(F.col(text)), lambda k, i: F.struct(i.alias("step"), k.alias("key")))
-    kind = F.coalesce(F.col(hint) if hint else F.lit(None).cast("int"), inferred_type(clean))
-    each = queries.withColumn("_type", kind).withColumn("_k", F.explode(keys)).withColumn("_step", F.col("_k.step")).withColumn("key", F.col("_k.key")).where("key != ''")
-    bare = F.trim(F.regexp_replace(clean, _PREFIX, ""))
-    each = each.where(~(bare.isin(lx.CITIES) & F.col("_type").isNull()))
+    each = queries.withColumn("_clean", sanitize(F.col(text))).withColumn("_bare", F.trim(F.regexp_replace("_clean", _PREFIX, "")))
+    keys = F.transform(cascade_keys(F.col("_clean"), F.col("_bare")), lambda k, i: F.struct(i.alias("step"), k.alias("key")))
+    kind = F.coalesce(F.col(hint) if hint else F.lit(None).cast("int"), inferred_type(F.col("_clean")))
+    each = each.withColumn("_type", kind).where(~(F.col("_bare").isin(lx.CITIES) & F.col("_type").isNull()))
+    each = each.withColumn("_k", F.explode(keys)).withColumn("_step", F.col("_k.step")).withColumn("key", F.col("_k.key")).where("key != ''")
     found = each.join(index.select("key", F.col(id_col).alias("_match"), *[F.col(c).alias(f"_{c}") for c in ("sector", "condicion", "id_tipo_via") if c in index.columns]), "key")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     same_sector = flag(F.arrays_overlap(F.split(F.regexp_replace(F.col(sector), ",", " "), " +"), F.split(F.regexp_replace(F.col("_sector"), ",", " "), " +"))) if sector and "_sector" in found.columns else F.lit(0)

@@ -92,7 +92,7 @@ def validate(df: DataFrame, text: str = "clean", key: str = "id", threshold: flo
 
 def veto(df: DataFrame) -> DataFrame:
     """V6: what is not valid becomes observed, with its score in the method."""
-    why = F.concat(F.lit("SIMILITUD_INSUFICIENTE ("), F.format_string("%.1f", F.col("score") * 100), F.lit("%)"))
+    why = F.concat(F.lit("SIMILITUD_INSUFICIENTE ("), F.format_string("%.1f", F.col("score").cast("double") * 100), F.lit("%)"))
     lost = F.col("es_procesado") & ~F.col("valid")
     df = df.withColumn("reasons", F.when(lost, F.array_append("reasons", why)).otherwise(F.col("reasons")))
     return settle(df.withColumn("metodo", F.when(lost, F.concat_ws(" ", "metodo", why)).otherwise(F.col("metodo"))))

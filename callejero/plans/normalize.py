@@ -21,8 +21,9 @@ def extract_fields(texts: DataFrame) -> DataFrame:
     t = F.col("clean")
     df = with_complexity(texts.withColumn("id", F.xxhash64("clean")), "clean")
     df = df.withColumn("nom_zona", ex.zone_name(t)).withColumn("nom_via", F.coalesce(ex.street_name(t), ex.date_street(t, F.col("nom_zona"))))
+    df = df.withColumn("_ref", ex.reference(t))
     shop = ex.is_shop(F.col("nom_via"))
-    df = df.withColumn("referencia", capped(F.coalesce(ex.reference(t), F.when(shop, F.col("nom_via"))), "referencia")).withColumn("nom_via", F.when(~shop, capped(F.col("nom_via"), "nom_via")))
+    df = df.withColumn("referencia", capped(F.coalesce("_ref", F.when(shop, F.col("nom_via"))), "referencia")).withColumn("nom_via", F.when(~shop, capped(F.col("nom_via"), "nom_via"))).drop("_ref")
     return df.withColumns({
         "tipo_via": ex.street_type(t), "tipo_zona": ex.zone_type(t), "num_via": ex.house_number(t, F.col("nom_via")), "manzana": ex.block(t), "lote": ex.lot(t),
         "slote": F.lit(None).cast("string"), "piso": ex.floor_number(t), "block": ex.tower(t), "modulos": ex.units(t), "esquinas": ex.corner_names(t), "metodo": F.lit("HEURISTICA"),

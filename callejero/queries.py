@@ -293,7 +293,8 @@ _T = lambda: F.col("clean")
 field("e1_street_type", lambda: ex.street_type(_T()), r"CASE WHEN regexp_matches(clean, '\b(AV|AVENIDA|AVDA)\b') THEN 1 WHEN regexp_matches(clean, '\b(CALLE|CA|CL)\b') THEN 2 WHEN regexp_matches(clean, '\b(JR|JIRON)\b') THEN 3 WHEN regexp_matches(clean, '\b(PJE|PASAJE|PSJ)\b') THEN 4 WHEN regexp_matches(clean, '\bAL\b') THEN 5 END")
 _NAME_SQL = rf"""coalesce({_get(r"(?:^|\s)(?:AV\.|CA\.|JR\.|PJE\.|AL)\s+([A-Z .]+?)(?:\s+(?:N°|NUM|NRO|S/N|\d|\(|MZ|LT|,|-)|\s*$|\s*,|\s*-)")}, {_get(r"^CHICLAYO\s*-\s*([A-Z .-]+?)\s+(?:N°\s*)?(?:\d+|S/N)")})"""
 field("e2_street_name", lambda: ex.street_name(_T()), _NAME_SQL)
-field("e6_house_number", lambda: ex.house_number(_T(), ex.street_name(_T())), rf"CASE WHEN {_NAME_SQL} IS NOT NULL THEN CASE WHEN regexp_matches(clean, '\bS/N\b') THEN 'S/N' ELSE coalesce({_get(r'\bN°\s*(\d+)\b')}, {_get(r'^(?:AV\.|CA\.|JR\.|PJE\.|CHICLAYO -)\s+[A-Z .]+?\s+(\d+)\b')}) END END")
+_AFTER = rf"nullif(regexp_extract(substr(clean, strpos(clean, {_NAME_SQL}) + len({_NAME_SQL})), '^\s+(?:N°?\s*)?(\d+)\b', 1), '')"
+field("e6_house_number", lambda: ex.house_number(_T(), ex.street_name(_T())), rf"CASE WHEN {_NAME_SQL} IS NOT NULL THEN CASE WHEN regexp_matches(clean, '\bS/N\b') THEN 'S/N' ELSE coalesce({_get(r'\bN°\s*(\d+)\b')}, {_AFTER}) END END")
 field("e7_block", lambda: ex.block(_T()), _get(r"\bMZ\b\.?\s*([A-Z0-9]+)\b"))
 field("e7_lot", lambda: ex.lot(_T()), _get(r"\bLT\b\.?\s*([A-Z0-9]+)\b"))
 field("e8_zone_type", lambda: ex.zone_type(_T()), r"CASE WHEN regexp_matches(clean, '\bURB\b') THEN 6 END")
@@ -524,7 +525,7 @@ def _(t):
 @query("v4_coverage", f"""WITH {_CLEAN}, tok AS (SELECT src_row_id AS id, {_CANON_SQL.replace("raw_text", "clean")} AS raw, {_CANON_SQL.replace("coalesce(raw_text, '')", "'AVENIDA ' || split_part(clean, ' ', 2)")} AS norm FROM clean WHERE clean <> '' AND src_row_id % 5 = 0)
 SELECT id, round(len(list_filter(raw, lambda w: list_contains(norm, w) OR w IN ('AVENIDA', 'CALLE', 'JIRON', 'PASAJE', 'PROLONGACION', 'CARRETERA', 'AUTOPISTA'))) / len(raw), 6) AS coverage FROM tok""")
 def _(t):
-    df = clean(t).where("clean != '' and src_row_id % 5 = 0").select(F.col("src_row_id").alias("id"), "clean", F.split("clean", " ")[1].alias("nom_via"), F.lit(None).cast("string").alias("nom_zona"), F.lit(None).cast("long").alias("zona_id"), F.array().cast("array<string>").alias("esquinas"))
+    df = clean(t).where("clean != '' and src_row_id % 5 = 0").select(F.col("src_row_id").alias("id"), "clean", F.coalesce(F.get(F.split("clean", " "), F.lit(1)), F.lit("")).alias("nom_via"), F.lit(None).cast("string").alias("nom_zona"), F.lit(None).cast("long").alias("zona_id"), F.array().cast("array<string>").alias("esquinas"))
     df = df.withColumn("rebuilt", F.concat(F.lit("AVENIDA "), "nom_via"))
     return va.coverage(df).select("id", F.round("coverage", 6).alias("coverage"))
 
