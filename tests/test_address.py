@@ -29,7 +29,7 @@ def one(spark, column, **values):
         ("MIRAFLORES II ETAPA-JUDAMZ.LLOTE 11", "MZ L LOTE 11"),
         ("CHICLAYOALFREDO LAPOINT 882  INT- I", "CHICLAYO ALFREDO"),
         ("CHICLAYOALFREDO LAPOINT 882  INT- I", "INT-I"),
-        ("JR. SAENZ PEÑA00340", "PEÑA 340"),
+        ("JR. SAENZ PEÑA340", "PEÑA 340"),
     ],
 )
 def test_sanitize(spark, raw, part):
