@@ -1,7 +1,8 @@
 """Raw addresses to normalised rows, set at a time.
 
 Blank texts branch off first. All rules run once per distinct text; the catalogues are joined by name, the
-exact cascade first and the fuzzy one on what it missed; results join back to the rows by text.
+exact cascade first and the fuzzy one on what it missed; results join back to the rows by text. The plan is
+cut by a written table after cleaning, extraction and matching, or Catalyst would spend minutes on it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from ..functions.risk import with_complexity
 from ..functions.text import capped, sanitize
 from ..operators import match as mt
 from ..operators import validate as va
+from ..session import cut
 
 
 def extract_fields(texts: DataFrame) -> DataFrame:
@@ -54,13 +56,13 @@ def match_fields(df: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool =
 
 def normalize(raw: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True, check: bool = True, route: bool = True) -> DataFrame:
     """Rows of raw (src_schema, src_table, src_row_id, raw_text) with fields, es_procesado, reasons and metodo."""
-    rows = raw.withColumn("clean", sanitize(F.col("raw_text")))
+    rows = cut(raw.withColumn("clean", sanitize(F.col("raw_text"))))
     texts = rows.select("clean").where("clean != ''").distinct()
-    df = match_fields(extract_fields(texts), vias, zonas, fuzzy)
+    df = cut(match_fields(cut(extract_fields(texts)), vias, zonas, fuzzy))
     df = df.withColumn("reasons", va.reasons(df))
     if route:
         df = df.withColumn("reasons", F.when(F.col("risk.complex"), F.array_prepend("reasons", F.concat(F.lit("COMPLEJA: "), F.array_join("risk.triggers", ",")))).otherwise(F.col("reasons")))
-    df = va.settle(df)
+    df = cut(va.settle(df))
     if check:
         df = va.veto(va.validate(df))
     fields = [c for c in (*va.FIELDS, "modulos", "esquinas", "es_procesado", "reasons", "metodo") if c in df.columns]

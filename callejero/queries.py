@@ -20,6 +20,7 @@ from .operators import validate as va
 from .operators import views as vw
 from .plans.demo import demo_tables, with_views
 from .plans.normalize import extract_fields, normalize
+from .session import cut
 from .sources import tables as st
 from .streaming.continuous import counts_by_window
 
@@ -476,8 +477,8 @@ SELECT h.src_row_id, h.zona_id, r.via_id FROM hinted h LEFT JOIN ranked r ON r.k
 def _(t):
     from .plans.normalize import match_fields
 
-    rows = clean(t).where("clean != ''")
-    df = match_fields(extract_fields(rows.select("clean").distinct()), t["via_catalog"], t["zona_catalog"], fuzzy=False)
+    rows = cut(clean(t).where("clean != ''"))
+    df = match_fields(cut(extract_fields(rows.select("clean").distinct())), t["via_catalog"], t["zona_catalog"], fuzzy=False)
     return rows.join(df.select("clean", "zona_id", "via_id"), "clean").select("src_row_id", "zona_id", "via_id")
 
 
@@ -534,8 +535,8 @@ def _(t):
 def _(t):
     from .plans.normalize import match_fields
 
-    df = extract_fields(clean(t).select("clean").where("clean != ''").distinct())
-    df = va.validate(match_fields(df, t["via_catalog"], t["zona_catalog"], fuzzy=False))
+    df = cut(extract_fields(cut(clean(t).select("clean").where("clean != ''").distinct())))
+    df = va.validate(cut(match_fields(df, t["via_catalog"], t["zona_catalog"], fuzzy=False)))
     return df.select("clean", "score", F.round("coverage", 6).alias("coverage"), F.round("sequence_ratio", 6).alias("ratio"), "valid", F.array_join("unmatched", " ").alias("unmatched"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -16,3 +20,23 @@ def let_workers_import(spark: SparkSession) -> SparkSession:
     if ROOT not in path.split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{path}" if path else ROOT
     return spark
+
+
+_local_dirs: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df under spark.checkpoint.dir (a temporary folder in local mode only) and read it back: a long plan ends here."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        app = spark.sparkContext.applicationId
+        if app not in _local_dirs:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            _local_dirs[app] = tempfile.mkdtemp(prefix="callejero-")
+            atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
+        folder = _local_dirs[app]
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
