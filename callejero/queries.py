@@ -467,7 +467,7 @@ def _(t):
 
 
 @query("w1_normalize_exact", f"""WITH {_CLEAN},
-named AS (SELECT src_row_id, clean, {_NAME_SQL} AS name, CASE WHEN clean LIKE 'AV.%' THEN 1 WHEN clean LIKE 'CA.%' THEN 2 WHEN clean LIKE 'JR.%' THEN 3 WHEN clean LIKE 'PJE.%' THEN 4 WHEN regexp_matches(clean, '\bCALLE\b') THEN 2 WHEN regexp_matches(clean, '\bAL\b') THEN 5 END AS type,
+named AS (SELECT src_row_id, clean, {_NAME_SQL} AS name, CASE WHEN regexp_matches(clean, '\\b(AV|AVENIDA|AVDA)\\b') THEN 1 WHEN regexp_matches(clean, '\\b(CALLE|CA|CL)\\b') THEN 2 WHEN regexp_matches(clean, '\\b(JR|JIRON)\\b') THEN 3 WHEN regexp_matches(clean, '\\b(PJE|PASAJE|PSJ)\\b') THEN 4 WHEN regexp_matches(clean, '\\bAL\\b') THEN 5 END AS type,
   {_null("regexp_extract(clean, 'URB\\.?\\s+(SECTOR [A-Z]+ [0-9]+(?: FRENTE)?)', 1)")} AS zone FROM clean WHERE clean <> ''),
 hinted AS (SELECT n.*, z.zona_id, z.sector AS hint FROM named n LEFT JOIN zona_catalog z ON z.nom_zona = n.zone),
 keyed AS (SELECT DISTINCT name, type, hint FROM hinted WHERE name IS NOT NULL),
