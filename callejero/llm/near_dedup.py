@@ -15,7 +15,9 @@ cannot link and pairs already tested.
 Components grow by alternating large-star and small-star steps, each written to the shared folder.
 
 Documents without words, or null ones, have an empty set and link with nothing. Repeated rows and equal
-texts share a class. Null ids count as the largest. An empty table gives an empty result.
+texts share a class. Null ids count as the largest; ids need not be unique, a document is told by its id and
+a 128-bit hash of its text. The kept document of a component is the least by id, then class. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def _shingle(width: int):
             found, begin = sets_of(texts, width)
             sets = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(found.view(np.int64)))
             keys = pa.array(class_keys(found, begin), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, sets], names=["doc_id", "_class", "_set"])
+            yield pa.RecordBatch.from_arrays([keys, sets], names=["_class", "_set"])
 
     return shingle
 
@@ -141,10 +143,9 @@ class _Verifier:
 
     def sets(self, involved: DataFrame) -> DataFrame:
         """_class and _set (sorted hashes) of some classes."""
-        chosen = self.classes.join(involved, "_class", "left_semi").select("_class", F.col("_doc").alias("doc_id"))
-        texts = self.docs.join(chosen.select("doc_id"), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_shingle(self.width), "doc_id long, _class binary, _set array<long>")
-        return stored(sets.join(chosen, ["doc_id", "_class"], "left_semi").dropDuplicates(["_class"]).select("_class", "_set"))
+        chosen = self.classes.join(involved, "_class", "left_semi").select("_doc", "_md5")
+        texts = _of_documents(self.docs, chosen).select("text")
+        return stored(texts.mapInArrow(_shingle(self.width), "_class binary, _set array<long>").dropDuplicates(["_class"]))
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of classes that are similar enough."""
@@ -179,13 +180,29 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
+def _md5() -> Column:
+    return F.unhex(F.md5("text"))
+
+
+def _of_documents(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of docs whose id (null or not) and text are those of a row (_doc, _md5) of chosen."""
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_doc"]) & _md5().eqNullSafe(chosen["_md5"]), "left_semi")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    return _judged(docs, width, percent, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates with `_md5` of the text, and `_one`: whether the row is its component's one document."""
     docs = docs.select("doc_id", "text")
-    schema = "doc_id long, _class binary, _size long, _bands array<long>"
-    signed = stored(docs.mapInArrow(_sign(width, bands, rows, ["doc_id"]), schema))
+    schema = "doc_id long, _md5 binary, _class binary, _size long, _bands array<long>"
+    signed = stored(docs.withColumn("_md5", _md5()).mapInArrow(_sign(width, bands, rows, ["doc_id", "_md5"]), schema))
     full = signed.where("_size > 0")
-    classes = stored(full.groupBy("_class").agg(F.min("doc_id").alias("_doc"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands")))
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_md5")).alias("_one")
+    classes = full.groupBy("_class").agg(one, F.first("_size").alias("_size"), F.first("_bands").alias("_bands"))
+    classes = stored(classes.select("_class", F.col("_one.doc_id").alias("_doc"), "_one._md5", "_size", "_bands"))
     entries = classes.select(F.explode("_bands").alias("_bucket"), "_class", "_size")
     drawn = F.min(F.struct(F.xxhash64("_bucket", "_class"), "_class"))["_class"]
     groups = entries.groupBy("_bucket").agg(F.count("*").alias("_n"), F.min("_class").alias("_first"), drawn.alias("_drawn")).where("_n > 1")
@@ -222,12 +239,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     open_ = stored(_open_entries(entries, root).groupBy("_class").agg(F.first("_size").alias("_size"), F.first("_root").alias("_root")))
     root = take(_prefix_pairs(open_, verifier.sets(open_.select("_class")), percent))
 
-    named = classes.select("_class", "_doc").join(root.withColumnRenamed("node", "_class"), "_class", "left").select("_class", "_doc", F.coalesce("root", "_class").alias("_root"))
-    least = named.groupBy("_root").agg(F.min("_doc").alias("component_id"))
-    named = named.join(least, "_root").select("_class", "component_id")
-    result = signed.select("doc_id", F.col("_size").alias("n_shingles"), "_class").join(named, "_class", "left")
-    result = result.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = _with_root(classes.select("_class", "_doc", "_md5"), root, "_class", "_root")
+    least = named.groupBy("_root").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_class", "_md5")).alias("_least"))
+    named = named.select("_class", "_root").join(least, "_root").select("_class", "_least")
+    result = signed.select("doc_id", F.col("_size").alias("n_shingles"), "_class", "_md5").join(named, "_class", "left")
+    empty = F.col("n_shingles") == 0
+    kept = empty | (F.col("doc_id").eqNullSafe(F.col("_least._doc")) & (F.col("_class") == F.col("_least._class")))
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("_least._doc"))
+    one = kept & (empty | (F.col("_md5") == F.col("_least._md5")))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "_md5", one.alias("_one"))
 
 
 def _with_root(df: DataFrame, root: DataFrame, column: str, name: str) -> DataFrame:
@@ -263,8 +283,8 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document (the least doc_id) of each group; repeated rows of it are one."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = _judged(docs, **options).where("_one").select(F.col("doc_id").alias("_doc"), "_md5").distinct()
+    return _of_documents(docs, kept).dropDuplicates(["doc_id", "text"])
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

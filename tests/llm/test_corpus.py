@@ -81,6 +81,22 @@ def test_near_dedup(docs):
     assert sorted(tuple(r) for r in near_dedup.near_duplicates(docs, width=2).collect()) == want
 
 
+def test_near_dedup_null_and_repeated_ids(spark):
+    base = " ".join(f"a{i}" for i in range(60))
+    other = " ".join(f"b{i}" for i in range(60))
+    third = " ".join(f"c{i}" for i in range(60))
+    near = lambda t: t + " end"
+    rows = [(None, base), (None, near(base)), (None, other), (None, other), (7, third), (7, near(third)), (7, "quite another text"), (None, ""), (None, None), (8, near(other))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted(((r["doc_id"], r["text"]) for r in near_dedup.deduplicate(table, width=5, percent=80).collect()), key=str)
+    # One of each group of near copies, the one with an id first; unlike texts under one id, or none, all stay.
+    bases, thirds = [r for r in out if r[1] in (base, near(base))], [r for r in out if r[1] in (third, near(third))]
+    assert len(bases) == 1 and len(thirds) == 1
+    assert sorted((r for r in out if r not in bases + thirds), key=str) == sorted([(8, near(other)), (7, "quite another text"), (None, ""), (None, None)], key=str)
+    judged = near_dedup.near_duplicates(table, width=5, percent=80).collect()
+    assert len(judged) == len(rows) and sum(r["kept"] for r in judged) == len(out)
+
+
 def test_decontamination_blocks_agree(docs, spark):
     rows = corpus()
     items = [(1, " ".join(re.findall(SPACE, rows[3][1])[:14])), (2, "one"), (3, None), (4, ""), (5, "never seen words here at all in any of these documents"), (6, "ÉTÉ")]
