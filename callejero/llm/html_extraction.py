@@ -1,20 +1,22 @@
 """Operator 8: main text of web pages by differencing each page with its nearest-URL neighbours.
 
 A page is cut into blocks of text, each with its box: the chain of elements around it. Within each host
-pages are ranked by URL path, and each page is aligned with the ones before and after it (in groups of
-`group` pages) by the longest common subsequence of its blocks. Blocks that a neighbour shares are deleted,
+pages are ranked by URL path, one of each distinct sequence of blocks, and each is aligned with the ones
+before and after it (in groups of `group` pages) by the longest common subsequence of its blocks; copies take
+over its answer. A pair counts by its blocks that are not shared, in boxes that mostly differ between the two,
+so that near copies (an edited paragraph, a new date) tell little or nothing; a host that has nothing but
+copies with a changed box of its own looks like a template. Blocks that a neighbour shares are deleted,
 but for boxes in which blocks are mostly not shared in the whole host: there a shared block is a sentence
 or licence that two articles happen to have, and it stays. Likewise, in boxes that are mostly shared the
 few blocks that differ (a rotating advert, a date) are deleted too. A box that no pair of its host tells
 of is judged by all hosts together. Markup breaks what differencing cannot know: boxes named as menu,
 advert, comment, form and the like are always deleted, and blocks within an article or main element are
-deleted only if they are shared and their box is mostly shared over `SURE` blocks of the host or more, so
-that two copies of an article do not delete each other.
+deleted only if they are shared and their box is mostly shared over `SURE` blocks of the host or more.
 
 Only hashes of blocks travel for the pairing; ranks in a host come from a range sort and prefix counts, so
 a host with a third of all pages is spread. The html is read twice and joined once with its verdicts.
 
-Null or empty html gives an empty text. Repeated rows are pages like others. An empty table gives an empty
+Null or empty html gives an empty text. Repeated rows keep their text. An empty table gives an empty
 result. Pages are matched by page_id, url and a hash of the html.
 """
 
@@ -160,27 +162,46 @@ def _row(a: list[int], b: list[int]) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(zero)))
 
 
-_PAGE = "page_id long, host string, path string, _key long, lines array<bigint>, boxes array<bigint>"
+_PAGE = "page_id long, host string, path string, _key long, _seq binary, lines array<bigint>, boxes array<bigint>"
+_ALIGNED = "host string, _seq binary, boxes array<bigint>, shared array<boolean>, weight long"
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cut = [blocks(h or "") for h in batch.column("html").to_pylist()]
-        lines = pa.array([[_hash(t) for t, _, _ in c] for c in cut], pa.list_(pa.int64()))
+        told = [[_hash(t) for t, _, _ in c] for c in cut]
+        seq = pa.array([xxhash.xxh128_digest(np.array(x, np.int64).tobytes()) for x in told], pa.binary())
         boxes = pa.array([[_hash(b) for _, b, _ in c] for c in cut], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "host", "path", "_key")], lines, boxes], names=["page_id", "host", "path", "_key", "lines", "boxes"])
+        arrays = [*[batch.column(c) for c in ("page_id", "host", "path", "_key")], seq, pa.array(told, pa.list_(pa.int64())), boxes]
+        yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "host", "path", "_key", "_seq", "lines", "boxes"])
+
+
+def novelty(boxes: list[int], shared: np.ndarray) -> int:
+    """Thousandths of a page's blocks that are not shared and lie in boxes that mostly are not, rounded up."""
+    _, at = np.unique(np.array(boxes, np.int64), return_inverse=True)
+    n, hits = np.bincount(at), np.bincount(at, weights=shared)
+    fresh = int((n - hits)[2 * hits < n].sum())
+    return -(-1000 * fresh // len(boxes)) if boxes else 0
 
 
 def _align(rows: pa.Table) -> pa.Table:
-    """Which blocks of each page of a group a neighbour shares; no answer (null) for a page without neighbour."""
+    """Which blocks of each page of a group a neighbour shares, and how much that tells (0: nothing).
+
+    Of two neighbours, one that tells less than half as much as the other is left out.
+    """
     rows = rows.sort_by([("_rank", "ascending")])
-    lines = rows.column("lines").to_pylist()
-    shared = [np.zeros(len(x), bool) for x in lines]
+    lines, boxes = rows.column("lines").to_pylist(), rows.column("boxes").to_pylist()
+    found: list[list[tuple[int, np.ndarray]]] = [[] for _ in lines]
     for i in range(len(lines) - 1):
+        a, b = np.zeros(len(lines[i]), bool), np.zeros(len(lines[i + 1]), bool)
         for x, y in lcs(lines[i], lines[i + 1]):
-            shared[i][x] = shared[i + 1][y] = True
-    told = [x.tolist() if len(lines) > 1 else None for x in shared]
-    return rows.select(["page_id", "_key", "host", "boxes"]).append_column("shared", pa.array(told, pa.list_(pa.bool_())))
+            a[x] = b[y] = True
+        weight = max(novelty(boxes[i], a), novelty(boxes[i + 1], b))
+        found[i].append((weight, a))
+        found[i + 1].append((weight, b))
+    weights = [max((w for w, _ in pairs), default=0) for pairs in found]
+    shared = [np.any([f for w, f in pairs if 2 * w >= most], axis=0).tolist() if most else [False] * len(x) for x, pairs, most in zip(lines, found, weights, strict=True)]
+    return rows.select(["host", "_seq", "boxes"]).append_column("shared", pa.array(shared, pa.list_(pa.bool_()))).append_column("weight", pa.array(weights, pa.int64()))
 
 
 def with_keys(pages: DataFrame) -> DataFrame:
@@ -197,17 +218,20 @@ def with_keys(pages: DataFrame) -> DataFrame:
 
 
 def ranked(pages: DataFrame, group: int) -> DataFrame:
-    """Add `_rank` in the host's URL order and `_group`; each partition of a range sort counts for itself."""
-    order = ["host", "path", "page_id", "_key"]
-    sorted_ = stored(pages.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    counts = sorted_.groupBy("host", "_part").agg(F.count("*").alias("_n"))
+    """_row, host, _seq, `_rank` in the host's URL order and `_group` of the first page of each distinct sequence.
+
+    pages is a range-sorted, stored table; each partition counts for itself.
+    """
+    first = pages.groupBy("host", "_seq").agg(F.min(F.struct("path", "page_id", "_key", "_row", "_part")).alias("_first"))
+    first = stored(first.select("host", "_seq", "_first.*"))
+    counts = first.groupBy("host", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("host", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("host")).alias("_all"))
     within = F.row_number().over(Window.partitionBy("host", "_part").orderBy("path", "page_id", "_key"))
-    found = sorted_.withColumn("_within", within).join(with_broadcast_if_small(stored(counts)), ["host", "_part"])
+    found = first.withColumn("_within", within).join(with_broadcast_if_small(stored(counts)), ["host", "_part"])
     rank = F.col("_before") + F.col("_within") - 1
     last = F.greatest(F.floor(F.col("_all") / group) - 1, F.lit(0))
-    return found.withColumn("_rank", rank).withColumn("_group", F.least(F.floor(F.col("_rank") / group), last)).drop("_part", "_within", "_before", "_all")
+    return found.withColumn("_rank", rank).select("_row", "host", "_seq", "_rank", F.least(F.floor(F.col("_rank") / group), last).alias("_group"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,21 +254,22 @@ def extract(pages: DataFrame, group: int = GROUP, mostly: float = MOSTLY) -> Dat
     """page_id, url and main text of every row of pages (page_id, url, html)."""
     keyed = with_keys(pages)
     cut = keyed.select("page_id", "host", "path", "_key", "html").mapInArrow(_pages, _PAGE)
-    aligned = ranked(cut, group).groupBy("host", "_group").applyInArrow(_align, "page_id long, _key long, host string, boxes array<bigint>, shared array<boolean>")
+    cut = stored(cut.repartitionByRange("host", "path", "page_id", "_key").withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    aligned = cut.select("_row", "lines", "boxes").join(ranked(cut, group), "_row").groupBy("host", "_group").applyInArrow(_align, _ALIGNED)
     aligned = stored(aligned)
 
-    each = aligned.where("shared is not null").select("host", F.explode(F.arrays_zip("boxes", "shared")).alias("x")).select("host", F.col("x.boxes").alias("box"), F.col("x.shared").cast("long").alias("s"))
-    of_host = stored(each.groupBy("host", "box").agg(F.sum("s").alias("s"), F.count("*").alias("n")))
+    each = aligned.where("weight > 0").select("host", "weight", F.explode(F.arrays_zip("boxes", "shared")).alias("x")).select("host", "weight", F.col("x.boxes").alias("box"), F.col("x.shared").cast("long").alias("s"))
+    of_host = stored(each.groupBy("host", "box").agg(F.sum(F.col("s") * F.col("weight")).alias("s"), F.sum("weight").alias("n"), F.count("*").alias("blocks")))
     of_all = of_host.groupBy("box").agg(F.sum("s").alias("t"), F.sum("n").alias("m"))
-    lines = aligned.select("page_id", "_key", "host", F.posexplode("boxes").alias("i", "box"))
+    lines = cut.select("page_id", "_key", "host", F.posexplode("boxes").alias("i", "box"))
     # One row a page and box for the join, with the places of the box's blocks (a set: repeated pages are one).
     lines = lines.groupBy("page_id", "_key", "host", "box").agg(F.collect_set("i").alias("at"))
     judged = lines.join(with_broadcast_if_small(of_host), ["host", "box"], "left").join(with_broadcast_if_small(stored(of_all)), "box", "left")
     usual = F.coalesce(F.col("s") / F.col("n"), F.col("t") / F.col("m"), F.lit(0.0)) > mostly
-    spots = F.transform("at", lambda i: F.struct(i.alias("i"), (F.col("n") >= SURE).alias("sure")))
+    spots = F.transform("at", lambda i: F.struct(i.alias("i"), (F.col("blocks") >= SURE).alias("sure")))
     per_page = judged.where(usual).groupBy("page_id", "_key").agg(F.flatten(F.collect_list(spots)).alias("usual"))
-    verdict = aligned.select("page_id", "_key", "shared", F.size("boxes").alias("k")).dropDuplicates(["page_id", "_key"])
-    verdict = verdict.join(per_page, ["page_id", "_key"], "left")
+    verdict = cut.select("page_id", "_key", "host", "_seq", F.size("boxes").alias("k")).dropDuplicates(["page_id", "_key"])
+    verdict = verdict.join(aligned.select("host", "_seq", "shared"), ["host", "_seq"], "left").join(per_page, ["page_id", "_key"], "left")
     found = F.map_from_entries("usual")
     flags = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.when(F.element_at(found, i), 2).when(F.map_contains_key(found, i), 1).otherwise(0))
     flags = F.when(F.col("usual").isNotNull() & (F.col("k") > 0), flags)

@@ -198,6 +198,28 @@ def test_html_extraction(spark):
     assert html_extraction.lcs([1, 2, 3, 2], [2, 3, 1, 2]) == [(1, 0), (2, 1), (3, 3)]
 
 
+def test_html_extraction_copies(spark):
+    def page(host, i, marked, edit=""):
+        body = "".join(f"<p>Story {host} {i} part {k} goes on{edit if k == 3 else ''}</p>" for k in range(12))
+        return f"<body><div><div>Menu of {host}</div>{'<article>' if marked else '<div class=t>'}{body}{'</article>' if marked else '</div>'}<div>Rights</div></div></body>"
+
+    rows, want = [], {}
+    for marked in (True, False):
+        for mirror in ("twice", "mirror", "edited"):
+            host = f"{mirror}{int(marked)}.example"
+            for i in range(6):
+                for copy in range(2):
+                    at = 1000 * len(want) + 1 if mirror != "twice" else 500 + 10 * i + int(marked)
+                    edit = f" {copy}" if mirror == "edited" else ""
+                    rows.append((at, f"http://{host}/a{i}{'' if mirror == 'twice' else f'-{copy}'}", page(host, i, marked, edit)))
+                    want[at] = " ".join(f"Story {host} {i} part {k} goes on{edit if k == 3 else ''}" for k in range(12))
+    rows += [(7, "http://two.example/a", page("two", 0, False)), (8, "http://two.example/b", page("two", 0, False))]
+    got = [(r["page_id"], r["text"]) for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(got) == len(rows)
+    for at, text in got:
+        assert text == want[at] if at in want else "Story two 0 part 11 goes on" in text
+
+
 def test_language_and_quality_models(docs, spark):
     r = random.Random(3)
     word = {"en": lambda: "".join(r.choice(["th", "er", "on"]) for _ in range(3)), "fr": lambda: "".join(r.choice(["ou", "eau", "é"]) for _ in range(3))}
