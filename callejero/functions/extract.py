@@ -159,11 +159,31 @@ def unclear_unit(text: Column) -> Column:
     return text.rlike(r"(?U)\b(?:TIENDA|STAND|PUESTO|LOCAL)\s+(?!N°|NRO|NUM|\d|[A-Z]\b|[A-Z]?-?\d)[A-Z]{3,}")
 
 
-def outside_district(text: Column, street: Column, zone: Column) -> Column:
-    """A district that is written as place, not as part of the street's or zone's name."""
-    names = ["PIMENTEL", "LAMBAYEQUE", "FERRENAFE", "MONSEFU", "REQUE", "JOSE LEONARDO ORTIZ", "LA VICTORIA"]
+# Written form -> district, in order of precedence. Santa Rosa is a zone's name too and counts only with its word.
+OUTSIDE = {
+    "PIMENTEL": "PIMENTEL", "JOSE LEONARDO ORTIZ": "JOSE LEONARDO ORTIZ", "JOSÉ LEONARDO ORTIZ": "JOSE LEONARDO ORTIZ", "JLO": "JOSE LEONARDO ORTIZ", "J.L.O.": "JOSE LEONARDO ORTIZ",
+    "LA VICTORIA": "LA VICTORIA", "LAMBAYEQUE": "LAMBAYEQUE", "FERRENAFE": "FERRENAFE", "FERREÑAFE": "FERRENAFE", "MONSEFU": "MONSEFU", "MONSEFÚ": "MONSEFU", "REQUE": "REQUE",
+    "ETEN": "ETEN", "PUERTO ETEN": "PUERTO ETEN", "CIUDAD ETEN": "CIUDAD ETEN", "DISTRITO SANTA ROSA": "SANTA ROSA", "DISTRITO DE SANTA ROSA": "SANTA ROSA", "CALETA SANTA ROSA": "SANTA ROSA",
+    "PICSI": "PICSI", "POMALCA": "POMALCA",
+}
+_ZONE_WORDS = ZONE_PREFIX + r"|PP\.JJ\.?|P\.J\.?|AA\.HH\.?|A\.H\.?|H\.U\.?|C\.P\.?M?\.?|CENTRO POBLADO|ASOCIACION|ASOC\.?|COOPERATIVA|URB\.? POP\.?|HABILITACION URBANA|LOTIZACION"
+_NAMED = rf"(?<!\b(?:{STREET_PREFIX}|{_ZONE_WORDS})\s{{1,2}})"
+
+
+def outside_district(text: Column, street: Column, zone: Column, via_id: Column | None = None, zona_id: Column | None = None) -> Column:
+    """A district that is written as place, not as part of the street's or zone's name.
+
+    None for a zone of the catalogue, or for a street of the catalogue where CHICLAYO is written as the district.
+    """
     hits = []
-    for d in names:
+    for d, name in OUTSIDE.items():
         part = F.coalesce(F.contains(street, F.lit(d)), F.lit(False)) | F.coalesce(F.contains(zone, F.lit(d)), F.lit(False))
-        hits.append(F.when(text.rlike(rf"(?U)(?<!AV\. )(?<!CA\. )(?<!JR\. )(?<!CALLE )(?<!AVENIDA )(?<!CARRETERA )(?<!URB\. )\b{d}\b") & ~part, F.lit(d)))
-    return F.coalesce(*hits)
+        written = d.replace(".", r"\.")
+        hits.append(F.when(text.rlike(rf"(?U){_NAMED}(?<=^|[-–—,/\s])\b{written}(?!\w)") & ~part, F.lit(name)))
+    found = F.coalesce(*hits)
+    if zona_id is not None:
+        found = F.when(zona_id.isNull(), found)
+    if via_id is not None:
+        chiclayo = text.rlike(r"(?U)(?:^|[-–—,/]|\bDISTRITO\s+(?:DE\s+)?)\s*CHICLAYO\b")
+        found = F.when(~(via_id.isNotNull() & chiclayo), found)
+    return found

@@ -26,7 +26,7 @@ def reasons(df: DataFrame, text: str = "clean") -> Column:
     units = F.size(F.coalesce("modulos", F.array().cast("array<struct<timo_id:int,ditm_nombre:string>>"))) > 0
     corner = F.size(F.coalesce("esquinas", F.array().cast("array<string>"))) > 0
     written = t.rlike(r"(?U)\bS/N\b") | F.contains(t, F.lit("/"))
-    outside = ex.outside_district(t, F.col("nom_via"), F.col("nom_zona"))
+    outside = ex.outside_district(t, F.col("nom_via"), F.col("nom_zona"), F.col("via_id"), F.col("zona_id"))
     rules = [
         (street & F.col("via_id").isNull(), F.concat(F.lit("VIA NO CATALOGADA: "), F.col("nom_via"))),
         (zone & F.col("zona_id").isNull() & ~(F.col("via_id").isNotNull() | _has("num_via")), F.concat(F.lit("ZONA NO CATALOGADA: "), F.col("nom_zona"))),

@@ -106,3 +106,21 @@ def test_normalize_end_to_end(spark):
     rows = {r["src_row_id"]: r for r in normalize(raw, vias, zonas, fuzzy=False).collect()}
     assert rows[1]["es_procesado"] and (rows[1]["via_id"], rows[1]["zona_id"], rows[1]["num_via"]) == (1, 7, "500")
     assert not rows[2]["es_procesado"] and not rows[3]["es_procesado"] and rows[3]["via_id"] is None
+
+
+def test_outside_district_keys(spark):
+    none = F.lit(None).cast("string")
+    keys = list(ex.OUTSIDE)
+    assert len(keys) == 20
+    texts = [f"AV. BALTA N° 5 - {k}" for k in keys] + ["CALLE PIMENTEL N° 5", "URB. LA VICTORIA MZ A", "AV. BALTA N° 5 - SANTA ROSA"]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = ex.outside_district(F.col("t"), F.lit("BALTA"), none)
+    got = [r["x"] for r in table.select("i", found.alias("x")).orderBy("i").collect()]
+    want = [ex.OUTSIDE[k] for k in keys]
+    assert got == [*want[:13], "ETEN", "ETEN", *want[15:], None, None, None]
+    row = table.limit(1).select(
+        ex.outside_district(F.lit("AV. BALTA 5 - JLO"), F.lit("BALTA"), none, none, F.lit("7")).alias("zone"),
+        ex.outside_district(F.lit("AV. BALTA 5 JLO - CHICLAYO"), F.lit("BALTA"), none, F.lit("1"), none).alias("street"),
+        ex.outside_district(F.lit("AV. BALTA 5 JLO - CHICLAYO"), F.lit("BALTA"), none, none, none).alias("neither"),
+    ).first()
+    assert tuple(row) == (None, None, "JOSE LEONARDO ORTIZ")
