@@ -2,42 +2,35 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import let_workers_import
+from ..session import cut, delete, let_workers_import, scratch_dir
+
+__all__ = ["BROADCAST_ROWS", "Scratch", "scratch_dir", "stored", "table", "with_broadcast_if_small"]
 
 #: Most rows of a side table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
-_local_dirs: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or a temporary one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _local_dirs[app] = tempfile.mkdtemp(prefix="callejero-")
-        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
-    return _local_dirs[app]
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back; this cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Write a table in the shared folder and read it back; this cuts the lineage.
+stored = cut
+
+
+class Scratch:
+    """Stored tables that are deleted when the block ends; nothing lazy may depend on them by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        return cut(df, self.paths)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
 
 
 def with_broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

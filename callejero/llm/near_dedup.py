@@ -6,30 +6,33 @@ sets are one class. One permutation scatters a set's shingles over 2**32 places;
 Bands of `rows` coordinates are keys of buckets. At similarity 0.8 two sets miss all 48 bands of 6 with a
 chance of 5e-7.
 
-Links are found in rounds that never write all pairs of a bucket. In each of the first two rounds every
-bucket compares its members with one leader only (the least class key, then one drawn by hash, for those
-that are not in its component yet); pairs are confirmed on the full sets of shingle hashes, and confirmed links are joined to components. Members of a
-bucket that are in one component by then need no further test. Members of buckets that still hold several
-components are compared across components by an exact prefix-filtered join, which leaves out pairs that
-cannot link and pairs already tested.
-Components grow by alternating large-star and small-star steps, each written to the shared folder.
+Links are found without writing all pairs of a bucket. First every bucket compares its members with one
+leader only, the one that meets most others in all its buckets; pairs are confirmed on the full sets of shingle hashes, and two star rounds contract what is
+linked. Members of a bucket that are in one component by then need no further test. Members of buckets
+that still hold several components are compared across components by an exact prefix-filtered join, which
+leaves out pairs that cannot link; a shingle that many of them share is split by the size of their sets.
+Components grow by alternating large-star and small-star steps, each written to the shared folder. Classes
+are named by the row number of their least document, so joins and stars move 8-byte keys; sets are cut once,
+for the classes of shared buckets only. Scratch tables are deleted when the last step is written.
 
 Documents without words, or null ones, have an empty set and link with nothing. Repeated rows and equal
-texts share a class. Null ids count as the largest; ids need not be unique, a document is told by its id and
-a 128-bit hash of its text. The kept document of a component is the least by id, then class. An empty table
-gives an empty result.
+texts share a class. Null ids count as the largest; ids need not be unique, a document is told by a 128-bit
+hash of its id and text. The kept document of a component is the least by id, then class. Repeated rows of
+one id and text are one document; which of them `deduplicate` keeps is left open. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import Scratch, stored, table
 from ._tokens import NOT_SPACE, mix, slices, windows, words
 
 BANDS, ROWS = 48, 6
@@ -113,21 +116,24 @@ def _shingle(width: int):
         for part, texts in slices(batches):
             found, begin = sets_of(texts, width)
             sets = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(found.view(np.int64)))
-            keys = pa.array(class_keys(found, begin), pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, sets], names=["_class", "_set"])
+            yield pa.RecordBatch.from_arrays([part.column("_c"), sets], names=["_c", "_set"])
 
     return shingle
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with the size of their sets' intersection."""
-    for batch in batches:
-        left, right = batch.column("_left"), batch.column("_right")
-        n = [
-            len(np.intersect1d(left[i].values.to_numpy(zero_copy_only=False), right[i].values.to_numpy(zero_copy_only=False), assume_unique=True))
-            for i in range(batch.num_rows)
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64())], names=["a", "b", "_both"])
+def _similar(percent: int):
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs (a, b) whose sets `_left` and `_right` are similar enough."""
+        for batch in batches:
+            left, right = batch.column("_left"), batch.column("_right")
+            good = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = left[i].values.to_numpy(zero_copy_only=False), right[i].values.to_numpy(zero_copy_only=False)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return similar
 
 
 def _may_link(m: Column, n: Column, percent: int) -> Column:
@@ -135,58 +141,41 @@ def _may_link(m: Column, n: Column, percent: int) -> Column:
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
-class _Verifier:
-    """Confirms pairs of classes on their full sets, which are cut from one document of each class."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes that are similar enough on their full sets."""
+    both = pairs.join(sets.select(F.col("_c").alias("a"), F.col("_set").alias("_left")), "a")
+    both = both.join(sets.select(F.col("_c").alias("b"), F.col("_set").alias("_right")), "b")
+    return both.select("a", "b", "_left", "_right").mapInArrow(_similar(percent), "a long, b long")
 
-    def sets(self, involved: DataFrame) -> DataFrame:
-        """_class and _set (sorted hashes) of some classes."""
-        chosen = self.classes.join(involved, "_class", "left_semi").select("_doc", "_md5")
-        texts = _of_documents(self.docs, chosen).select("text")
-        return stored(texts.mapInArrow(_shingle(self.width), "_class binary, _set array<long>").dropDuplicates(["_class"]))
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) of classes that are similar enough."""
-        sets = self.sets(pairs.select(F.col("a").alias("_class")).union(pairs.select(F.col("b").alias("_class"))).distinct())
-        both = pairs.join(sets.select(F.col("_class").alias("a"), F.col("_set").alias("_left")), "a")
-        both = both.join(sets.select(F.col("_class").alias("b"), F.col("_set").alias("_right")), "b")
-        sizes = self.classes.select("_class", "_size")
-        common = both.select("a", "b", "_left", "_right").mapInArrow(_common, "a binary, b binary, _both long")
-        common = common.join(sizes.select(F.col("_class").alias("a"), F.col("_size").alias("_m")), "a")
-        common = common.join(sizes.select(F.col("_class").alias("b"), F.col("_size").alias("_n")), "b")
-        union = F.col("_m") + F.col("_n") - F.col("_both")
-        return stored(common.where(100 * F.col("_both") >= self.percent * union).select("a", "b"))
+def _star(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges (a, b); the outcome has a > b."""
+    # Large star: each node passes its larger neighbours on to its least neighbour.
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    # Small star: each node passes its smaller neighbours, and itself, on to the least.
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    passed = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return passed.union(least).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root: the least node of each connected component, for the nodes of links (a, b)."""
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    before = None
+    edges, before = links, None
     while True:
-        # Large star: each node passes its larger neighbours on to its least neighbour.
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # Small star: each node passes its smaller neighbours, and itself, on to the least.
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        passed = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(passed.union(least).distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        if now == before:
+        seen = Observation()
+        told = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))]
+        edges = scratch.stored(_star(edges).observe(seen, *[c.alias(f"_{i}") for i, c in enumerate(told)]))
+        if seen.get == before:
             break
-        before = now
+        before = seen.get
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def _md5() -> Column:
-    return F.unhex(F.md5("text"))
-
-
-def _of_documents(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs whose id (null or not) and text are those of a row (_doc, _md5) of chosen."""
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_doc"]) & _md5().eqNullSafe(chosen["_md5"]), "left_semi")
+def _key() -> Column:
+    """128 bits that tell a document by its id (null or not) and text (null or not)."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -195,96 +184,86 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def _judged(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """near_duplicates with `_md5` of the text, and `_one`: whether the row is its component's one document."""
-    docs = docs.select("doc_id", "text")
-    schema = "doc_id long, _md5 binary, _class binary, _size long, _bands array<long>"
-    signed = stored(docs.withColumn("_md5", _md5()).mapInArrow(_sign(width, bands, rows, ["doc_id", "_md5"]), schema))
-    full = signed.where("_size > 0")
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_md5")).alias("_one")
-    classes = full.groupBy("_class").agg(one, F.first("_size").alias("_size"), F.first("_bands").alias("_bands"))
-    classes = stored(classes.select("_class", F.col("_one.doc_id").alias("_doc"), "_one._md5", "_size", "_bands"))
-    entries = classes.select(F.explode("_bands").alias("_bucket"), "_class", "_size")
-    drawn = F.min(F.struct(F.xxhash64("_bucket", "_class"), "_class"))["_class"]
-    groups = entries.groupBy("_bucket").agg(F.count("*").alias("_n"), F.min("_class").alias("_first"), drawn.alias("_drawn")).where("_n > 1")
-    entries = stored(entries.join(groups, "_bucket").drop("_n"))
-    verifier = _Verifier(docs, classes.drop("_bands"), width, percent)
-
-    tested: DataFrame | None = None
-    root: DataFrame | None = None
-    sizes = classes.select(F.col("_class").alias("b"), F.col("_size").alias("_other"))
-
-    def take(pairs: DataFrame) -> DataFrame:
-        """Confirm new pairs, and return the components so far; only links between components are followed up."""
-        nonlocal tested
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = verifier.confirm(pairs)
-        if root is None:
-            return stored(components(links))
-        links = _with_root(_with_root(links, root, "a", "_ra"), root, "b", "_rb").select(F.col("_ra").alias("a"), F.col("_rb").alias("b")).where("a != b")
-        joined = stored(components(links))
-        moved = root.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
-        return stored(moved.unionByName(joined.join(root.select("node"), "node", "left_anti").select("node", "root")))
-
-    for leader in ("_first", "_drawn"):
-        if root is None:
-            rest = entries.where(F.col("_class") != F.col(leader))
-        else:
-            rest = _with_root(_open_entries(entries, root), root, leader, "_leading").where("_root != _leading")
-        pairs = rest.select(F.col("_class").alias("a"), F.col(leader).alias("b"), "_size").distinct().join(sizes, "b")
-        root = take(pairs.where(_may_link(F.col("_size"), F.col("_other"), percent)))
-    open_ = stored(_open_entries(entries, root).groupBy("_class").agg(F.first("_size").alias("_size"), F.first("_root").alias("_root")))
-    root = take(_prefix_pairs(open_, verifier.sets(open_.select("_class")), percent))
-
-    named = _with_root(classes.select("_class", "_doc", "_md5"), root, "_class", "_root")
-    least = named.groupBy("_root").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_class", "_md5")).alias("_least"))
-    named = named.select("_class", "_root").join(least, "_root").select("_class", "_least")
-    result = signed.select("doc_id", F.col("_size").alias("n_shingles"), "_class", "_md5").join(named, "_class", "left")
+    """near_duplicates with `_key` of the row, and `_one`: whether the row is its component's one document."""
+    docs = docs.select("doc_id", "text").withColumn("_key", _key())
+    schema = "doc_id long, _key binary, _class binary, _size long, _bands array<long>"
+    signed = docs.mapInArrow(_sign(width, bands, rows, ["doc_id", "_key"]), schema)
+    signed = stored(signed.withColumn("_row", F.monotonically_increasing_id()))
+    with Scratch(docs.sparkSession) as scratch:
+        one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_row")).alias("_one")
+        classes = signed.where("_size > 0").groupBy("_class").agg(one, F.first("_size").alias("_size"), F.first("_bands").alias("_bands"))
+        classes = scratch.stored(classes.select(F.col("_one._row").alias("_c"), "_class", F.col("_one.doc_id").alias("_doc"), "_one._key", "_size", "_bands"))
+        entries = classes.select(F.explode("_bands").alias("_bucket"), "_c", "_size")
+        crowd = entries.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+        entries = scratch.stored(entries.join(crowd, "_bucket"))
+        central = entries.groupBy("_c").agg(F.sum("_n").alias("_met"))
+        best = F.max(F.struct("_met", (-F.col("_c")).alias("_minus"), "_size")).alias("_best")
+        leads = entries.join(central, "_c").groupBy("_bucket").agg(best)
+        leads = leads.select("_bucket", (-F.col("_best._minus")).alias("_lead"), F.col("_best._size").alias("_other"))
+        shared = entries.select("_c").distinct().join(classes.select("_c", "_key"), "_c")
+        texts = docs.join(shared, "_key").select("_c", "text")
+        sets = scratch.stored(texts.mapInArrow(_shingle(width), "_c long, _set array<long>").dropDuplicates(["_c"]))
+
+        led = entries.join(leads, "_bucket").where((F.col("_c") != F.col("_lead")) & _may_link(F.col("_size"), F.col("_other"), percent))
+        pairs = led.select(F.col("_c").alias("a"), F.col("_lead").alias("b")).distinct()
+        edges = scratch.stored(_star(scratch.stored(_star(_confirmed(pairs, sets, percent)))))
+        open_ = scratch.stored(_open(entries, edges))
+        pairs = _prefix_pairs(scratch.stored(_prefixes(open_, sets, percent)), percent)
+        found = scratch.stored(_confirmed(pairs, sets, percent))
+        root = components(edges.select("a", "b").union(found.select("a", "b")), scratch)
+
+        named = classes.select("_c", "_class", "_doc", "_key").join(root.withColumnRenamed("node", "_c"), "_c", "left")
+        named = named.withColumn("root", F.coalesce("root", "_c"))
+        least = named.groupBy("root").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_class", "_key")).alias("_least"))
+        named = stored(named.select("_class", "root").join(least, "root").select("_class", "_least"))
+    result = signed.select("doc_id", F.col("_size").alias("n_shingles"), "_class", "_key").join(named, "_class", "left")
     empty = F.col("n_shingles") == 0
     kept = empty | (F.col("doc_id").eqNullSafe(F.col("_least._doc")) & (F.col("_class") == F.col("_least._class")))
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("_least._doc"))
-    one = kept & (empty | (F.col("_md5") == F.col("_least._md5")))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "_md5", one.alias("_one"))
+    one = kept & (empty | (F.col("_key") == F.col("_least._key")))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "_key", one.alias("_one"))
 
 
-def _with_root(df: DataFrame, root: DataFrame, column: str, name: str) -> DataFrame:
-    """Add the component of the class in a column; a class without links is its own."""
-    side = root.select(F.col("node").alias(column), F.col("root").alias(name))
-    return df.join(side, column, "left").withColumn(name, F.coalesce(name, column))
+def _open(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """_c, _size, _root of the classes of buckets that still hold more than one component of edges (a, b)."""
+    root = edges.groupBy(F.col("a").alias("_c")).agg(F.min("b").alias("_root"))
+    named = entries.select("_bucket", "_c", "_size").join(root, "_c", "left").withColumn("_root", F.coalesce("_root", "_c"))
+    mixed = named.groupBy("_bucket").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo != _hi").select("_bucket")
+    return named.join(mixed, "_bucket", "left_semi").select("_c", "_size", "_root").distinct()
 
 
-def _open_entries(entries: DataFrame, root: DataFrame) -> DataFrame:
-    """Entries of buckets that hold more than one component, with their component."""
-    named = _with_root(entries, root, "_class", "_root")
-    mixed = named.groupBy("_bucket").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo != _hi").select("_bucket")
-    return named.join(mixed, "_bucket", "left_semi")
+def _prefixes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The shingles (_h) of each class that are among its first, ranked by how few classes hold them."""
+    held = sets.join(classes, "_c").select("_c", "_size", "_root", F.explode("_set").alias("_h"))
+    common = held.groupBy("_h").agg(F.count("*").alias("_df"))
+    rank = F.row_number().over(Window.partitionBy("_c").orderBy("_df", "_h"))
+    ranked = held.join(common, "_h").withColumn("_rank", rank)
+    return ranked.where((100 * F.col("_rank") <= (100 - percent) * F.col("_size") + 100) & (F.col("_df") > 1))
 
 
-def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of classes in different components that can be similar enough, by prefix filtering.
 
-    Shingles are ranked by how few classes hold them. Sets of m and n shingles that overlap in at least k
-    have their first common shingle among the first m - k + 1 of the one and n - k + 1 of the other.
+    Sets of m and n shingles that overlap in at least k have their first common shingle among the first
+    m - k + 1 of the one and n - k + 1 of the other. Sizes are cut into steps by the factor within which sets
+    can link, so that a shingle's classes meet only those of their own or the next step.
     """
-    held = stored(sets.join(classes, "_class").select("_class", "_size", "_root", F.explode("_set").alias("_h")))
-    common = held.groupBy("_h").agg(F.count("*").alias("_df"))
-    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_df", "_h"))
-    ranked = held.join(common, "_h").withColumn("_rank", rank)
-    prefix = stored(ranked.where((100 * F.col("_rank") <= (100 - percent) * F.col("_size") + 100) & (F.col("_df") > 1)))
-    a = prefix.select("_h", F.col("_class").alias("a"), F.col("_size").alias("_m"), F.col("_root").alias("_r"), F.col("_rank").alias("_i"))
-    b = prefix.select("_h", F.col("_class").alias("b"), F.col("_size").alias("_n"), F.col("_root").alias("_s"), F.col("_rank").alias("_j"))
+    step = F.floor(F.log("_size") / (math.log(100 / percent) + 1e-9)) if percent < 100 else F.col("_size")
+    prefix = prefix.withColumn("_step", step)
+    a = prefix.select("_h", "_step", F.col("_c").alias("a"), F.col("_size").alias("_m"), F.col("_root").alias("_r"), F.col("_rank").alias("_i"))
+    b = prefix.select("_h", F.explode(F.array(F.col("_step"), F.col("_step") - 1)).alias("_step"), F.col("_c").alias("b"), F.col("_size").alias("_n"), F.col("_root").alias("_s"), F.col("_rank").alias("_j"))
     least = F.ceil(percent * (F.col("_m") + F.col("_n")) / (100 + percent) - 1e-9)
-    fits = (F.col("_i") <= F.col("_m") - least + 1) & (F.col("_j") <= F.col("_n") - least + 1) & (least <= F.least("_m", "_n"))
-    return a.join(b, (a["_h"] == b["_h"]) & (F.col("_r") != F.col("_s")) & (F.col("a") < F.col("b")) & fits).select("a", "b")
+    fits = (F.col("_i") <= F.col("_m") - least + 1) & (F.col("_j") <= F.col("_n") - least + 1) & (least <= F.col("_m"))
+    smaller = (F.col("_m") < F.col("_n")) | ((F.col("_m") == F.col("_n")) & (F.col("a") < F.col("b")))
+    met = a.join(b, (a["_h"] == b["_h"]) & (a["_step"] == b["_step"]) & (F.col("_r") != F.col("_s")) & smaller & fits)
+    return met.select("a", "b").distinct()
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document (the least doc_id) of each group; repeated rows of it are one."""
-    kept = _judged(docs, **options).where("_one").select(F.col("doc_id").alias("_doc"), "_md5").distinct()
-    return _of_documents(docs, kept).dropDuplicates(["doc_id", "text"])
+    keep = _judged(docs, **options).where("_one").select(F.col("_key").alias("_kept"))
+    kept = docs.join(keep, _key() == F.col("_kept"))
+    return kept.dropDuplicates(["_kept"]).select(*[docs[c] for c in docs.columns])
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
