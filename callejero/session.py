@@ -25,18 +25,30 @@ def let_workers_import(spark: SparkSession) -> SparkSession:
 _local_dirs: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir (a temporary folder in local mode only) and read it back: a long plan ends here."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _local_dirs:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            _local_dirs[app] = tempfile.mkdtemp(prefix="callejero-")
-            atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
-        folder = _local_dirs[app]
-    path = f"{folder}/{uuid.uuid4().hex}"
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for written tables: spark.checkpoint.dir, or a temporary one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _local_dirs[app] = tempfile.mkdtemp(prefix="callejero-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
+    return _local_dirs[app]
+
+
+def cut(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Write df in the shared folder and read it back, so that a long plan ends here; paths gets the table's path."""
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
