@@ -4,10 +4,10 @@ Words are lower-cased (A-Z) runs of ASCII letters, digits and all characters bey
 gives its windows of `size` words (a shorter item gives itself). The hash set of one block of items, of at
 most `block_bytes` of test text, is broadcast; every document is scanned for all block windows by rolling
 hashes, and hits are verified word by word. A larger benchmark is scanned block after block, the hits so
-far riding along with the document, so memory is bounded and no text is shuffled.
+far riding along with the document in a written table, so memory is bounded and no text is shuffled.
 
 Null or empty texts have no words and no hits; items without words have no windows; items with equal
-windows are all reported. An empty benchmark leaves all documents clean. Extra columns pass through; the
+windows are all reported, and items without an id count as one. An empty benchmark leaves all documents clean. Extra columns pass through; the
 operator's own columns are `_hits` (struct of n_words, n_hit, items, spans), which replaces one of that
 name.
 """
@@ -16,62 +16,93 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import stored, table
 from ._tokens import ALNUM, covered, slices, windows, words
 
 #: Most bytes of test text in one broadcast hash set.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _HITS = "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<bigint>>"
 _HITS_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64()))])
 
 
-def window_index(items: list[tuple[str, bytes]], size: int) -> dict[int, dict[int, list[tuple[bytes, str]]]]:
-    """Window length -> hash -> (words joined by a blank, item) of every window of the items."""
-    index: dict[int, dict[int, list[tuple[bytes, str]]]] = defaultdict(lambda: defaultdict(list))
+class WindowIndex(NamedTuple):
+    """Windows of one length: sorted hashes, and of each its words in the byte pool and its item's number."""
+
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    item: np.ndarray
+
+
+class Block(NamedTuple):
+    """The windows of one block of items: the items' words joined by blanks, item ids, and an index for each length."""
+
+    pool: bytes
+    items: list[str | None]
+    lengths: dict[int, WindowIndex]
+
+
+def window_index(items: list[tuple[str | None, bytes]], size: int) -> Block:
+    """The index of every window of the items, in flat arrays: about 28 bytes a window beside the text."""
+    parts: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+    pools, ids, used = [], [], 0
     for item, text in items:
         w = words([text], ALNUM, lower=True)
         n = min(size, len(w.hash))
-        if n:
-            at, found = windows(w, n)
-            for i, h in zip(at.tolist(), found.tolist(), strict=True):
-                entry = (b" ".join(w.word(j) for j in range(i, i + n)), item)
-                if entry not in index[n][h]:
-                    index[n][h].append(entry)
-    return {n: dict(x) for n, x in index.items()}
+        if not n:
+            continue
+        at, found = windows(w, n)
+        begin = used + np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
+        parts[n].append((found, begin[at], begin[at + n] - 1, np.full(len(at), len(ids))))
+        pools.append(b" ".join(w.word(k) for k in range(len(w.hash))) + b" ")
+        ids.append(item)
+        used += len(pools[-1])
+    lengths = {}
+    for n, own in parts.items():
+        found, start, end, item = (np.concatenate(x) for x in zip(*own, strict=True))
+        order = np.argsort(found, kind="stable")
+        lengths[n] = WindowIndex(found[order], start[order].astype(np.uint32), end[order].astype(np.uint32), item[order].astype(np.uint32))
+    return Block(b"".join(pools), ids, lengths)
+
+
+def _in_order(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
 
 
 def _scan(blocks, keep: list[str]):
     """A function over record batches that adds the hits of a broadcast block to those before."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = blocks.value
+        block = blocks.value
         tables = {}
-        for n, by_hash in index.items():
+        for n, index in block.lengths.items():
             seen = np.zeros(1 << 20, bool)
-            seen[np.fromiter(by_hash, np.uint64, len(by_hash)) >> np.uint64(44)] = True
+            seen[index.hashes >> np.uint64(44)] = True
             tables[n] = seen
         for part, texts in slices(batches):
             w = words(texts, ALNUM, lower=True)
             spans, items = defaultdict(list), defaultdict(set)
             for n, seen in tables.items():
+                index = block.lengths[n]
                 at, found = windows(w, n)
-                for k in np.flatnonzero(seen[found >> np.uint64(44)]).tolist():
-                    matches = index[n].get(int(found[k]))
-                    if matches:
-                        i = int(at[k])
-                        here = b" ".join(w.word(j) for j in range(i, i + n))
-                        hit = [item for text, item in matches if text == here]
-                        if hit:
-                            doc = int(w.text[i])
-                            items[doc].update(hit)
-                            spans[doc].append((i - int(w.first[doc]), n))
+                maybe = np.flatnonzero(seen[found >> np.uint64(44)])
+                lo, hi = (np.searchsorted(index.hashes, found[maybe], side) for side in ("left", "right"))
+                for k, first, last in zip(*(x[lo < hi].tolist() for x in (maybe, lo, hi)), strict=True):
+                    i = int(at[k])
+                    here = b" ".join(w.word(j) for j in range(i, i + n))
+                    hit = {block.items[index.item[m]] for m in range(first, last) if block.pool[index.start[m] : index.end[m]] == here}
+                    if hit:
+                        doc = int(w.text[i])
+                        items[doc].update(hit)
+                        spans[doc].append((i - int(w.first[doc]), n))
             before = part.column("_hits").to_pylist() if "_hits" in part.schema.names else [None] * part.num_rows
             count = np.diff(w.first)
             hits = []
@@ -82,7 +113,7 @@ def _scan(blocks, keep: list[str]):
                 n = int(count[d])
                 own = sorted(set(spans[d])) if d in spans else []
                 inside = covered(n, np.array([s for s, _ in own], int), np.array([k for _, k in own], int)) if own else np.zeros(0, bool)
-                hits.append({"n_words": n, "n_hit": int(inside.sum()), "items": sorted(items[d]) if d in items else [], "spans": [x for s in own for x in s]})
+                hits.append({"n_words": n, "n_hit": int(inside.sum()), "items": _in_order(items[d]) if d in items else [], "spans": [x for s in own for x in s]})
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(hits, _HITS_ARROW)], names=[*keep, "_hits"])
 
     return scan
@@ -92,15 +123,18 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: in
     """docs with `_hits`: words, hit words, items with a window in the text, and (first word, length) of hits."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != "_hits"]
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-total // block_bytes))
     found = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + f", `_hits` {_HITS}"
     for block in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
-        index = window_index([(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()], size)
-        found = found.mapInArrow(_scan(spark.sparkContext.broadcast(index), keep), schema)
+        index = spark.sparkContext.broadcast(window_index([(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()], size))
+        found = found.mapInArrow(_scan(index, keep), schema)
+        if block + 1 < n_blocks:  # the next block's scan starts from a table, and this block's index can go
+            found = stored(found)
+            index.unpersist()
     return found
 
 

@@ -125,9 +125,10 @@ def off_target(parts: list[DataFrame]) -> DataFrame:
     return stored(every.groupBy("_source").agg(above.alias("_off")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, buckets: int = 64, heavy: int = 50) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of docs."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, bucket_rows: int = 200_000, heavy: int = 50) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every row of docs; buckets grow in number with the rows."""
     sized = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    buckets = max(64, -(-sized.count() // bucket_rows))
     targets = stored(source_targets(sized, weights, cap)).withColumnRenamed("source", "_s")
     rows = sized.join(with_broadcast_if_small(targets), sized["source"].eqNullSafe(F.col("_s")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -166,11 +167,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
 
 
 def with_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row repeated as often as the mix takes it; rows are matched by doc_id and source, repeated ones by their number."""
+    """docs, each row repeated as often as the mix takes it; rows are matched by doc_id, source and size.
+
+    Rows that agree in these are numbered by a hash of all their columns, so reruns agree.
+    """
     taken = mix(docs, **options).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
     taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy("copies")))
     rows = docs.withColumn("_size", size_of(F.col("text")))
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(0))))
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64(*docs.columns))))
     on = rows["doc_id"].eqNullSafe(taken["_d"]) & rows["source"].eqNullSafe(taken["_s"]) & (rows["_size"] == taken["_z"]) & (rows["_copy"] == taken["_n"])
     joined = rows.join(taken.where("copies > 0"), on)
     return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -5,7 +5,10 @@ length) are sketched per language and source: values fall into bins whose width
 GROWTH, and a sketch is the count per bin. Sketches merge by adding counts, so a language's or the
 corpus's sketch is the sum of its groups' sketches, and the result does not depend on the order of rows.
 A document fails a ratio if it lies above the upper quartile of its group by more than `fence` times the
-distance of the quartiles plus a slack. Groups of fewer than `min_rows` documents use their language's thresholds, and languages of fewer rows the corpus's.
+distance of the quartiles plus a tolerance, which matters where both quartiles are 0; word length has a
+lower limit of the same kind. A group's upper limit is at most `wider` times its language's, and a language's
+at most `wider` times the corpus's, so a source of junk does not set its own limit. Groups of fewer than
+`min_rows` documents use their language's limits, and languages of fewer rows the corpus's.
 
 Null texts count as empty; null languages and sources are groups of their own; an empty table gives an
 empty result. Extra columns pass through; the counts are in the struct `_rules`, which replaces a column
@@ -29,8 +32,10 @@ from ._tokens import NOT_SPACE, covered, per_text, slices, windows, words
 GROWTH, FLOOR = 1.05, 1e-4
 REPEAT_WINDOW = 5
 
-#: Ratio -> slack above (or below) its fence.
-SLACK = {"symbols": 0.04, "dup_lines": 0.5, "repeats": 0.2, "long_words": 4.0}
+#: Ratio -> tolerance beyond its fence.
+SLACK = {"symbols": 0.02, "dup_lines": 0.4, "repeats": 0.15, "long_words": 0.5}
+#: Ratios that can be too low as well.
+TWO_SIDED = ["long_words"]
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 _RULES = "struct<" + ", ".join(f"{c}: bigint" for c in _COUNTS) + ">"
@@ -117,7 +122,7 @@ def sketches(counted: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _limits(sketch: DataFrame, by: list[str], fence: float) -> DataFrame:
-    """Limit per group and ratio from a sketch, with the group's rows."""
+    """Limits per group and ratio from a sketch, with the group's rows."""
     group = Window.partitionBy(*by, "ratio")
     upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketch.withColumn("_upto", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(group))
@@ -125,11 +130,13 @@ def _limits(sketch: DataFrame, by: list[str], fence: float) -> DataFrame:
     found = ranked.groupBy(*by, "ratio").agg(at(0.25).alias("_q1"), at(0.75).alias("_q3"), F.first("_all").alias("rows"))
     low, high = bin_value(F.col("_q1")), bin_value(F.col("_q3"))
     slack = F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v))])
-    return found.select(*by, "ratio", "rows", (high + fence * (high - low) + slack[F.col("ratio")]).alias("upper"))
+    reach = fence * (high - low) + slack[F.col("ratio")]
+    lower = F.when(F.col("ratio").isin(TWO_SIDED), low - reach)
+    return found.select(*by, "ratio", "rows", (high + reach).alias("upper"), lower.alias("lower"))
 
 
-def thresholds(counted: DataFrame, fence: float = 3.0, min_rows: int = 50) -> DataFrame:
-    """lang, source, and the upper limit of each ratio as a map."""
+def thresholds(counted: DataFrame, fence: float = 3.0, min_rows: int = 50, wider: float = 2.0) -> DataFrame:
+    """lang, source, and a map of each ratio to its upper and lower limit."""
     fine = stored(sketches(counted, ["lang", "source"]))
     by_lang = fine.groupBy("lang", "ratio", "bin").agg(F.sum("n").alias("n"))
     whole = by_lang.groupBy("ratio", "bin").agg(F.sum("n").alias("n"))
@@ -137,22 +144,27 @@ def thresholds(counted: DataFrame, fence: float = 3.0, min_rows: int = 50) -> Da
     b = _limits(by_lang, ["lang"], fence).alias("b")
     c = _limits(whole, [], fence).alias("c")
     joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.ratio") == F.col("b.ratio"))).join(c, F.col("a.ratio") == F.col("c.ratio"))
-    limit = F.when(F.col("a.rows") >= min_rows, F.col("a.upper")).when(F.col("b.rows") >= min_rows, F.col("b.upper")).otherwise(F.col("c.upper"))
+    own, lang = F.col("a.rows") >= min_rows, F.col("b.rows") >= min_rows
+    of_lang = F.when(lang, F.least(F.col("b.upper"), wider * F.col("c.upper"))).otherwise(F.col("c.upper"))
+    upper = F.when(own, F.least(F.col("a.upper"), wider * of_lang)).otherwise(of_lang)
+    lower = F.when(own, F.col("a.lower")).when(lang, F.col("b.lower")).otherwise(F.col("c.lower"))
+    limit = F.struct(upper.alias("upper"), lower.alias("lower"))
     picked = joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.ratio").alias("ratio"), limit.alias("limit"))
     maps = picked.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("ratio", "limit"))).alias("_limits"))
     return stored(maps)
 
 
-def judge(docs: DataFrame, fence: float = 3.0, min_rows: int = 50) -> DataFrame:
+def judge(docs: DataFrame, fence: float = 3.0, min_rows: int = 50, wider: float = 2.0) -> DataFrame:
     """docs with `_rules` and `_kept`; thresholds come from all of docs. One side of the join is small."""
-    limits = thresholds(with_counts(docs.select("text", "lang", "source")), fence, min_rows)
+    limits = thresholds(with_counts(docs.select("text", "lang", "source")), fence, min_rows, wider)
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_limits")
     counted = with_counts(docs.drop("_kept", "_limits", "_lang", "_source"))
     joined = counted.join(with_broadcast_if_small(limits), counted["lang"].eqNullSafe(limits["_lang"]) & counted["source"].eqNullSafe(limits["_source"]), "left")
     r = F.col("_rules")
     fine = F.lit(True)
     for k, v in ratios(r).items():
-        fine = fine & F.coalesce(v <= F.col("_limits")[k], F.lit(True))
+        limit = F.col("_limits")[k]
+        fine = fine & F.coalesce(v <= limit["upper"], F.lit(True)) & F.coalesce(v >= limit["lower"], F.lit(True))
     return joined.withColumn("_kept", ~base_failed(r) & fine).drop("_lang", "_source", "_limits")
 
 
@@ -184,10 +196,10 @@ counts AS (
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
 ratios AS (
   SELECT row, doc_id, lang, source, base_failed, unnest([
-    {'ratio': 'symbols', 'v': CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END, 'slack': 0.04},
-    {'ratio': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END, 'slack': 0.5},
-    {'ratio': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END, 'slack': 0.2},
-    {'ratio': 'long_words', 'v': CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END, 'slack': 4.0}], recursive := true) FROM judged),
+    {'ratio': 'symbols', 'v': CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END, 'slack': 0.02},
+    {'ratio': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END, 'slack': 0.4},
+    {'ratio': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END, 'slack': 0.15},
+    {'ratio': 'long_words', 'v': CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END, 'slack': 0.5}], recursive := true) FROM judged),
 binned AS (SELECT *, CAST(CASE WHEN v > 1e-4 THEN ceil(round(ln(v / 1e-4) / ln(1.05), 9)) ELSE 0 END AS INTEGER) AS bin FROM ratios),
 good AS (SELECT * FROM binned WHERE NOT base_failed),
 ranked AS (
@@ -200,10 +212,12 @@ quartiles AS (
   SELECT level, lang, source, ratio, slack, n, min(CASE WHEN k >= ceil(n * 0.25) THEN bin END) AS q1, min(CASE WHEN k >= ceil(n * 0.75) THEN bin END) AS q3
   FROM ranked GROUP BY level, lang, source, ratio, slack, n),
 limits AS (
-  SELECT level, lang, source, ratio, n, high + 3.0 * (high - low) + slack AS upper FROM (
+  SELECT level, lang, source, ratio, n, high + (3.0 * (high - low) + slack) AS upper, CASE WHEN ratio = 'long_words' THEN low - (3.0 * (high - low) + slack) END AS lower FROM (
     SELECT *, CASE WHEN q1 > 0 THEN 1e-4 * pow(1.05, q1 - 0.5) ELSE 0.0 END AS low, CASE WHEN q3 > 0 THEN 1e-4 * pow(1.05, q3 - 0.5) ELSE 0.0 END AS high FROM quartiles)),
 verdict AS (
-  SELECT b.row, bool_and(a.n IS NULL OR b.v <= CASE WHEN a.n >= 50 THEN a.upper WHEN l.n >= 50 THEN l.upper ELSE c.upper END) AS fine
+  SELECT b.row, bool_and(a.n IS NULL OR b.v <= CASE WHEN a.n >= 50 THEN least(a.upper, 2.0 * CASE WHEN l.n >= 50 THEN least(l.upper, 2.0 * c.upper) ELSE c.upper END)
+                                                     WHEN l.n >= 50 THEN least(l.upper, 2.0 * c.upper) ELSE c.upper END)
+         AND bool_and(coalesce(b.v >= CASE WHEN a.n >= 50 THEN a.lower WHEN l.n >= 50 THEN l.lower ELSE c.lower END, true)) AS fine
   FROM binned b
   LEFT JOIN limits a ON a.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source AND a.ratio = b.ratio
   LEFT JOIN limits l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM b.lang AND l.ratio = b.ratio

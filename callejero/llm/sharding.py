@@ -8,8 +8,8 @@ next shard with room. Law: `bytes`.
 Only the bytes of each arc between two points are gathered (shards * virtual_nodes numbers, whatever the
 input). The walk over these arcs fixes, for each arc, which stretch of its bytes goes to which shard. A
 document finds its place in its arc by prefix sums in two steps: over small cells (arc, part of the arc,
-hash of the id), then within a cell. A text that a third of all rows share is dealt over `spread` cells,
-so no task sees a whole group.
+hash of the id), then within a cell. A text that a third of all rows share is dealt over many cells, one
+for every `cell_rows` rows of the table at least, so no task sees a whole group.
 
 Null texts count as empty for the size and stand together; their CRC is null. Ties in doc_id are ordered
 by CRC and size, after which rows are interchangeable. An empty table gives an empty result. Columns
@@ -85,12 +85,13 @@ def shard_plan(
     virtual_nodes: int = 64,
     load: float = 1.001,
     parts: int = 16,
-    spread: int = 64,
+    cell_rows: int = 500_000,
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     spark = docs.sparkSession
     points = ring_points(shards, virtual_nodes)
     owners = [s for _, s in points]
+    spread = max(64, -(-docs.count() // cell_rows))
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -147,7 +148,7 @@ def with_shards(docs: DataFrame, **options) -> DataFrame:
     """docs with shard and slot (columns of these names are replaced); rows are matched by doc_id, CRC of the text and their number among such rows."""
     plan = shard_plan(docs, **options)
     key = ["doc_id", "_crc", "_copy"]
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_crc").orderBy(F.lit(0)))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "_crc").orderBy(F.xxhash64(*[c for c in docs.columns if c not in ("shard", "slot")])))
     places = plan.select(F.col("doc_id"), F.col("text_crc32").alias("_crc"), "size", "shard", "slot")
     places = places.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_crc").orderBy("slot", "shard")))
     keyed = docs.drop("shard", "slot").withColumn("_crc", F.crc32("text")).withColumn("_copy", copy)
