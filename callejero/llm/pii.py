@@ -1,179 +1,271 @@
 """Operator 5: surrogates for personal data, with DataFrame functions only.
 
 One pattern finds e-mail addresses, keys and tokens, IP addresses, card and account numbers, phone numbers
-and names behind a title. Each distinct entity gets one surrogate in the whole corpus, so mentions stay
-linked: a keyed hash of kind, entity and attempt picks digits for digits and letters for letters of the
-same case and script, and all else (separators, prefixes, lengths) stays. Card numbers that pass the Luhn
-check get surrogates that pass it; octets of IP addresses stay below 256; names come from lists by gender
-of the title and script, with a keyed letter-for-letter form beyond them.
-
-Collision checks keep entities apart: a surrogate that equals another's, or any entity of the corpus, is
-drawn again with the next attempt; what still collides after `attempts` fails the job instead of merging
-two persons. Only distinct entities are shuffled for that, and mentions join back by entity; a mention that
-a third of all documents share is one distinct entity, and the join is one that Spark splits. Texts without
-entities are not shuffled.
-
-Null texts stay null, empty ones empty. Repeated rows and equal texts get equal results; documents are
-matched by a hash of the text, ids play no part. Extra columns pass through; `text` is replaced.
+and names behind a title. Each mention is cut into parts in a canonical form: the digits of a number, the
+lower-cased local part and domain of an address, the given and the family name without title. Each distinct
+part gets one surrogate in the whole corpus, so `4111 1111` and `4111-1111`, or `Mrs Jones` and `Mr John
+Jones`, stay linked; the surrogate then takes on each mention's separators, case and title.
+
+Surrogates are keyed hashes of kind, part and attempt, in the part's own format: digits for digits, letters
+for other letters of the same case and script. Card numbers that pass the Luhn check get surrogates that
+pass it and keep their first digit; octets stay below 256; country codes, prefixes of tokens and endings of
+domains stay. Names are made of syllables by script and gender: that of the titles a given name bears
+anywhere in the corpus (neutral if none or both), and of a Cyrillic family name's ending.
+
+Collision checks keep parts apart: a surrogate that equals another's, or any part of its kind in the corpus,
+is drawn again with the next attempt. Names grow by a syllable an attempt, and what cannot change (no
+letter or digit) or still collides after `PLAIN_ATTEMPTS` gets digits of its hash, so every part ends with
+a surrogate of its own. Only distinct parts are shuffled for that; mentions join back by part, a join that
+Spark splits where a part is hot. Texts without entities are not shuffled.
+
+Null texts stay null, empty ones empty; mentions of any length are replaced whole. Repeated rows and equal
+texts get equal results; ids play no part. Extra columns pass through; `text` and a column `_entities` are
+replaced. An empty table gives an empty result. Names without one of the titles are not found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import Scratch, stored, table
 
 KEY = "callejero-surrogates"
+#: Attempts in the part's own format; later ones add digits of the hash.
+PLAIN_ATTEMPTS = 6
+#: Parts whose surrogates one task draws.
+PARTS_PER_TASK = 2_000
+
+_WORD = r"\p{L}\p{N}"
+_TOKEN = r"(?:AKIA|ASIA)|(?:sk|pk|rk)[-_]|gh[pousr]_|xox[abprs]-|eyJ"
+_TITLE = "Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr"
 
-#: Kind -> pattern, in order of precedence. Titles with their gender come last.
+#: Kind -> pattern, in order of precedence. No group repeats without a bound, so long runs need no stack.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
+    "email": rf"(?<![{_WORD}._%+\-])[{_WORD}._%+\-]++@[{_WORD}\-]++\.[{_WORD}.\-]*[{_WORD}\-]",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk)[-_][0-9A-Za-z_\-]{16,}|gh[pousr]_[0-9A-Za-z]{20,}|xox[abprs]-[0-9A-Za-z\-]{10,}|eyJ[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]+)(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\d\p{L}])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\d\p{L}])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d\p{L}])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)",
     "number": r"(?<![\d\p{L}])\d(?:[ \-]?\d){12,18}(?!\d)|(?<![\d\p{L}])\d{3}-\d{2}-\d{4}(?!\d)",
-    "name": r"(?<!\p{L})(?:Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\.? \p{Lu}[\p{L}'\-]+(?: \p{Lu}[\p{L}'\-]+)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
 }
-#: What every entity has: a digit, an at sign, or a title. Most texts have none and skip the patterns.
-HINT = r"[\d@]|(?<!\p{L})(?:M(?:rs|r|s|iss|onsieur|adame|me)|Dr|Prof|Herr|Frau|S(?:eñor|eñora|ra|r))\.? \p{Lu}"
+#: What every entity has: a digit, an at sign, the beginning of a token, or a title. Most texts have none and skip the patterns.
+HINT = rf"[\d@]|{_TOKEN}|[A-Fa-f]{{32}}|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
-#: Given and family names by gender and script; fixed lists of common names.
-NAMES = {
-    ("f", "latin"): (["Anna", "Clara", "Elena", "Ida", "Julia", "Laura", "Maria", "Nora", "Paula", "Vera"], ["Berger", "Colin", "Duval", "Ferrer", "Keller", "Lang", "Moreno", "Porter", "Ramos", "Weber"]),
-    ("m", "latin"): (["Adam", "Bruno", "David", "Hugo", "Jonas", "Leo", "Martin", "Oscar", "Peter", "Victor"], ["Berger", "Colin", "Duval", "Ferrer", "Keller", "Lang", "Moreno", "Porter", "Ramos", "Weber"]),
-    ("f", "cyrillic"): (["Анна", "Вера", "Елена", "Ирина", "Ольга"], ["Белова", "Волкова", "Зимина", "Орлова", "Соколова"]),
-    ("m", "cyrillic"): (["Антон", "Борис", "Иван", "Олег", "Павел"], ["Белов", "Волков", "Зимин", "Орлов", "Соколов"]),
-}
-_FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)\b"
+_FEMALE, _MALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)\b", r"^(?:Mr|Herr|Monsieur|Señor|Sr)\b"
 
 #: Alphabets in which a letter is replaced by another of the same one.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "áéíóúñüäößèêç", "ÁÉÍÓÚÑÜÄÖÈÊÇ", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+#: Runs of letters of one script and case, as code points: Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, kana, Han, Hangul.
+RUNS = [(0x531, 0x556), (0x561, 0x586), (0x5D0, 0x5EA), (0x627, 0x63A), (0x641, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3093), (0x30A1, 0x30F6), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+
+#: Script -> beginnings, middles, and endings by kind and gender of made names.
+SYLLABLES = {
+    "latin": (["Ba", "Be", "Da", "Do", "Fa", "Fi", "Ga", "Ha", "Ju", "Ka", "Le", "Lo", "Ma", "Mi", "Na", "Pa", "Ra", "Ro", "Sa", "To", "Va", "Wi"], ["bri", "da", "lo", "ma", "mi", "na", "ne", "ra", "ri", "sa", "se", "ta", "ti", "vi"],
+              {"given_f": ["na", "lia", "ra", "ssa", "tte"], "given_m": ["n", "rd", "s", "ro", "k"], "given_n": ["l", "ne", "y", "is"], "family": ["berg", "ford", "ler", "ndez", "nier", "son", "ski", "ton"]}),
+    "cyrillic": (["Ан", "Бо", "Ва", "Да", "Ки", "Ла", "Ма", "Ни", "Па", "Ро", "Са", "Та"], ["ва", "ди", "ла", "ми", "на", "ри", "си", "то"],
+                 {"given_f": ["на", "рия", "ла"], "given_m": ["н", "р", "слав"], "given_n": ["ша", "ня"], "family": ["нов", "рин", "лев"]}),
+}
 
 
 def kind_of(entity: Column) -> Column:
-    found = F.when(entity.rlike(f"^(?:{PATTERNS['email']})$"), "email")
-    for kind in ("secret", "ip", "iban", "phone", "number", "name"):
+    found = F.lit("secret")
+    for kind, pattern in reversed(PATTERNS.items()):
         # Look-arounds hold at the ends of the entity as they did in the text.
-        found = found.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
-    return found.otherwise("other")
+        found = F.when(entity.rlike(f"^(?:{pattern})$"), kind).otherwise(found)
+    return found
 
 
-def _byte(hashed: Column, i: Column) -> Column:
-    """The i-th of 32 bytes of a hex digest, as a number; further ones repeat, shifted by their round."""
-    at = i % 32
-    return F.conv(F.substring(hashed, at * 2 + 1, 2), 16, 10).cast("int") + F.floor(i / 32).cast("int") * 7
+def _part(kind: str | Column, value: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("part"))
 
 
-def _letters(entity: Column, hashed: Column, hexadecimal: Column) -> Column:
-    """Each character replaced within its alphabet; a key of hexadecimal digits stays one."""
-
-    def swap(i: Column) -> Column:
-        c = F.substring(entity, i + 1, 1)
-        n = _byte(hashed, i)
-        new = F.when(hexadecimal & c.rlike("[0-9a-f]"), F.substring(F.lit("0123456789abcdef"), n % 16 + 1, 1))
-        new = new.when(hexadecimal & c.rlike("[A-F]"), F.substring(F.lit("ABCDEF0123456789"), n % 16 + 1, 1))
-        for alphabet in ALPHABETS:
-            new = new.when(F.instr(F.lit(alphabet), c) > 0, F.substring(F.lit(alphabet), n % len(alphabet) + 1, 1))
-        return new.otherwise(c)
+def parts_of(kind: Column, entity: Column) -> Column:
+    """The parts (kind, part) of a mention in canonical form; `given` carries its gender as kind."""
+    mail = F.split(F.lower(entity), "@")
+    prefix = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .\-(])", 0)
+    rest = F.regexp_replace(F.substr(entity, F.char_length(prefix) + 1), r"\D", "")
+    bare = F.split(F.regexp_replace(entity, r"^\p{L}+\.? ", ""), " ")
+    given = F.when(entity.rlike(_FEMALE), "given_f").when(entity.rlike(_MALE), "given_m").otherwise("given_n")
+    family = _part("family", F.initcap(F.element_at(bare, -1)))
+    return (
+        F.when(kind == "email", F.array(_part("local", mail[0]), _part("domain", mail[1])))
+        .when(kind == "phone", F.array(_part("phone", F.concat(prefix, F.lit("|"), rest))))
+        .when(kind == "number", F.array(_part("number", F.regexp_replace(entity, r"\D", ""))))
+        .when(kind == "iban", F.array(_part("iban", F.regexp_replace(entity, " ", ""))))
+        .when((kind == "name") & (F.size(bare) > 1), F.array(_part(given, F.initcap(bare[0])), family))
+        .when(kind == "name", F.array(family))
+        .otherwise(F.array(_part(kind, entity)))
+    )
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.char_length(entity) - 1), swap), "")
 
+def _byte(i: Column) -> Column:
+    """The i-th of the hash's 32 bytes `_bytes`; further ones repeat, shifted by their round."""
+    return F.get("_bytes", i % 32) + (F.floor(i / 32) % 1000).cast("int") * 7
 
-def _luhn_sum(digits: Column) -> Column:
-    """The Luhn sum of a string of digits."""
-    n = F.char_length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, n - i, 1).cast("int")
-        twice = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-        return total + F.when(i % 2 == 1, twice).otherwise(d)
+def _characters(text: Column) -> Column:
+    return F.when(F.char_length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
 
+def _letters(entity: Column, hexadecimal: Column) -> Column:
+    """Each letter and digit replaced by another of its alphabet or run; a key of hexadecimal digits stays one."""
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate of an entity at some attempt."""
-    hashed = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string")), 256)
-    plain = _letters(entity, hashed, entity.rlike("^[0-9A-Fa-f]{32,}$"))
+    def step(n: Column, size: int) -> Column:
+        return n % (size - 1) + 1
 
-    # E-mail: letters and digits are swapped in the local part and the name of the domain, its ending stays.
-    ending = F.regexp_extract(entity, r"\.[^.@]+$", 0)
-    email = F.concat(F.left(plain, F.char_length(plain) - F.char_length(ending)), ending)
+    def swap(c: Column, i: Column) -> Column:
+        n, point = _byte(i), F.ascii(c)
+        new = F.when(hexadecimal & c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), n % 16 + 1, F.lit(1)))
+        new = new.when(hexadecimal & c.rlike("[A-F]"), F.substr(F.lit("ABCDEF0123456789"), n % 16 + 1, F.lit(1)))
+        for alphabet in ALPHABETS:
+            at = F.instr(F.lit(alphabet), c)
+            new = new.when(at > 0, F.substr(F.lit(alphabet), (at - 1 + step(n, len(alphabet))) % len(alphabet) + 1, F.lit(1)))
+        for first, last in RUNS:
+            moved = (point - first + step(n * 251, last - first + 1)) % (last - first + 1) + first
+            new = new.when(point.between(first, last), F.decode(F.unhex(F.lpad(F.hex(moved.cast("long")), 8, "0")), "UTF-32"))
+        return new.otherwise(c)
 
-    octets = F.transform(F.split(entity, r"\."), lambda o, i: (_byte(hashed, i) % 254 + 1).cast("string"))
-    # Numbers that pass the Luhn check get a last digit with which they pass again.
-    digits = F.regexp_replace(entity, r"\D", "")
-    stem = F.regexp_replace(plain, r"\d(\D*)$", "0$1")
-    check = (F.lit(10) - _luhn_sum(F.regexp_replace(stem, r"\D", "")) % 10) % 10
-    number = F.when(_luhn_sum(digits) % 10 == 0, F.concat(F.regexp_replace(stem, r"0\D*$", ""), check.cast("string"), F.regexp_extract(stem, r"\D*$", 0))).otherwise(plain)
-    # Phone: the country prefix stays.
-    prefix = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .\-(])", 0)
-    phone = F.concat(prefix, F.substring(plain, F.char_length(prefix) + 1, 1000))
-    iban = F.concat(F.left(entity, F.lit(2)), F.substring(plain, 3, 1000))
-
-    title = F.regexp_extract(entity, r"^\p{L}+\.? ", 0)
-    words = F.size(F.split(entity, " "))
-    cyrillic = entity.rlike(r"\p{IsCyrillic}")
-    female = entity.rlike(_FEMALE)
-    pick = F.conv(F.substring(hashed, 1, 12), 16, 10).cast("long")
-    chosen = None
-    for (gender, script), (given, family) in NAMES.items():
-        here = (female == (gender == "f")) & (cyrillic == (script == "cyrillic"))
-        g = F.get(F.array(*map(F.lit, given)), (pick % len(given)).cast("int"))
-        f = F.get(F.array(*map(F.lit, family)), (F.floor(pick / 1000) % len(family)).cast("int"))
-        value = F.when(words > 2, F.concat_ws(" ", g, f)).otherwise(f)
-        chosen = F.when(here, value) if chosen is None else chosen.when(here, value)
-    foreign = ~entity.rlike(r"^[\p{IsLatin}\p{IsCyrillic}\s.'\-]+$")
-    spelled = F.substring(plain, F.char_length(title) + 1, 1000)
-    name = F.concat(title, F.when(foreign | (attempt > 3), spelled).otherwise(chosen))
+    return F.array_join(F.transform(_characters(entity), swap), "")
 
-    return (
-        F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "number", number)
-        .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", name).otherwise(plain)
-    )
 
+def _luhn_sum(digits: Column) -> Column:
+    """The Luhn sum of a string of digits."""
 
-def surrogates(entities: DataFrame, key: str = KEY, attempts: int = 40) -> DataFrame:
-    """entity, kind, surrogate for distinct entities; no two surrogates are equal, none equals an entity."""
-    entities = stored(entities)
-    taken: DataFrame | None = None
-    rest = entities.withColumn("kind", kind_of(F.col("entity")))
-    for attempt in range(attempts):
-        drawn = stored(rest.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.lit(attempt), key)))
-        real = entities.select(F.col("entity").alias("surrogate"))
-        if taken is not None:
-            real = real.union(taken.select("surrogate"))
-        first = F.row_number().over(Window.partitionBy("surrogate").orderBy("entity")) == 1
-        good = stored(drawn.join(real, "surrogate", "left_anti").withColumn("_first", first).where("_first").select("entity", "kind", "surrogate"))
-        taken = good if taken is None else taken.union(good)
-        rest = stored(drawn.join(good, "entity", "left_anti").select("entity", "kind"))
-        if rest.isEmpty():
-            return taken
-    raise ValueError("surrogates still collide; use another key")
+    def add(total: Column, x: Column) -> Column:
+        d = x["d"].cast("int")
+        twice = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
+        return total + F.when(x["i"] % 2 == 1, twice).otherwise(d)
+
+    numbered = F.transform(_characters(F.reverse(digits)), lambda d, i: F.struct(d.alias("d"), i.alias("i")))
+    return F.aggregate(numbered, F.lit(0), add)
+
+
+def _name(kind: Column, part: Column, plain: Column, attempt: int) -> Column:
+    """A made name with attempt further syllables; plain if no syllables suit the script."""
+
+    def pick(options: list[str], at: int) -> Column:
+        return F.get(F.array(*map(F.lit, options)), (_byte(F.lit(2 * at)) * 256 + _byte(F.lit(2 * at + 1))) % len(options))
+
+    def made(script: str) -> Column:
+        begin, middle, endings = SYLLABLES[script]
+        stem = F.concat(pick(begin, 0), *[pick(middle, 1 + k) for k in range(1 + min(attempt, 6))])
+        ending = None
+        for k, options in endings.items():
+            ending = F.when(kind == k, pick(options, 9)) if ending is None else ending.when(kind == k, pick(options, 9))
+        female = (kind == "family") & part.rlike("а$")
+        return F.concat(stem, ending, F.when(female, "а").otherwise("")) if script == "cyrillic" else F.concat(stem, ending)
+
+    of = r"^[\p{%s}'\-]+$"
+    return F.when(part.rlike(of % "IsLatin"), made("latin")).when(part.rlike(of % "IsCyrillic"), made("cyrillic")).otherwise(plain)
+
+
+def with_surrogates(parts: DataFrame, attempt: int, key: str = KEY) -> DataFrame:
+    """parts (kind, part, form) with the surrogate of each at some attempt."""
+    kind, part, plain, hashed = F.col("form"), F.col("part"), F.col("_plain"), F.col("_hash")
+    columns = parts.columns
+    # Each step is a column that the next one reads often; the kind of a given name holds no gender here.
+    parts = parts.withColumn("_hash", F.sha2(F.concat_ws("|", F.lit(key), "kind", "part", F.lit(str(attempt))), 256))
+    parts = parts.withColumn("_bytes", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr("_hash", i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    parts = parts.withColumn("_plain", _letters(part, part.rlike("^[0-9A-Fa-f]{32,}$")))
+
+    def with_head(head: Column) -> Column:
+        return F.concat(head, F.substr(plain, F.char_length(head) + 1))
+
+    ending = F.regexp_extract(part, r"\.[^.]+$", 0)
+    domain = F.concat(F.left(plain, F.char_length(plain) - F.char_length(ending)), ending)
+    octets = F.transform(F.split(part, r"\."), lambda o, i: (_byte(i) % 254 + 1).cast("string"))
+    # Numbers that pass the Luhn check keep the first digit and get a last one with which they pass again.
+    stem = F.concat(F.left(part, F.lit(1)), F.substr(plain, F.lit(2), F.char_length(plain) - 2))
+    check = (F.lit(10) - _luhn_sum(F.concat(stem, F.lit("0"))) % 10) % 10
+    number = F.when(_luhn_sum(part) % 10 == 0, F.concat(stem, check.cast("string"))).otherwise(plain)
+    made = (
+        F.when(kind == "domain", domain).when(kind == "ip", F.array_join(octets, ".")).when(kind == "number", number)
+        .when(kind == "phone", with_head(F.regexp_extract(part, r"^\+?\d*\|", 0))).when(kind == "iban", with_head(F.left(part, F.lit(2))))
+        .when(kind == "secret", with_head(F.regexp_extract(part, f"^(?:{_TOKEN})", 0))).when((kind == "family") | kind.startswith("given"), _name(kind, part, plain, attempt))
+        .otherwise(plain)
+    )
+    parts, made = parts.withColumn("_made", made), F.col("_made")
+    digits = F.left(F.regexp_replace(hashed, "[^0-9]", ""), F.lit(12))
+    mark = F.when(kind.isin("local", "domain", "secret", "family", "given_f", "given_m", "given_n"), F.left(F.translate(hashed, "0123456789", "ghijklmnop"), F.lit(12))).otherwise(digits)
+    marked = F.when(kind == "domain", F.concat(mark, made)).when(kind == "ip", F.concat(made, F.lit("."), F.lit("1"), mark)).otherwise(F.concat(made, mark))
+    made = marked if attempt >= PLAIN_ATTEMPTS else F.when(made == part, marked).otherwise(made)
+    return parts.select(*columns, made.alias("surrogate"))
+
+
+def surrogates(parts: DataFrame, key: str = KEY) -> DataFrame:
+    """kind, part, surrogate for distinct parts (kind, part, form); within a kind no two surrogates are equal, none equals a part."""
+    with Scratch(parts.sparkSession) as scratch:
+        parts = scratch.stored(parts)
+        tasks = 1 + parts.count() // PARTS_PER_TASK
+        taken, rest, attempt = None, parts, 0
+        while True:
+            drawn = scratch.stored(with_surrogates(rest.repartition(tasks), attempt, key))
+            real = parts.select("kind", F.col("part").alias("surrogate"))
+            if taken is not None:
+                real = real.union(taken.select("kind", "surrogate"))
+            first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("part")) == 1
+            good = drawn.join(real, ["kind", "surrogate"], "left_anti").withColumn("_first", first).where("_first").select("kind", "part", "surrogate")
+            good = scratch.stored(good)
+            taken = good if taken is None else taken.union(good)
+            rest = scratch.stored(drawn.join(good, ["kind", "part"], "left_anti").drop("surrogate"))
+            attempt += 1
+            if rest.isEmpty():
+                return stored(taken)
+
+
+def dressed(kind: Column, mention: Column, new: Callable[[int], Column]) -> Column:
+    """The surrogates of a mention's parts with its separators, case and title."""
+
+    def like(old: Column, made: Column) -> Column:
+        """made, with capitals where old has them."""
+        capital = lambda c, m: F.when((F.upper(c) == c) & (F.lower(c) != c), F.upper(m)).otherwise(m)
+        return F.array_join(F.zip_with(_characters(old), _characters(made), lambda c, m: F.coalesce(capital(c, m), m, F.lit(""))), "")
+
+    def between(separators: str, made: Column) -> Column:
+        """The characters of made in the places that mention has between separators."""
+        return F.array_join(F.zip_with(F.split(mention, separators), _characters(made), lambda s, c: F.concat(F.coalesce(s, F.lit("")), F.coalesce(c, F.lit("")))), "")
+
+    mail = F.split(mention, "@")
+    title = F.regexp_extract(mention, r"^\p{L}+\.? ", 0)
+    name = F.concat_ws(" ", new(0), new(1))
+    bare = F.substr(mention, F.char_length(title) + 1)
+    return (
+        F.when(kind == "email", F.concat(like(mail[0], new(0)), F.lit("@"), like(mail[1], new(1))))
+        .when(kind.isin("phone", "number"), between("[0-9]", F.regexp_replace(new(0), r"\D", "")))
+        .when(kind == "iban", between("[0-9A-Z]", new(0)))
+        .when(kind == "name", F.concat(title, F.when(F.upper(bare) == bare, F.upper(name)).otherwise(name)))
+        .otherwise(new(0))
+    )
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with every entity in `text` replaced, and `_entities`, the number of mentions replaced."""
     columns = [c for c in docs.columns if c != "_entities"]
     docs = docs.select(*columns)
-    found = F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))
     some = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ANY), F.lit(False))
-    mentions = stored(
-        docs.where(some).select("text").select(F.xxhash64("text").alias("_h"), F.md5("text").alias("_m"), found.alias("_found")).dropDuplicates(["_h", "_m"])
-    )
-    each = mentions.select("_h", "_m", F.posexplode("_found").alias("at", "entity"))
-    names = surrogates(each.select("entity").distinct(), key)
-    lists = each.join(names, "entity").groupBy("_h", "_m").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("_new"))
-    lists = lists.select(F.col("_h").alias("_lh"), F.col("_m").alias("_lm"), F.transform("_new", lambda x: x["surrogate"]).alias("_new"))
-
-    keyed = docs.where(some).withColumn("_h", F.xxhash64("text")).withColumn("_m", F.md5("text"))
-    changed = keyed.join(lists, (F.col("_h") == F.col("_lh")) & (F.col("_m") == F.col("_lm")))
-    pieces = F.split("text", ANY)
-    text = F.array_join(F.zip_with(pieces, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = changed.withColumn("_entities", F.size("_new").cast("long")).withColumn("text", text).select(*columns, "_entities")
+    found = F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))
+    # One scan cuts the texts that have entities into what is between them and the mentions.
+    others = [c for c in columns if c != "text"]
+    cut = stored(docs.where(some).select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_rest") if others else F.lit(0).alias("_rest"), F.split("text", ANY).alias("_between"), found.alias("_found")))
+    each = cut.select("_row", F.posexplode("_found").alias("_at", "_mention")).withColumn("_kind", kind_of(F.col("_mention")))
+    each = stored(each.withColumn("_parts", parts_of(F.col("_kind"), F.col("_mention"))))
+    single = each.select("_row", "_at", F.posexplode("_parts").alias("_k", "_part")).select("_row", "_at", "_k", F.regexp_replace("_part.kind", "_.$", "").alias("kind"), F.col("_part.part").alias("part"), F.col("_part.kind").alias("form"))
+    # A given name's form follows its titles: neutral if they tell nothing or differ.
+    told = F.collect_set(F.when(~F.col("form").endswith("_n"), F.col("form")))
+    form = F.when(F.col("kind") != "given", F.col("kind")).when(F.size("_told") == 1, F.col("_told")[0]).otherwise("given_n")
+    names = surrogates(single.groupBy("kind", "part").agg(told.alias("_told")).select("kind", "part", form.alias("form")), key)
+    new = single.join(names, ["kind", "part"]).groupBy("_row", "_at").agg(F.max(F.when(F.col("_k") == 0, F.col("surrogate"))).alias("_0"), F.max(F.when(F.col("_k") == 1, F.col("surrogate"))).alias("_1"))
+    worn = dressed(F.col("_kind"), F.col("_mention"), lambda i: F.col(f"_{i}"))
+    lists = each.join(new, ["_row", "_at"]).select("_row", F.struct("_at", worn.alias("_new")).alias("_x"))
+    lists = lists.groupBy("_row").agg(F.sort_array(F.collect_list("_x")).alias("_new")).withColumn("_new", F.transform("_new", lambda x: x["_new"]))
+    text = F.array_join(F.zip_with("_between", "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = cut.join(lists, "_row").withColumn("_text", text)
+    changed = changed.select(*[F.col("_text").alias("text") if c == "text" else F.col("_rest")[c].alias(c) for c in columns], F.size("_new").cast("long").alias("_entities"))
     return docs.where(~some).select(*columns, F.lit(0).cast("long").alias("_entities")).unionByName(changed)
 
 
