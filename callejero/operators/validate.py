@@ -9,6 +9,7 @@ from ..functions import extract as ex
 from ..functions import lexicon as lx
 from ..functions.similarity import seq_ratio
 from ..functions.text import canonical_tokens, sanitize, sig_tokens, words_to_array
+from ..session import cut
 
 #: Columns of a normalised row that rules look at.
 FIELDS = ["nom_via", "tipo_via", "via_id", "num_via", "nom_zona", "tipo_zona", "zona_id", "manzana", "lote", "slote", "piso", "block", "referencia"]
@@ -70,6 +71,7 @@ def coverage(df: DataFrame, text: str = "clean", key: str = "id") -> DataFrame:
         F.when(F.size("esquinas") > 0, words_to_array(lx.CORNER_WORDS)).otherwise(no_words),
     )
     df = df.withColumn("raw_tokens", canonical_tokens(F.col(text))).withColumn("_norm", explained).withColumn("_left", F.array_except("raw_tokens", F.concat("_norm", extra)))
+    df = cut(df)  # or the words' rules would run anew wherever these columns are read
     rest = df.where((F.size("_left") > 0) & (F.size("_norm") > 0)).select(key, F.explode("_left").alias("_t"), "_norm").withColumn("_u", F.explode(F.array_distinct("_norm")))
     rest = rest.where(F.abs(F.char_length("_t") - F.char_length("_u")) <= 2).select(key, "_t", "_u")
     alike = rest.withColumn("_r", seq_ratio("_t", "_u")).where("_r >= 0.88").groupBy(key).agg(F.collect_set("_t").alias("_alike"))

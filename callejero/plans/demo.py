@@ -28,8 +28,8 @@ SELECT CASE o_orderstatus WHEN 'F' THEN 'licencias' WHEN 'O' THEN 'rentas' ELSE
          || (CASE WHEN o_orderkey % 13 = 0 THEN ' (EX CALLE REAL), TIENDAS 3, 4, 5 Y 6' WHEN o_orderkey % 17 = 0 THEN ' FRENTE AL PARQUE' ELSE '' END)
          || ' - CHICLAYO' END AS raw_text,
        CASE WHEN o_orderkey % 10 < 6 THEN CAST(NULL AS BOOLEAN) ELSE o_orderkey % 10 < 9 END AS status, o_orderdate AS create_at
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN (SELECT v.*, count(*) OVER () AS n_vias FROM via_catalog v) v ON v.via_id = 1 + o.o_orderkey % v.n_vias""",
+FROM (SELECT *, 1 + o_orderkey % (SELECT count(*) FROM via_catalog) AS o_via FROM orders) o JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN via_catalog v ON v.via_id = o.o_via""",
     # The stored form of the raw addresses: some of them already settled.
     "central": """
 SELECT src_row_id AS dire_id, CASE WHEN status THEN 1 + src_row_id % 25 END AS zona_id, src_schema AS dire_esquema, src_table AS dire_tabla, src_column AS dire_columna,

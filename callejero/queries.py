@@ -441,10 +441,10 @@ def _(t):
     return mt.expand_synonyms(t["via_catalog"], "nom_via", "id_tipo_via").select("via_id", F.array_join("sinonimos", "|").alias("sinonimos"))
 
 
-@query("c14_apply_choice", "SELECT nom_via AS name, max(via_id) AS via_id FROM via_catalog GROUP BY nom_via HAVING count(*) <= 30")
+@query("c14_apply_choice", "SELECT nom_via AS name, max(via_id) AS via_id FROM via_catalog GROUP BY nom_via")
 def _(t):
-    names = t["via_catalog"].groupBy("nom_via").agg(F.max("via_id").alias("via_id"), F.count("*").alias("n")).where("n <= 30").withColumnRenamed("nom_via", "name")
-    found = mt.fuzzy_candidates(names.select("name"), t["via_catalog"], "street", "via_id", "nom_via", k=40)
+    names = t["via_catalog"].groupBy("nom_via").agg(F.max("via_id").alias("via_id")).withColumnRenamed("nom_via", "name")
+    found = mt.fuzzy_candidates(names.select("name"), t["via_catalog"], "street", "via_id", "nom_via", k=100_000)
     return mt.apply_choice(found, names, "via_id").select("name", "via_id")
 
 
@@ -477,7 +477,7 @@ SELECT h.src_row_id, h.zona_id, r.via_id FROM hinted h LEFT JOIN ranked r ON r.k
 def _(t):
     from .plans.normalize import match_fields
 
-    rows = cut(clean(t).where("clean != ''"))
+    rows = cut(clean(t)).where("clean != ''")
     df = match_fields(cut(extract_fields(rows.select("clean").distinct())), t["via_catalog"], t["zona_catalog"], fuzzy=False)
     return rows.join(df.select("clean", "zona_id", "via_id"), "clean").select("src_row_id", "zona_id", "via_id")
 
@@ -523,10 +523,10 @@ def _(t):
     return _fields(t).withColumn("modulos", F.array().cast("array<struct<timo_id:int,ditm_nombre:string>>")).withColumn("esquinas", F.array().cast("array<string>")).select("id", va.rebuilt_text().alias("texto"))
 
 
-@query("v4_coverage", f"""WITH {_CLEAN}, tok AS (SELECT src_row_id AS id, {_CANON_SQL.replace("raw_text", "clean")} AS raw, {_CANON_SQL.replace("coalesce(raw_text, '')", "'AVENIDA ' || split_part(clean, ' ', 2)")} AS norm FROM clean WHERE clean <> '' AND src_row_id % 5 = 0)
+@query("v4_coverage", f"""WITH {_CLEAN}, tok AS (SELECT src_row_id AS id, {_CANON_SQL.replace("raw_text", "clean")} AS raw, {_CANON_SQL.replace("coalesce(raw_text, '')", "'AVENIDA ' || split_part(clean, ' ', 2)")} AS norm FROM clean WHERE clean <> '')
 SELECT id, round(len(list_filter(raw, lambda w: list_contains(norm, w) OR w IN ('AVENIDA', 'CALLE', 'JIRON', 'PASAJE', 'PROLONGACION', 'CARRETERA', 'AUTOPISTA'))) / len(raw), 6) AS coverage FROM tok""")
 def _(t):
-    df = clean(t).where("clean != '' and src_row_id % 5 = 0").select(F.col("src_row_id").alias("id"), "clean", F.coalesce(F.get(F.split("clean", " "), F.lit(1)), F.lit("")).alias("nom_via"), F.lit(None).cast("string").alias("nom_zona"), F.lit(None).cast("long").alias("zona_id"), F.array().cast("array<string>").alias("esquinas"))
+    df = cut(clean(t)).where("clean != ''").select(F.col("src_row_id").alias("id"), "clean", F.coalesce(F.get(F.split("clean", " "), F.lit(1)), F.lit("")).alias("nom_via"), F.lit(None).cast("string").alias("nom_zona"), F.lit(None).cast("long").alias("zona_id"), F.array().cast("array<string>").alias("esquinas"))
     df = df.withColumn("rebuilt", F.concat(F.lit("AVENIDA "), "nom_via"))
     return va.coverage(df).select("id", F.round("coverage", 6).alias("coverage"))
 
@@ -535,7 +535,7 @@ def _(t):
 def _(t):
     from .plans.normalize import match_fields
 
-    df = cut(extract_fields(cut(clean(t).select("clean").where("clean != ''").distinct())))
+    df = cut(extract_fields(cut(clean(t).select("clean")).where("clean != ''").distinct()))
     df = va.validate(cut(match_fields(df, t["via_catalog"], t["zona_catalog"], fuzzy=False)))
     return df.select("clean", "score", F.round("coverage", 6).alias("coverage"), F.round("sequence_ratio", 6).alias("ratio"), "valid", F.array_join("unmatched", " ").alias("unmatched"))
 
