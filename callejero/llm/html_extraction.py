@@ -16,7 +16,7 @@ deleted only if they are shared and their box is mostly shared over `SURE` block
 Only hashes of blocks travel for the pairing; ranks in a host come from a range sort and prefix counts, so
 a host with a third of all pages is spread. The html is read twice and joined once with its verdicts.
 
-Null or empty html gives an empty text. Repeated rows keep their text. An empty table gives an empty
+Tokenising is linear in the page's length. Null or empty html gives an empty text. Repeated rows keep their text. An empty table gives an empty
 result. Pages are matched by page_id, url and a hash of the html.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +34,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import stored, table, with_broadcast_if_small
+from ._tokens import slices
 
 #: Pages of one alignment group (the last of a host has less than twice as many).
 GROUP = 8
 #: Share of shared blocks above which a box is boilerplate, and blocks of a host that make this sure.
 MOSTLY, SURE = 0.5, 40
 
+# What is not closed runs to the end of the page, as in browsers, so that no part is scanned again and again.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|svg|iframe|textarea|select|title|head|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|head|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -75,9 +78,10 @@ def _kind(tag: str, attrs: str, inside: str) -> str:
 
 
 def blocks(page: str) -> list[tuple[str, str, str]]:
-    """(text, box, kind) of every block with text, in page order."""
+    """(text, box, kind) of every block with text, in page order; a box is a hash of the chain of elements."""
     found: list[tuple[str, str, str]] = []
     stack: list[tuple[str, str, str]] = [("", "", "plain")]  # tag, box, kind
+    open_: Counter[str] = Counter()
     run: list[str] = []
 
     def flush() -> None:
@@ -102,16 +106,19 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
             continue
         flush()
         if m.group(2):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while open_[tag] and len(stack) > 1:
+                last = stack.pop()[0]
+                open_[last] -= 1
+                if last == tag:
                     break
         elif tag not in _VOID and not m.group(4).endswith("/"):
             while len(stack) > 1 and stack[-1][0] in _CLOSES.get(tag, ()):
-                stack.pop()
+                open_[stack.pop()[0]] -= 1
             kind = _kind(tag, m.group(4), stack[-1][2])
             names = sorted(set(re.sub(r"\d+", "#", n.strip("\"'").lower()) for n in _NAMES.findall(m.group(4))))
-            stack.append((tag, f"{stack[-1][1]}>{tag}{'.' if names else ''}{'.'.join(names)}"[-400:], kind))
+            box = xxhash.xxh128_hexdigest(f"{stack[-1][1]}>{tag}.{'.'.join(names)}".encode("utf-8", "surrogatepass"))
+            stack.append((tag, box, kind))
+            open_[tag] += 1
     run.append(entities.unescape(page[at:]))
     flush()
     return found
@@ -167,8 +174,8 @@ _ALIGNED = "host string, _seq binary, boxes array<bigint>, shared array<boolean>
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cut = [blocks(h or "") for h in batch.column("html").to_pylist()]
+    for batch, pages in slices(batches, "html"):
+        cut = [blocks(h.decode()) for h in pages]
         told = [[_hash(t) for t, _, _ in c] for c in cut]
         seq = pa.array([xxhash.xxh128_digest(np.array(x, np.int64).tobytes()) for x in told], pa.binary())
         boxes = pa.array([[_hash(b) for _, b, _ in c] for c in cut], pa.list_(pa.int64()))
@@ -235,12 +242,12 @@ def ranked(pages: DataFrame, group: int) -> DataFrame:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, pages in slices(batches, "html"):
         out = []
-        told = zip(*[batch.column(c).to_pylist() for c in ("html", "shared", "mostly")], strict=True)
+        told = zip(pages, *[batch.column(c).to_pylist() for c in ("shared", "mostly")], strict=True)
         for page, shared, mostly in told:
             kept = []
-            for i, (text, _, kind) in enumerate(blocks(page or "")):
+            for i, (text, _, kind) in enumerate(blocks(page.decode())):
                 usual = mostly[i] if mostly else 0
                 same = bool(shared and shared[i])
                 gone = kind == "chrome" or (usual == 2 and same if kind == "content" else usual > 0)

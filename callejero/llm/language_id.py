@@ -6,7 +6,8 @@ n-grams' vectors, a language the sum of its training documents', each scaled to
 the language of the greatest cosine. Texts are lower-cased letters with one blank for anything between.
 
 The prototypes are learnt from about `max_train` labelled documents at most, picked by the hash of doc_id,
-by one sum per task and language; the languages' vectors, at most `MAX_LANGS`, are broadcast.
+by one sum per task and language; there are no more languages than training documents, and their vectors
+are broadcast.
 Every whole text is scored. A task keeps bound vectors of the n-grams it has met, up to `CACHE`, and then
 starts anew.
 
@@ -29,8 +30,8 @@ from ._tokens import _mix_one, mix, slices
 DIM, N = 1024, 3
 #: Unit vectors are rounded to multiples of 1 / SCALE, so that sums do not depend on their order.
 SCALE = 1 << 20
-#: Most labelled documents learnt from, most languages, most n-grams whose vectors a task keeps.
-MAX_TRAIN, MAX_LANGS, CACHE = 20_000, 5_000, 40_000
+#: Most labelled documents learnt from, most n-grams whose vectors a task keeps.
+MAX_TRAIN, CACHE = 20_000, 40_000
 
 _fold: np.ndarray | None = None
 
@@ -165,10 +166,10 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.nd
     by_task = sample.select("text", "lang").mapInArrow(_bundle, "lang string, v array<bigint>")
     sums = by_task.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     vectors = stored(sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")))
-    if vectors.count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    found = sorted(vectors.collect(), key=lambda r: r["lang"])
-    return [r["lang"] for r in found], _unit(np.array([[p["x"] for p in r["v"]] for r in found], np.float64).reshape(-1, DIM))
+    # At most one language a training document; the vectors travel as flat arrays.
+    found = vectors.select("lang", F.transform("v", lambda p: p["x"]).alias("v")).toArrow().sort_by("lang")
+    prototypes = np.asarray(found.column("v").combine_chunks().flatten(), np.float64).reshape(-1, DIM)
+    return found.column("lang").to_pylist(), _unit(prototypes)
 
 
 def _predict(model):

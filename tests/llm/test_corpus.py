@@ -1,14 +1,14 @@
 """Brute-force comparisons and edge cases (nulls, empty and long texts, repeated rows, empty tables, clashing columns)."""
 
-import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callejero.llm import decontamination, html_extraction, language_id, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, substring_dedup
+from callejero.llm import decontamination, html_extraction, language_id, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -172,20 +172,6 @@ def test_mixing(docs):
             assert abs(a + b - p - q) < 1e-9 and (a in (0.0, 1.0) or b in (0.0, 1.0))
 
 
-def test_pii(docs, spark):
-    mail, card = "ann.lee@corp.example.com", "4111 1111 1111 1111"
-    rows = [(1, f"write {mail} or {mail}, card {card}", "x"), (2, f"{mail} at 10.1.2.3 and +1 (212) 555-0199", "y"), (3, None, "z"), (4, "nothing", "q"), (5, "Mrs Jones met Mr. Smith", "r"), (5, "Mrs Jones met Mr. Smith", "r")]
-    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, _entities string")).orderBy("doc_id").collect()
-    text = {r["doc_id"]: r["text"] for r in out}
-    assert len(out) == 6 and text[3] is None and text[4] == "nothing"
-    assert not any(x in (text[1] + text[2] + text[5]) for x in (mail, card, "10.1.2.3", "555-0199", "Jones", "Smith"))
-    new = re.findall(r"\S+@\S+?(?=[, ]|$)", text[1] + " " + text[2])
-    assert len(set(new)) == 1 and len(new) == 3
-    digits = re.sub(r"\D", "", text[1].rpartition("card")[2])
-    assert len(digits) == 16 and sum(sum(divmod(int(c) * (2 - k % 2), 10)) for k, c in enumerate(digits)) % 10 == 0
-    assert re.search(r"Mrs \w+ met Mr\. \w+", text[5])
-
-
 def test_html_extraction(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li>Home</li></ul></nav><div class='ad'>Buy</div><article><h1>Head &amp; more</h1><p>Text  <b>bold</b>ly {n}</p></article><form>f</form><section id='comments'>c</section><footer>&copy;</footer></body></html>"
     rows = [(i, f"http://h.example/{i}", page.replace("{n}", str(i))) for i in range(5)] + [(9, None, None), (9, None, None), (10, "http://x/", "")]
@@ -194,7 +180,10 @@ def test_html_extraction(spark):
     # Without markup that tells, blocks shared with the neighbours go.
     plain = [(i, f"http://p.example/a{i}", f"<div><div>Menu of all</div><div class='t'>Story {i * 7919} here</div><div>Rights</div></div>") for i in range(6)]
     got = [r["text"] for r in html_extraction.extract(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()]
-    assert all(re.search(r"Story \d+ here", t) for t in got)
+    assert sorted(got) == sorted(f"Story {i * 7919} here" for i in range(6))
+    for broken in ("<a " * 350_000, "<div>" * 20_000 + "</p>" * 20_000, "<![CDATA[" * 100_000, '<a b="' * 150_000):
+        begin = time.monotonic()
+        assert html_extraction.blocks(broken) == [] and time.monotonic() - begin < 5
     assert html_extraction.lcs([1, 2, 3, 2], [2, 3, 1, 2]) == [(1, 0), (2, 1), (3, 3)]
 
 
@@ -234,6 +223,3 @@ def test_language_and_quality_models(docs, spark):
     assert np.mean([(scores[i] >= 0.5) == (i % 2 == 1) for i in range(40, 80)]) >= 0.95 and 0 <= scores[900] <= 1
     assert quality_classifier.score(table.limit(0), weights).count() == 0
 
-
-def test_sha_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
