@@ -26,6 +26,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ MOSTLY, SURE = 0.5, 40
 # What is not closed runs to the end of the page, as in browsers, so that no part is scanned again and again.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|head|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=(?:\s*\"[^\"]*(?:\"|\Z)|\s*'[^']*(?:'|\Z))?)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -77,10 +78,20 @@ def _kind(tag: str, attrs: str, inside: str) -> str:
     return "content" if tag in ("article", "main") else inside
 
 
-def blocks(page: str) -> list[tuple[str, str, str]]:
+def _entered(tag: str, attrs: str, box: int, kind: str) -> tuple[str, int, str]:
+    """Tag, box and kind within an element that opens in the given box and kind."""
+    names = sorted({re.sub(r"\d+", "#", n.strip("\"'").lower()) for n in _NAMES.findall(attrs)})
+    return tag, _hash(f"{box}>{tag}.{'.'.join(names)}"), _kind(tag, attrs, kind)
+
+
+#: Pages of a site repeat their elements; only attributes of up to `_SHORT` characters are remembered.
+_remembered, _SHORT = lru_cache(maxsize=1 << 14)(_entered), 200
+
+
+def blocks(page: str) -> list[tuple[str, int, str]]:
     """(text, box, kind) of every block with text, in page order; a box is a hash of the chain of elements."""
-    found: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, str]] = [("", "", "plain")]  # tag, box, kind
+    found: list[tuple[str, int, str]] = []
+    stack: list[tuple[str, int, str]] = [("", 0, "plain")]  # tag, box, kind
     open_: Counter[str] = Counter()
     run: list[str] = []
 
@@ -92,32 +103,32 @@ def blocks(page: str) -> list[tuple[str, str, str]]:
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            run.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = (m.group(3) or "").lower()
+        start, end = m.span()
+        if start > at:
+            run.append(entities.unescape(page[at:start]))
+        at = end
+        closes, tag, attrs = m.group(2, 3, 4)
         if not tag:
             continue
+        tag = tag.lower()
         if tag in _INLINE:
             # Inline elements are not on the stack unless their names mark them.
             continue
         if tag == "br":
             run.append(" ")
             continue
-        flush()
-        if m.group(2):
+        if run:
+            flush()
+        if closes:
             while open_[tag] and len(stack) > 1:
                 last = stack.pop()[0]
                 open_[last] -= 1
                 if last == tag:
                     break
-        elif tag not in _VOID and not m.group(4).endswith("/"):
+        elif tag not in _VOID and not attrs.endswith("/"):
             while len(stack) > 1 and stack[-1][0] in _CLOSES.get(tag, ()):
                 open_[stack.pop()[0]] -= 1
-            kind = _kind(tag, m.group(4), stack[-1][2])
-            names = sorted(set(re.sub(r"\d+", "#", n.strip("\"'").lower()) for n in _NAMES.findall(m.group(4))))
-            box = xxhash.xxh128_hexdigest(f"{stack[-1][1]}>{tag}.{'.'.join(names)}".encode("utf-8", "surrogatepass"))
-            stack.append((tag, box, kind))
+            stack.append((_remembered if len(attrs) <= _SHORT else _entered)(tag, attrs, *stack[-1][1:]))
             open_[tag] += 1
     run.append(entities.unescape(page[at:]))
     flush()
@@ -178,7 +189,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = [blocks(h.decode()) for h in pages]
         told = [[_hash(t) for t, _, _ in c] for c in cut]
         seq = pa.array([xxhash.xxh128_digest(np.array(x, np.int64).tobytes()) for x in told], pa.binary())
-        boxes = pa.array([[_hash(b) for _, b, _ in c] for c in cut], pa.list_(pa.int64()))
+        boxes = pa.array([[b for _, b, _ in c] for c in cut], pa.list_(pa.int64()))
         arrays = [*[batch.column(c) for c in ("page_id", "host", "path", "_key")], seq, pa.array(told, pa.list_(pa.int64())), boxes]
         yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "host", "path", "_key", "_seq", "lines", "boxes"])
 
@@ -244,13 +255,12 @@ def ranked(pages: DataFrame, group: int) -> DataFrame:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, pages in slices(batches, "html"):
         out = []
-        told = zip(pages, *[batch.column(c).to_pylist() for c in ("shared", "mostly")], strict=True)
-        for page, shared, mostly in told:
+        told = zip(pages, *[batch.column(c).to_pylist() for c in ("shared", "usual")], strict=True)
+        for page, shared, usual in told:
             kept = []
+            sure = {x >> 1: x & 1 for x in usual or ()}  # places in mostly shared boxes
             for i, (text, _, kind) in enumerate(blocks(page.decode())):
-                usual = mostly[i] if mostly else 0
-                same = bool(shared and shared[i])
-                gone = kind == "chrome" or (usual == 2 and same if kind == "content" else usual > 0)
+                gone = kind == "chrome" or (sure.get(i) and shared and shared[i] if kind == "content" else i in sure)
                 if not gone:
                     kept.append(text)
             out.append(" ".join(kept))
@@ -273,16 +283,14 @@ def extract(pages: DataFrame, group: int = GROUP, mostly: float = MOSTLY) -> Dat
     lines = lines.groupBy("page_id", "_key", "host", "box").agg(F.collect_set("i").alias("at"))
     judged = lines.join(with_broadcast_if_small(of_host), ["host", "box"], "left").join(with_broadcast_if_small(stored(of_all)), "box", "left")
     usual = F.coalesce(F.col("s") / F.col("n"), F.col("t") / F.col("m"), F.lit(0.0)) > mostly
-    spots = F.transform("at", lambda i: F.struct(i.alias("i"), (F.col("blocks") >= SURE).alias("sure")))
+    # Twice the place, and one more where the host is sure.
+    spots = F.transform("at", lambda i: 2 * i.cast("long") + F.when(F.col("blocks") >= SURE, 1).otherwise(0))
     per_page = judged.where(usual).groupBy("page_id", "_key").agg(F.flatten(F.collect_list(spots)).alias("usual"))
-    verdict = cut.select("page_id", "_key", "host", "_seq", F.size("boxes").alias("k")).dropDuplicates(["page_id", "_key"])
+    verdict = cut.select("page_id", "_key", "host", "_seq").dropDuplicates(["page_id", "_key"])
     verdict = verdict.join(aligned.select("host", "_seq", "shared"), ["host", "_seq"], "left").join(per_page, ["page_id", "_key"], "left")
-    found = F.map_from_entries("usual")
-    flags = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.when(F.element_at(found, i), 2).when(F.map_contains_key(found, i), 1).otherwise(0))
-    flags = F.when(F.col("usual").isNotNull() & (F.col("k") > 0), flags)
-    verdict = verdict.select(F.col("page_id").alias("_p"), F.col("_key").alias("_k"), "shared", flags.alias("mostly"))
+    verdict = verdict.select(F.col("page_id").alias("_p"), F.col("_key").alias("_k"), "shared", "usual")
     joined = keyed.join(verdict, keyed["page_id"].eqNullSafe(F.col("_p")) & (keyed["_key"] == F.col("_k")), "left")
-    return joined.select("page_id", "url", "html", "shared", "mostly").mapInArrow(_texts, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "shared", "usual").mapInArrow(_texts, "page_id long, url string, text string")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
