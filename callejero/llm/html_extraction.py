@@ -238,10 +238,10 @@ def with_keys(pages: DataFrame) -> DataFrame:
 def ranked(pages: DataFrame, group: int) -> DataFrame:
     """_row, host, _seq, `_rank` in the host's URL order and `_group` of the first page of each distinct sequence.
 
-    pages is a range-sorted, stored table; each partition counts for itself.
+    Only keys are sorted by range; each partition counts for itself.
     """
-    first = pages.groupBy("host", "_seq").agg(F.min(F.struct("path", "page_id", "_key", "_row", "_part")).alias("_first"))
-    first = stored(first.select("host", "_seq", "_first.*"))
+    first = pages.groupBy("host", "_seq").agg(F.min(F.struct("path", "page_id", "_key", "_row")).alias("_first")).select("host", "_seq", "_first.*")
+    first = stored(first.repartitionByRange("host", "path", "page_id", "_key").withColumn("_part", F.spark_partition_id()))
     counts = first.groupBy("host", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("host", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("host")).alias("_all"))
@@ -271,7 +271,7 @@ def extract(pages: DataFrame, group: int = GROUP, mostly: float = MOSTLY) -> Dat
     """page_id, url and main text of every row of pages (page_id, url, html)."""
     keyed = with_keys(pages)
     cut = keyed.select("page_id", "host", "path", "_key", "html").mapInArrow(_pages, _PAGE)
-    cut = stored(cut.repartitionByRange("host", "path", "page_id", "_key").withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    cut = stored(cut.withColumn("_row", F.monotonically_increasing_id()))
     aligned = cut.select("_row", "lines", "boxes").join(ranked(cut, group), "_row").groupBy("host", "_group").applyInArrow(_align, _ALIGNED)
     aligned = stored(aligned)
 
