@@ -15,8 +15,8 @@ ZONE_PREFIX = r"URBANIZACION|URB\.?|PUEBLO JOVEN|P\.J\.|PJ|A\.H\.|AH|ASENTAMIENT
 
 
 def _get(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null without one; the text is evaluated once."""
-    return F.trim(F.get(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(group)), F.lit(0)))
+    """The group of the first match, null without one or if it is blank; the text is evaluated once."""
+    return F.nullif(F.trim(F.get(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(group)), F.lit(0))), F.lit(""))
 
 
 def street_type(text: Column) -> Column:

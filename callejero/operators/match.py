@@ -29,7 +29,7 @@ def match_type(text: Column, types: dict[int, tuple]) -> Column:
     known = F.create_map(*[F.lit(x) for i, t in types.items() for s in t[-1] for x in (s, i)])
     t = F.upper(F.trim(text))
     plain = remove_accents(t)
-    return F.coalesce(*[F.try_element_at(known, k) for k in (t, plain, F.rtrim(F.lit("."), t), F.rtrim(F.lit("."), plain))])
+    return F.coalesce(*[F.try_element_at(known, k) for k in (t, plain, F.rtrim(t, F.lit(".")), F.rtrim(plain, F.lit(".")))])
 
 
 def lookup_name(df: DataFrame, id_col: str, catalog: DataFrame, key: str, name: str, default: str = "DESCONOCIDO") -> DataFrame:

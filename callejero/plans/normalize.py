@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as ex
 from ..functions.risk import with_complexity
-from ..functions.text import capped, sanitize
+from ..functions.text import capped, clean_number, clean_reference, clean_sublot, kilometre, sanitize
 from ..operators import match as mt
+from ..operators import roles as ro
 from ..operators import validate as va
 from ..session import cut
 
@@ -32,6 +33,22 @@ def extract_fields(texts: DataFrame) -> DataFrame:
     })
 
 
+def settle_roles(df: DataFrame, vias: DataFrame, zonas: DataFrame) -> DataFrame:
+    """E4, E15, E17, then T8 to T11 on what they settle; `cruce` holds the streets that cross."""
+    df = cut(ro.settle_pair(df, vias, zonas))
+    df = cut(ro.settle_pieces(df, vias, zonas))
+    df = cut(ro.swap_roles(df, vias, zonas))
+    km = kilometre(F.col("clean"))
+    on_road = F.coalesce(F.regexp_replace(km, r"^KM\.?\s*0*", "") == F.ltrim(F.col("num_via"), F.lit("0")), F.lit(False))
+    ref = clean_reference(F.col("referencia"), F.col("clean"))
+    return df.withColumns({
+        "slote": clean_sublot(F.coalesce("slote", ex.door_letter(F.col("clean"), F.col("num_via")))),
+        "num_via": capped(F.when(~on_road & F.col("nom_via").isNotNull(), clean_number(F.col("num_via"))), "num_via"),
+        "referencia": capped(F.when(km.isNotNull() & ~F.coalesce(F.contains(ref, km), F.lit(False)), F.concat_ws(" - ", ref, km)).otherwise(ref), "referencia"),
+        "nom_via": capped(F.col("nom_via"), "nom_via"), "nom_zona": capped(F.col("nom_zona"), "nom_zona"),
+    })
+
+
 def match_fields(df: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Zone first, for its sector settles streets of equal name; distinct names only."""
     zone_index = mt.name_index(zonas, "zona_id", "nom_zona", unique=True)
@@ -58,14 +75,15 @@ def normalize(raw: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = T
     """Rows of raw (src_schema, src_table, src_row_id, raw_text) with fields, es_procesado, reasons and metodo."""
     rows = cut(raw.withColumn("clean", sanitize(F.col("raw_text"))))
     texts = rows.select("clean").where("clean != ''").distinct()
-    df = cut(match_fields(cut(extract_fields(texts)), vias, zonas, fuzzy))
+    df = cut(settle_roles(cut(extract_fields(texts)), vias, zonas))
+    df = cut(ro.with_streets(cut(match_fields(df, vias, zonas, fuzzy)), vias, zonas))
     df = df.withColumn("reasons", va.reasons(df))
     if route:
         df = df.withColumn("reasons", F.when(F.col("risk.complex"), F.array_prepend("reasons", F.concat(F.lit("COMPLEJA: "), F.array_join("risk.triggers", ",")))).otherwise(F.col("reasons")))
     df = cut(va.settle(df))
     if check:
         df = va.veto(va.validate(df))
-    fields = [c for c in (*va.FIELDS, "modulos", "esquinas", "es_procesado", "reasons", "metodo") if c in df.columns]
+    fields = [c for c in (*va.FIELDS, "modulos", "esquinas", "vias", "es_procesado", "reasons", "metodo") if c in df.columns]
     done = rows.join(df.select("clean", *fields), "clean", "left")
     empty = F.col("clean") == ""
     return done.withColumn("es_procesado", F.when(empty, F.lit(False)).otherwise(F.col("es_procesado"))).withColumn("reasons", F.when(empty, F.array(F.lit("DIRECCION VACIA"))).otherwise(F.col("reasons"))).withColumn("metodo", F.when(empty, "VACIA").otherwise(F.col("metodo")))

@@ -15,6 +15,7 @@ from .functions.similarity import seq_ratio
 from .operators import ingest as ig
 from .operators import load as ld
 from .operators import match as mt
+from .operators import roles as ro
 from .operators import select as sl
 from .operators import validate as va
 from .operators import views as vw
@@ -466,6 +467,61 @@ def _(t):
     return df.select("src_row_id", "es_procesado", "metodo", "via_id", "zona_id", "num_via", F.array_join("reasons", "; ").alias("motivos"))
 
 
+@query("w1_load")
+def _(t):
+    return ld.flatten_children(_normal(t), "vias", "src_row_id", {"via_id": "via_id", "divi_numero": "divi_numero"}, "divi_orden")
+
+
+# Zones of the demo end in digits, which 'A - B n' takes for the number: here they are spelt with letters.
+_LETTERED = "translate(nom_zona, '0123456789', 'ABCDEFGHIJ')"
+_PAIRED = f"SELECT r.src_row_id, replace(r.name, ' LT', 'LT') AS name, z.zone, CAST(1 + r.src_row_id % 900 AS STRING) AS num FROM named r JOIN (SELECT zona_id, {_LETTERED} AS zone FROM zona_catalog) z ON z.zona_id = 1 + r.src_row_id % 25"
+_KNOWN = "name IN (SELECT nom_via FROM via_catalog)"
+
+
+def _named(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The written street of each address with a zone of the catalogue beside it, and that catalogue."""
+    named = clean(t).select("src_row_id", ex.street_name(F.col("clean")).alias("name")).where("name is not null")
+    zonas = t["zona_catalog"].withColumn("nom_zona", F.expr(_LETTERED))
+    pairs = t["zona_catalog"].sparkSession.sql(_PAIRED.replace("FROM named", "FROM {named}").replace("FROM zona_catalog", "FROM {zonas}"), named=named, zonas=t["zona_catalog"])
+    return cut(pairs), zonas
+
+
+def _by_text(t: dict[str, DataFrame], columns: dict[str, str], settle: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The pairs with the given columns; settle runs once per distinct text (`clean`)."""
+    pairs, zonas = _named(t)
+    pairs = pairs.select("src_row_id", *[F.expr(e).alias(c) for c, e in columns.items()])
+    done = settle(cut(pairs.drop("src_row_id").distinct()), t["via_catalog"], zonas)
+    return pairs.select("src_row_id", "clean").join(done, "clean")
+
+
+@query("e4_settle_pair", f"""WITH {_CLEAN}, named AS (SELECT src_row_id, {_NAME_SQL} AS name FROM clean WHERE {_NAME_SQL} IS NOT NULL), pairs AS ({_PAIRED}), f AS (SELECT *, src_row_id % 4 AS form, {_KNOWN} AS known FROM pairs)
+SELECT src_row_id, CASE WHEN form IN (1, 3) AND NOT known THEN zone ELSE name END AS nom_via, CASE WHEN form IN (1, 3) AND NOT known THEN name ELSE zone END AS nom_zona, CASE WHEN form < 2 THEN num END AS num_via FROM f""")
+def _(t):
+    none = "CAST(NULL AS STRING)"
+    text = "CASE src_row_id % 4 WHEN 0 THEN zone || ' - ' || name || ' ' || num WHEN 1 THEN name || ' ' || num || ' - ' || zone WHEN 2 THEN zone || ' - ' || name ELSE name || ' - ' || zone END"
+    return _by_text(t, {"clean": text, "nom_via": none, "nom_zona": none, "num_via": none}, ro.settle_pair).select("src_row_id", "nom_via", "nom_zona", "num_via")
+
+
+@query("e15_settle_pieces", f"""WITH {_CLEAN}, named AS (SELECT src_row_id, {_NAME_SQL} AS name FROM clean WHERE {_NAME_SQL} IS NOT NULL), pairs AS ({_PAIRED}), f AS (SELECT *, src_row_id % 4 AS form, {_KNOWN} AS known FROM pairs)
+SELECT src_row_id, CASE WHEN form = 3 OR (known AND form < 2) THEN name WHEN form = 0 THEN zone || ' - ' || name WHEN form = 1 THEN name || ' CON ' || zone WHEN known THEN name ELSE name || ' Y ' || name END AS nom_via,
+  CASE WHEN known AND form < 2 THEN zone END AS nom_zona FROM f""")
+def _(t):
+    street = "CASE src_row_id % 4 WHEN 0 THEN zone || ' - ' || name WHEN 1 THEN name || ' CON ' || zone WHEN 2 THEN name || ' Y ' || name ELSE name END"
+    columns = {"clean": street, "nom_via": street, "nom_zona": "CAST(NULL AS STRING)", "cruce": "CAST(NULL AS ARRAY<STRING>)"}
+    return _by_text(t, columns, ro.settle_pieces).select("src_row_id", "nom_via", "nom_zona")
+
+
+@query("e17_swap", f"""WITH {_CLEAN}, named AS (SELECT src_row_id, {_NAME_SQL} AS name FROM clean WHERE {_NAME_SQL} IS NOT NULL), pairs AS ({_PAIRED}), f AS (SELECT *, src_row_id % 4 AS form, {_KNOWN} AS known FROM pairs)
+SELECT src_row_id, CASE WHEN form < 2 OR known THEN name WHEN form = 2 THEN NULL ELSE name END AS nom_via, CASE WHEN form = 2 THEN CASE WHEN known THEN NULL ELSE name END ELSE zone END AS nom_zona, CASE WHEN form = 3 OR (form = 0 AND known) THEN num END AS num_via FROM f""")
+def _(t):
+    columns = {
+        "clean": "name || ', ' || zone || ' ' || num || CASE src_row_id % 4 WHEN 1 THEN ' A' WHEN 2 THEN ' B' WHEN 3 THEN ', ' || name || ' ' || num ELSE '' END",
+        "nom_via": "CASE src_row_id % 4 WHEN 0 THEN zone WHEN 1 THEN name WHEN 3 THEN zone END", "nom_zona": "CASE src_row_id % 4 WHEN 0 THEN name WHEN 1 THEN zone WHEN 2 THEN name END",
+        "num_via": "CAST(NULL AS STRING)", "referencia": "CASE src_row_id % 4 WHEN 3 THEN name || ' ' || num END",
+    }
+    return _by_text(t, columns, ro.swap_roles).select("src_row_id", "nom_via", "nom_zona", "num_via")
+
+
 @query("w1_normalize_exact", f"""WITH {_CLEAN},
 named AS (SELECT src_row_id, clean, {_NAME_SQL} AS name, CASE WHEN regexp_matches(clean, '\\b(AV|AVENIDA|AVDA)\\b') THEN 1 WHEN regexp_matches(clean, '\\b(CALLE|CA|CL)\\b') THEN 2 WHEN regexp_matches(clean, '\\b(JR|JIRON)\\b') THEN 3 WHEN regexp_matches(clean, '\\b(PJE|PASAJE|PSJ)\\b') THEN 4 WHEN regexp_matches(clean, '\\bAL\\b') THEN 5 END AS type,
   {_null("regexp_extract(clean, 'URB\\.?\\s+(SECTOR [A-Z]+ [0-9]+(?: FRENTE)?)', 1)")} AS zone FROM clean WHERE clean <> ''),
