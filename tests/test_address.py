@@ -52,7 +52,7 @@ def test_numbers_and_units(spark):
 def test_type_ids(spark):
     for word, id_ in {"MZ": 1, "LT": 2, "PISO": 4, "PREDIO": 5, "VALLE": 6, "BLOCK": 11}.items():
         assert one(spark, mt.match_type(F.col("t"), lx.COMPONENT_TYPES), t=word) == id_
-    for word, id_ in {"INT": 1, "DPTO": 2, "PTA": 3, "STAND": 4, "TIENDA": 5, "BLOCK": None}.items():
+    for word, id_ in {"INT": 1, "DPTO": 2, "PTA": 3, "STAND": 4, "TIENDA": 5, "BLOCK": None, "PUERTA.": 3, "TIENDA.": 5}.items():
         assert one(spark, mt.match_type(F.col("t"), lx.UNIT_TYPES), t=word) == id_
 
 
