@@ -110,7 +110,8 @@ def fuzzy_candidates(queries: DataFrame, catalog: DataFrame, kind: str, id_col:
     """Name -> the k best catalogue rows with their scores, by blocking on shared words or leading letters."""
     q = queries.select("name", *[c for c in ("type_hint", "sector_hint") if c in queries.columns]).where("name is not null").distinct()
     q = q.withColumn("q_norm", normalize_variants(F.col("name"))).withColumn("q_tok", sig_tokens(F.col("q_norm"), kind))
-    q = q.where((F.size("q_tok") > 0) & ~F.col("q_norm").isin(lx.CITIES))
+    hinted = F.col("type_hint").isNotNull() if "type_hint" in q.columns else F.lit(False)
+    q = q.where((F.size("q_tok") > 0) & (hinted | ~F.col("q_norm").isin(lx.CITIES)))
     extra = [c for c in ("id_tipo_via", "id_tipo_zona", "sector") if c in catalog.columns]
     c = catalog.select(F.col(id_col), F.col(name_col), *extra).withColumn("n_norm", normalize_variants(F.col(name_col))).withColumn("n_tok", sig_tokens(F.col("n_norm"), kind)).where(F.size("n_tok") > 0)
     block = lambda tok: F.explode(F.concat(tok, F.when(F.size(tok) == 1, F.array(F.concat(F.lit("^"), F.left(F.get(tok, F.lit(0)), F.lit(4))))).otherwise(F.array().cast("array<string>"))))

@@ -11,18 +11,22 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.load import address_key
 
 
-def continuous(raw: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, keys: list[str] | None = None) -> StreamingQuery:
+def continuous(raw: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
     """Every micro-batch is normalised and put under its key, so a row seen twice changes nothing.
 
     A batch is written to its own folder by batch id, replacing what a failed attempt left; `current` reads
-    the latest row of each key. Rows without text or id go to the folder `rejected` and do not stop the run.
+    the latest row of each key. Of several rows of a key in one batch the last by `order` stays, without it
+    the one with the greatest values, so that a replay agrees. Rows with neither text nor id go to the folder
+    `rejected` and do not stop the run.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         bad = F.col("raw_text").isNull() & F.col("src_row_id").isNull()
         batch.where(bad).write.mode("overwrite").parquet(f"{target}/rejected/batch={batch_id}")
-        rows = batch.where(~bad).dropDuplicates(["src_schema", "src_table", "src_row_id", "raw_text"])
-        out = transform(rows).withColumn("dire_id", address_key(F.col("src_schema"), F.col("src_table"), F.col("src_row_id"), F.col("raw_text")))
+        key = address_key(F.col("src_schema"), F.col("src_table"), F.col("src_row_id"), F.col("raw_text"))
+        last = F.struct(*([order] if order else []), *[c for c in batch.columns if c != order])
+        rows = batch.where(~bad).groupBy(key.alias("_key")).agg(F.max(last).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in batch.columns])
+        out = transform(rows).withColumn("dire_id", key)
         out.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
 
     return raw.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
