@@ -1,4 +1,4 @@
-"""Integrity rules and validation of a normalised address (V1 to V7, L1 to L4)."""
+"""Integrity rules and validation of a normalised address, evidence of external values (V1 to V7, L2 to L4)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as ex
 from ..functions import lexicon as lx
+from ..functions.aliases import STREET_ALIASES, ZONE_ALIASES
 from ..functions.similarity import seq_ratio
 from ..functions.text import canonical_tokens, sanitize, sig_tokens, words_to_array
 from ..session import cut
@@ -61,10 +62,19 @@ def rebuilt_text() -> Column:
     return F.concat_ws(" ", street, said("MANZANA ", "manzana"), said("LOTE ", "lote"), said("SUBLOTE ", "slote"), said("PISO ", "piso"), said("BLOCK ", "block"), F.array_join(modules, " "), F.concat_ws(" ", F.array_join("esquinas", " ")), F.col("nom_zona"), F.col("referencia"))
 
 
+def _alias_words(names: Column, aliases: dict[str, str]) -> Column:
+    """The words of all aliases whose target is one of the names, holds it or is held by it."""
+    known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(t).alias("target")) for a, t in aliases.items()])
+    names = F.filter(F.transform(names, lambda n: F.upper(F.trim(n))), lambda n: n != "")
+    said = F.filter(known, lambda a: F.exists(names, lambda n: F.contains(n, a["target"]) | F.contains(a["target"], n)))
+    return canonical_tokens(F.array_join(F.transform(said, lambda a: a["alias"]), " "))
+
+
 def coverage(df: DataFrame, text: str = "clean", key: str = "id") -> DataFrame:
-    """V4: `raw_tokens`, `unmatched` and `coverage` of each row; the similarity helper sees leftovers only."""
+    """V4: `raw_tokens`, `unmatched` and `coverage` of each row; aliases excuse words, the similarity helper sees leftovers only."""
     no_words = F.array().cast("array<string>")
-    explained = canonical_tokens(F.col("rebuilt"))
+    streets = F.concat(F.array("nom_via"), F.coalesce("esquinas", no_words))
+    explained = F.concat(canonical_tokens(F.col("rebuilt")), _alias_words(streets, STREET_ALIASES), _alias_words(F.array("nom_zona"), ZONE_ALIASES))
     extra = F.concat(
         F.when(_has("nom_via"), words_to_array(lx.TOKEN_STREET_TYPES)).otherwise(no_words),
         F.when(_has("nom_zona") | F.col("zona_id").isNotNull(), words_to_array(lx.TOKEN_ZONE_TYPES)).otherwise(no_words),
@@ -107,25 +117,35 @@ def align_fields(df: DataFrame) -> DataFrame:
     return df.withColumn("componentes", parts)
 
 
-EXTRACTION = "vias array<struct<nombre:string,tipo_via:string,numero:string>>, zona string, referencia string, slote string, nom_via string, num_via string, es_correcto boolean"
-
-
-def parse_extraction(answer: Column) -> Column:
-    """L1: the struct of an external extraction in JSON; flat keys fill what the list lacks, bad JSON gives nulls."""
-    s = F.from_json(answer, EXTRACTION)
-    first = F.get(s["vias"], F.lit(0))
-    name = F.upper(F.trim(F.coalesce(first["nombre"], s["nom_via"])))
-    return F.struct(
-        F.when(~name.isin(lx.CITIES), name).alias("nom_via"),
-        F.coalesce(first["numero"], s["num_via"]).alias("num_via"),
-        F.upper(F.trim(F.regexp_replace(s["zona"], r"(?iU)^H\.?U\.?\s+", "URBANIZACION "))).alias("nom_zona"),
-        F.upper(F.trim(s["referencia"])).alias("referencia"),
-    )
-
-
 def with_evidence(value: Column, text: Column, kind: str = "street") -> Column:
-    """L2: an external value counts only if it shares a telling word with the text."""
-    return F.when(F.arrays_overlap(sig_tokens(value, kind), sig_tokens(sanitize(text), kind)), value)
+    """L2: an external value counts only if it shares a telling word with the text, or if an alias of it is written."""
+    aliases = STREET_ALIASES if kind == "street" else ZONE_ALIASES
+    known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(t).alias("target")) for a, t in aliases.items()])
+    alias = F.exists(known, lambda a: F.contains(F.upper(value), a["target"]) & F.contains(F.upper(text), a["alias"]))
+    return F.when(F.arrays_overlap(sig_tokens(value, kind), sig_tokens(sanitize(text), kind)) | alias, value)
+
+
+_STREET_WORD = r"(?iU)\b(?:AV\.?|AVENIDA|CA\.?|CALLE|JR\.?|JIRON|PJE\.?|PASAJE)\b"
+_ZONE_WORD = r"(?iU)\b(?:URB\.?|URBANIZACION|PJ\.?|PP\.?JJ\.?|PUEBLO\s+JOVEN|A\.?H\.?)\b"
+# Words that are no evidence of a reference.
+REFERENCE_STOPWORDS = ["DEL", "LOS", "LAS", "POR", "CON", "PARA", "SIN", "FRENTE", "CERCA", "COSTADO", "ENTRE", "CRUCE", "ESQ", "ESQUINA", "PISO", "BLOCK", "LOTE", "MANZANA"]
+
+
+def zone_with_evidence(zone: Column, street: Column, text: Column) -> Column:
+    """L2 for zones: no city, CERCADO only if written, a shared word or alias, and not the street's name over again."""
+    said = F.upper(text)
+    cercado = F.contains(F.upper(zone), F.lit("CERCADO")) & ~F.contains(said, F.lit("CERCADO"))
+    city = F.upper(F.trim(zone)).isin(lx.CITIES)
+    v, z = sig_tokens(F.regexp_replace(street, _STREET_WORD, ""), "street"), sig_tokens(F.regexp_replace(zone, _ZONE_WORD, ""), "zone")
+    within = (F.size(F.array_except(v, z)) == 0) | (F.size(F.array_except(z, v)) == 0)
+    again = F.coalesce((F.size(v) > 0) & (F.size(z) > 0) & within, F.lit(False)) & ~text.rlike(_ZONE_WORD)
+    return F.when(~cercado & ~city & ~again, with_evidence(zone, text, "zone"))
+
+
+def reference_with_evidence(value: Column, text: Column) -> Column:
+    """L2 for references: dropped if it has telling words and none of them is in the text."""
+    words = F.filter(F.regexp_extract_all(F.upper(value), F.lit(r"([A-ZÁÉÍÓÚÑ0-9]+)"), F.lit(1)), lambda w: (F.char_length(w) > 2) & ~w.isin(REFERENCE_STOPWORDS))
+    return F.when((F.size(words) == 0) | F.exists(words, lambda w: F.contains(F.upper(text), w)), value)
 
 
 def combine(external: dict[str, Column], own: dict[str, Column]) -> tuple[dict[str, Column], Column]:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .functions import extract as ex
 from .functions import lexicon as lx
 from .functions import text as tx
+from .functions.aliases import STREET_ALIASES
 from .functions.risk import with_complexity
 from .functions.similarity import seq_ratio
+from .operators import answers as an
 from .operators import ingest as ig
 from .operators import load as ld
 from .operators import match as mt
@@ -303,11 +305,11 @@ field("e8_zone_type", lambda: ex.zone_type(_T()), r"CASE WHEN regexp_matches(cle
 field("e9_zone_name", lambda: ex.zone_name(_T()), rf"""regexp_replace({_null("regexp_extract(clean, 'URB\\.?\\s+(SECTOR [A-Z]+ [0-9]+(?: FRENTE)?)', 1)")}, '\s+CHICLAYO$', '')""")
 field("e10_reference", lambda: ex.reference(_T()), rf"coalesce({_get(r'\(([^)]+)\)')}, {_get(r'\b(FRENTE\s+AL?\s+[^,;()]+)')})")
 field("e11_floor", lambda: ex.floor_number(_T()), _get(r"\b(\d+)\s*PISO\b"))
-field("e12_tower", lambda: ex.tower(_T()), _get(r"\b(?:BLOCK|BLOQUE|BLQ|TORRE)\s+([A-Z0-9-]+)\b"))
+field("e12_tower", lambda: ex.tower(F.replace(_T(), F.lit("MZ B"), F.lit("TORRE B-2"))), r"CASE WHEN contains(clean, 'MZ B') THEN 'B-2' END")
 field("e13_units", lambda: F.array_join(F.transform(ex.units(_T()), lambda u: F.concat_ws(":", u["timo_id"].cast("string"), u["ditm_nombre"])), ","), r"""coalesce(array_to_string(list_filter([
   CASE WHEN regexp_matches(clean, '\bINT-17 - 19\b') THEN '1:17,1:19' END, CASE WHEN regexp_matches(clean, '\bDPTO-201\b') THEN '2:201' END,
   CASE WHEN regexp_matches(clean, 'TIENDAS 3, 4, 5 Y 6') THEN '5:3,5:4,5:5,5:6' END], lambda x: x IS NOT NULL), ','), '')""")
-field("e16_is_shop", lambda: ex.is_shop(_T()), r"regexp_matches(clean, '\b(MERCADO|MALL|REAL PLAZA|OPEN PLAZA|RIPLEY|SAGA)\b')")
+field("e16_is_shop", lambda: ex.is_shop(F.replace(_T(), F.lit("TIENDAS 3"), F.lit("MERCADO MODELO 3"))), "contains(clean, 'TIENDAS 3')")
 field("e18_unclear_unit", lambda: ex.unclear_unit(F.regexp_replace(_T(), "INT-17 - 19", "TIENDA METROPOLIS")), r"regexp_matches(clean, 'INT-17 - 19')")
 
 
@@ -579,7 +581,12 @@ def _(t):
     return _fields(t).withColumn("modulos", F.array().cast("array<struct<timo_id:int,ditm_nombre:string>>")).withColumn("esquinas", F.array().cast("array<string>")).select("id", va.rebuilt_text().alias("texto"))
 
 
-@query("v4_coverage", f"""WITH {_CLEAN}, tok AS (SELECT src_row_id AS id, {_CANON_SQL.replace("raw_text", "clean")} AS raw, {_CANON_SQL.replace("coalesce(raw_text, '')", "'AVENIDA ' || split_part(clean, ' ', 2)")} AS norm FROM clean WHERE clean <> '')
+_quoted = lambda text: text.replace("'", "''")
+_ALIASES = "[" + ", ".join(f"{{'alias': '{_quoted(a)}', 'target': '{_quoted(t)}'}}" for a, t in STREET_ALIASES.items()) + "]"
+_ALSO = f"CASE WHEN split_part(clean, ' ', 2) <> '' THEN array_to_string(list_transform(list_filter({_ALIASES}, lambda a: contains(split_part(clean, ' ', 2), a.target) OR contains(a.target, split_part(clean, ' ', 2))), lambda a: a.alias), ' ') ELSE '' END"
+
+
+@query("v4_coverage", f"""WITH {_CLEAN}, tok AS (SELECT src_row_id AS id, {_CANON_SQL.replace("raw_text", "clean")} AS raw, {_CANON_SQL.replace("coalesce(raw_text, '')", f"'AVENIDA ' || split_part(clean, ' ', 2) || ' ' || strip_accents({_ALSO})")} AS norm FROM clean WHERE clean <> '')
 SELECT id, round(len(list_filter(raw, lambda w: list_contains(norm, w) OR w IN ('AVENIDA', 'CALLE', 'JIRON', 'PASAJE', 'PROLONGACION', 'CARRETERA', 'AUTOPISTA'))) / len(raw), 6) AS coverage FROM tok""")
 def _(t):
     df = cut(clean(t)).where("clean != ''").select(F.col("src_row_id").alias("id"), "clean", F.coalesce(F.get(F.split("clean", " "), F.lit(1)), F.lit("")).alias("nom_via"), F.lit(None).cast("string").alias("nom_zona"), F.lit(None).cast("long").alias("zona_id"), F.array().cast("array<string>").alias("esquinas"))
@@ -609,18 +616,57 @@ def _(t):
 
 # ---- external extraction -------------------------------------------------------------------------------
 
-_ANSWER = """CASE src_row_id % 3 WHEN 0 THEN '{"vias":[{"nombre":"calle real","numero":"' || CAST(src_row_id AS STRING) || '"}],"zona":"H.U. Sol","referencia":"parque"}' WHEN 1 THEN '{"nom_via":"Chiclayo","num_via":"7"}' ELSE 'not json' END"""
+_ANSWER = """CASE src_row_id % 5
+  WHEN 0 THEN '{"vias":[{"nombre":" ' || lower(name) || '","tipo":"calle","num":"' || row || '"},"Grau"],"zona":"sol","Tipo_Zona":"H.U."}'
+  WHEN 1 THEN '{"nombre_via":"' || name || '","NÚMERO":"' || row || '","Mz":"a","LT.":"' || row || '","Nivel":"piso 3","Torre":"torre c"}'
+  WHEN 2 THEN '{"via":"Chiclayo","nom_zona":"Pimentel","componentes":[{"nombre":"sublote","valor":"SLT B' || row || '"},{"nombre":"nivel","valor":"2do"}],"modulos":[{"tipo_modulo":"TIENDA","valor":["3","' || row || '"]},{"tipo_modulo":"blq","valor":"D"}]}'
+  WHEN 3 THEN '{"Sub LT.":"INT 5, 6","referencia":"2DO PISO FRENTE A ' || name || ' TORRE A - ","Dep.":"201"}' ELSE 'not json ' || name END"""
+_NAMED_SQL = f"named AS (SELECT src_row_id, CAST(src_row_id AS VARCHAR) AS row, {_NAME_SQL} AS name FROM clean WHERE {_NAME_SQL} IS NOT NULL)"
+
+
+def _parts_text(column: str, a: str, b: str) -> F.Column:
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x[a].cast("string"), x[b])), ",")
+
+
+@query("l1_parse_extraction", f"""WITH {_CLEAN}, {_NAMED_SQL}, f AS (SELECT *, src_row_id % 5 AS form FROM named)
+SELECT src_row_id, CASE WHEN form < 2 THEN name END AS nom_via, CASE WHEN form = 0 THEN 'CALLE' END AS tipo_via, CASE WHEN form < 2 THEN row END AS num_via,
+  CASE form WHEN 0 THEN name || ',GRAU' WHEN 1 THEN name ELSE '' END AS vias, CASE WHEN form = 0 THEN 'SOL' END AS nom_zona, CASE WHEN form = 0 THEN 'URBANIZACION' END AS tipo_zona,
+  CASE form WHEN 1 THEN 'MANZANA:A,LOTE:' || row || ',PISO:3,BLOCK:C' WHEN 2 THEN 'SUBLOTE:B' || row || ',PISO:2,BLOCK:D' WHEN 3 THEN 'PISO:2,BLOCK:A' ELSE '' END AS componentes,
+  CASE form WHEN 2 THEN '5:3' || CASE WHEN row = '3' THEN '' ELSE ',5:' || row END WHEN 3 THEN '2:201,1:5,1:6' ELSE '' END AS modulos, CASE WHEN form = 1 THEN row END AS lote, CASE WHEN form = 2 THEN 'B' || row END AS slote,
+  CASE form WHEN 1 THEN '3' WHEN 2 THEN '2' WHEN 3 THEN '2' END AS piso, CASE form WHEN 1 THEN 'C' WHEN 2 THEN 'D' WHEN 3 THEN 'A' END AS block, CASE WHEN form = 3 THEN 'FRENTE A ' || name END AS referencia FROM f""")
+def _(t):
+    named = clean(t).select("src_row_id", F.col("src_row_id").cast("string").alias("row"), ex.street_name(F.col("clean")).alias("name")).where("name is not null")
+    df = an.parse_answers(cut(named.select("src_row_id", F.expr(_ANSWER).alias("answer"))), "answer")
+    return df.select("src_row_id", "nom_via", "tipo_via", "num_via", F.array_join("vias.nombre", ",").alias("vias"), "nom_zona", "tipo_zona", _parts_text("componentes", "nombre", "valor").alias("componentes"), _parts_text("modulos", "timo_id", "ditm_nombre").alias("modulos"), "lote", "slote", "piso", "block", "referencia")
+
+
+@query("v7_align_lists", """WITH p AS (SELECT dire_id, max(CASE WHEN codi_id = 1 THEN diti_valor END) AS manzana, max(CASE WHEN codi_id = 2 THEN diti_valor END) AS lote, max(CASE WHEN codi_id = 3 THEN diti_valor END) AS sub,
+  max(CASE WHEN codi_id = 4 THEN diti_valor END) AS piso, max(CASE WHEN codi_id = 11 THEN diti_valor END) AS block, count(*) AS n FROM address_comp GROUP BY dire_id), f AS (SELECT *, dire_id % 4 AS form, CAST(dire_id AS VARCHAR) AS row FROM p)
+SELECT dire_id, manzana, lote, CASE form WHEN 2 THEN 'INT ' || row WHEN 3 THEN 'B' ELSE sub END AS slote, coalesce(CASE WHEN form = 0 THEN row END, piso) AS piso, coalesce(CASE WHEN form = 1 THEN 'C' END, block) AS block,
+  CASE WHEN form = 0 THEN 'ESQUINA SOL' END AS referencia, CASE WHEN form = 2 THEN '1:' || row ELSE '' END AS modulos, row AS num_via,
+  n + CASE WHEN form >= 2 AND sub IS NULL THEN 1 ELSE 0 END + CASE WHEN form = 0 AND piso IS NULL THEN 1 ELSE 0 END + CASE WHEN form = 1 AND block IS NULL THEN 1 ELSE 0 END AS partes FROM f""")
+def _(t):
+    parts = t["address_comp"].groupBy("dire_id").agg(F.array_sort(F.collect_list(F.struct("codi_id", "diti_valor"))).alias("componentes"))
+    none, row = F.lit(None).cast("string"), F.col("dire_id").cast("string")
+    sub = F.expr("CASE dire_id % 4 WHEN 0 THEN 'piso ' || CAST(dire_id AS STRING) || ' - esquina sol' WHEN 1 THEN 'SLT - TORRE C' WHEN 2 THEN 'INT ' || CAST(dire_id AS STRING) ELSE 'Sub Lote: B' END")
+    df = parts.withColumns({**{c: none for c in ("manzana", "lote", "piso", "block", "referencia", "num_via")}, "slote": sub, "modulos": F.array().cast(an.UNITS), "vias": F.array(F.struct(row.alias("divi_numero")))})
+    return an.align_lists(df).select("dire_id", "manzana", "lote", "slote", "piso", "block", "referencia", _parts_text("modulos", "timo_id", "ditm_nombre").alias("modulos"), "num_via", F.size("componentes").cast("long").alias("partes"))
 
 
-@query("l1_parse_extraction", "SELECT src_row_id, CASE WHEN src_row_id % 3 = 0 THEN 'CALLE REAL' END AS nom_via, CASE src_row_id % 3 WHEN 0 THEN CAST(src_row_id AS VARCHAR) WHEN 1 THEN '7' END AS num_via, CASE WHEN src_row_id % 3 = 0 THEN 'URBANIZACION SOL' END AS nom_zona, CASE WHEN src_row_id % 3 = 0 THEN 'PARQUE' END AS referencia FROM raw_addresses")
+@query("l2_evidence", f"WITH {_CLEAN}, {_NAMED_SQL} SELECT src_row_id, CASE WHEN src_row_id % 2 = 0 THEN name END AS nom_via FROM named")
 def _(t):
-    return t["raw_addresses"].select("src_row_id", va.parse_extraction(F.expr(_ANSWER)).alias("x")).select("src_row_id", "x.*")
+    named = clean(t).select("src_row_id", "raw_text", ex.street_name(F.col("clean")).alias("name")).where("name is not null")
+    return named.select("src_row_id", va.with_evidence(F.when(F.col("src_row_id") % 2 == 0, F.col("name")).otherwise("CALLE QUETZALCOATL"), F.col("raw_text")).alias("nom_via"))
 
 
-@query("l2_evidence", "SELECT src_row_id, CASE WHEN src_row_id % 2 = 0 THEN 'AVENIDA BALTA' END AS nom_via FROM raw_addresses")
+@query("l2_evidence_aliases", f"""WITH {_CLEAN}, {_NAMED_SQL} SELECT src_row_id, CASE WHEN src_row_id % 4 = 0 THEN 'PORCULLA' END AS nom_via,
+  CASE src_row_id % 4 WHEN 0 THEN 'CERCADO DE CHICLAYO' WHEN 1 THEN 'URB. ' || name WHEN 3 THEN 'PROGRESIVA SAN JOSÉ OBRERO' END AS nom_zona, CASE WHEN src_row_id % 4 <> 2 THEN 'FRENTE A ' || name END AS referencia FROM named""")
 def _(t):
-    value = F.expr("CASE WHEN src_row_id % 2 = 0 THEN 'AVENIDA BALTA' ELSE 'CALLE GRAU' END")
-    return t["raw_addresses"].select("src_row_id", va.with_evidence(value, F.lit("Av. Balta 500")).alias("nom_via"))
+    named = clean(t).select("src_row_id", F.upper("raw_text").alias("raw_text"), ex.street_name(F.col("clean")).alias("name")).where("name is not null")
+    text = F.expr("concat(name, CASE src_row_id % 4 WHEN 0 THEN ' PORCUYA CERCADO' WHEN 1 THEN ' URB. ' || name WHEN 2 THEN ' 5' ELSE ' JOSE OBRERO' END)")
+    zone = F.expr("CASE src_row_id % 4 WHEN 0 THEN 'CERCADO DE CHICLAYO' WHEN 1 THEN 'URB. ' || name WHEN 2 THEN name ELSE 'PROGRESIVA SAN JOSÉ OBRERO' END")
+    ref = F.expr("CASE WHEN src_row_id % 4 = 2 THEN 'FRENTE AL QUETZALCOATL' ELSE 'FRENTE A ' || name END")
+    return named.select("src_row_id", va.with_evidence(F.lit("PORCULLA"), text).alias("nom_via"), va.zone_with_evidence(zone, F.col("name"), text).alias("nom_zona"), va.reference_with_evidence(ref, text).alias("referencia"))
 
 
 @query("l3_combine", "SELECT src_row_id, CASE WHEN src_row_id % 2 = 0 THEN 'IA' ELSE 'PROPIA' END AS nom_via, CASE WHEN src_row_id % 3 = 0 THEN '5' END AS num_via, CASE WHEN src_row_id % 2 <> 0 THEN 'HEURISTICA' WHEN src_row_id % 3 = 0 THEN 'HIBRIDO' ELSE 'IA' END AS metodo FROM raw_addresses")

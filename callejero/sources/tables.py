@@ -57,6 +57,16 @@ def write_normalized(tables: dict[str, DataFrame], folder: str) -> None:
         (writer.partitionBy("dire_esquema", "dire_tabla") if name == "address" else writer).parquet(f"{folder}/{name}")
 
 
+def write_jdbc(tables: dict[str, DataFrame], url: str, mode: str = "append", batch: int = 10_000, **properties: str) -> None:
+    """The relational tables into a database; overwrite empties a table and keeps its definition.
+
+    Appending twice inserts twice: pass rows that the table lacks (`insert_missing`), so that a lost executor's retry
+    meets the table's own key.
+    """
+    for name, df in tables.items():
+        df.write.mode(mode).option("batchsize", batch).option("truncate", "true").jdbc(url, name, properties=properties)
+
+
 def write_csv_report(df: DataFrame, path: str) -> None:
     """Flat CSV with header, quotes only where needed."""
     df.write.mode("overwrite").csv(path, header=True, quoteAll=False, emptyValue="")
