@@ -76,6 +76,29 @@ def test_sharding_contract_and_movement(spark, folder):
     assert moved < 0.13 * 20_000  # 1/17 is the least; bounded loads pass some rows on
 
 
+def test_mixing_targets(spark, folder):
+    """Targets by weight with the excess over three times a source's size shared anew, in plain Python."""
+    found = QUERIES["op3_mixing"](spark, folder).collect()
+    source = collections.Counter((r["doc_id"], r["source"], len(re.findall(SPACE, r["text"] or ""))) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    sizes = collections.Counter()
+    for (_, name, size), n in source.items():
+        sizes[name] += size * n
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {name: 1 + i % 3 for i, name in enumerate(order)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[x] for x in capped)
+        share = sum(weight[x] for x in order if x not in capped)
+        over = {x for x in order if x not in capped and rest * weight[x] / share > 3 * sizes[x]}
+        if not over:
+            break
+        capped |= over
+    target = {x: 3 * sizes[x] if x in capped else rest * weight[x] / share for x in order}
+    assert sorted((n, round(t, 6)) for n, t in {(r["source_size"], r["target"]) for r in found}) == sorted({(sizes[x], round(target[x], 6)) for x in order})
+    assert all(0 <= r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0) for r in found)
+    assert multiset(QUERIES["op3_mixing"](spark, folder), "doc_id", "taken") == collections.Counter((r["doc_id"], r["taken"]) for r in found)
+
+
 def shingles(text, width):
     w = re.findall(SPACE, lower(text))
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)]) if w else frozenset()
