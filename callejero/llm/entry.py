@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP2_SQL, op2_decontamination
 from .html_extraction import op8_html_extraction
 from .language_id import op1_language_id
+from .merkle_manifest import OP13_SQL, op13_merkle_manifest
 from .mixing import op3_mixing
 from .near_dedup import op9_near_dedup
 from .pii import op5_pii
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
