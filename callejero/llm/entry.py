@@ -9,6 +9,7 @@ from .merkle_manifest import OP13_SQL, op13_merkle_manifest
 from .mixing import op3_mixing
 from .near_dedup import op9_near_dedup
 from .pii import op5_pii
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .sharding import op4_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -32,5 +34,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
