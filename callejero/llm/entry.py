@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
 from .html_extraction import op8_html_extraction
+from .jaccard_join import OP12_SQL, op12_jaccard_join
 from .language_id import op1_language_id
 from .merkle_manifest import OP13_SQL, op13_merkle_manifest
 from .mixing import op3_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -35,5 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_jaccard_join": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
