@@ -4,12 +4,15 @@ A document's set holds the distinct shingles of `width` words (the whole sequenc
 sets are one class; classes are joined, documents only carry their class's component.
 
 Two sets that link share a shingle among the first few of each, in any one order of all shingles (prefix
-filter). First the order is by hash: every class lists its prefix, and shingles that two classes list make the
-lists of an index. The set of a list that meets most others, its leader, is compared with the list's other
-sets, so that a list of n sets costs n comparisons, and stars contract what links.
+filter). The first order is by how often shingles of one cell of a hash table occur (`CELLS` saturated
+counters, summed over the tasks and sent to all), then by hash: passages that many documents share come
+late. Counts that are too high by other shingles of the cell cost time, never a link. Every class lists its
+prefix, and shingles that two classes list make the lists of an index. The set of a list that meets most
+others, its leader, is compared with the list's other sets, so that a list of n sets costs n comparisons,
+and stars contract what links.
 
 What is left are lists that hold several components. Their sets are indexed again, the shingles in order of
-how few of these sets hold them, which takes passages that many documents share out of the prefixes.
+how few of these sets hold them, by exact counts.
 
 * Index skipping: a list is cut into blocks of one component, one range of sizes and one range of places of
   the shingle in its set, about `BLOCK` sets a block at most. Blocks are joined, not sets: a block pair of one
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,8 @@ from .near_dedup import _key, _may_link, _star, class_keys, components, sets_of
 
 #: Sets in one block of a long index list, on average at most.
 BLOCK = 64
+#: Counters of the first order: a power of two, one byte each; and how many of them one row carries.
+CELLS, SLICE = 1 << 24, 1 << 16
 
 _SET = "array<long>"
 
@@ -49,14 +55,72 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - (percent * size + 99) // 100 + 1
 
 
-def _sign(width: int, percent: int):
+def _cells(found: np.ndarray) -> np.ndarray:
+    return (mix(found) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _count(width: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The partition's counters, in slices that hold any."""
+        cells, held, n = np.zeros(CELLS, np.uint8), [], 0
+
+        def flush() -> None:
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            cells[at] = np.minimum(255, cells[at] + times)
+            held.clear()
+
+        for _, texts in slices(batches):
+            held.append(_cells(sets_of(texts, width)[0]))
+            n += len(held[-1])
+            if n > CELLS // 4:
+                flush()
+                n = 0
+        if held:
+            flush()
+        for k, piece in enumerate(cells.reshape(-1, SLICE)):
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([piece.tobytes()])], names=["_slice", "_cells"])
+
+    return count
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of one place, which follow each other, added up."""
+    at, total = None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.astype(np.uint8).tobytes()])], names=["_slice", "_cells"])
+
+    for batch in batches:
+        for k, cells in zip(batch.column("_slice").to_pylist(), batch.column("_cells").to_pylist(), strict=True):
+            if k != at:
+                if at is not None:
+                    yield done()
+                at, total = k, np.zeros(SLICE, np.uint16)
+            total = np.minimum(255, total + np.frombuffer(cells, np.uint8))
+    if at is not None:
+        yield done()
+
+
+def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """The counters over all texts: CELLS bytes, whatever the size of docs."""
+    parts = docs.select("text").mapInArrow(_count(width), "_slice long, _cells binary")
+    parts = parts.repartition("_slice").sortWithinPartitions("_slice").mapInArrow(_summed, "_slice long, _cells binary")
+    cells = np.zeros(CELLS, np.uint8)
+    for row in parts.toLocalIterator():
+        cells[row["_slice"] * SLICE : (row["_slice"] + 1) * SLICE] = np.frombuffer(row["_cells"], np.uint8)
+    return cells
+
+
+def _sign(width: int, percent: int, counts: Broadcast):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Class, size and the prefix in the order of mixed hashes."""
+        """Class, size and the prefix in the order of counts and mixed hashes."""
+        cells = np.frombuffer(counts.value, np.uint8)
         for part, texts in slices(batches):
             found, begin = sets_of(texts, width)
             size = np.diff(begin)
             owner = np.repeat(np.arange(len(texts)), size)
-            order = np.lexsort((mix(found), owner))
+            order = np.lexsort((mix(found), cells[_cells(found)], owner))
             place = np.arange(len(found)) - begin[owner]
             first = place < prefix_length(size, percent)[owner]
             cuts = np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=len(texts))))).astype(np.int32)
@@ -210,7 +274,8 @@ def _answered(pairs: DataFrame, follows: DataFrame, known: DataFrame, sets: Data
 def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of docs (doc_id, text); class_id tells equal sets (null: empty)."""
     docs = docs.select("doc_id", "text").withColumn("_key", _key())
-    signed = docs.mapInArrow(_sign(width, percent), f"doc_id long, _key binary, _class binary, _size long, _prefix {_SET}")
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width).tobytes())
+    signed = docs.mapInArrow(_sign(width, percent, counts), f"doc_id long, _key binary, _class binary, _size long, _prefix {_SET}")
     signed = stored(signed.withColumn("_row", F.monotonically_increasing_id()))
     with Scratch(docs.sparkSession) as scratch:
         least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_row")).alias("_one")
@@ -229,8 +294,8 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, block: int
         known = scratch.stored(known)
         edges = known.where(_links(F.col("_both"), F.col("_m"), F.col("_n"), percent)).select("a", "b")
         edges = scratch.stored(_star(scratch.stored(_star(edges))))
-        open_ = scratch.stored(_open(entries, edges).join(sets, "_c"))
-        pairs = scratch.stored(_block_pairs(scratch.stored(_index(open_, percent)), percent, block))
+        open_ = scratch.stored(_open(entries, edges))
+        pairs = scratch.stored(_block_pairs(scratch.stored(_index(open_.join(sets, "_c"), percent)), percent, block))
         close = known.where(_links(F.col("_both"), F.col("_m"), F.col("_n"), percent))
         asked = pairs.select(F.col("b").alias("_c")).distinct()
         best = close.groupBy(F.col("a").alias("_c")).agg(F.max(F.struct("_both", "b")).alias("_best")).join(asked, "_c")
