@@ -1,19 +1,17 @@
 """Catalogue joins: name index, exact cascade, homonyms, blocked fuzzy candidates.
 
 Catalogues are inputs. Small ones are broadcast by Spark itself under its own size limit; nothing here
-assumes that they are small. Fuzzy matching runs on the distinct names that the exact cascade missed, and
-pairs only names that share a telling word or, if both are one word, their first four letters: other pairs
-end below the score at which a candidate is accepted.
+assumes that they are small. Fuzzy matching (fuzzy.py) runs on the distinct names that the exact cascade missed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.similarity import seq_ratio
-from ..functions.text import normalize_variants, remove_accents, sanitize, sig_tokens
+from ..functions.text import normalize_variants, remove_accents, sanitize
+from .fuzzy import accept_match, fuzzy_candidates  # noqa: F401
 
 _PREFIX = r"^(?:AV\.|AVENIDA|CA\.|CALLE|JR\.|JIRON|PJE\.|PASAJE|PRLG\.|PROLONGACION|CTRA\.|CARRETERA|AL\.|ALAMEDA|PSO\.|PASEO)\s+"
 
@@ -106,46 +104,6 @@ def match_exact(queries: DataFrame, index: DataFrame, id_col: str, text: str = "
     return queries.join(best, on, "left").select(*names, id_col)
 
 
-def fuzzy_candidates(queries: DataFrame, catalog: DataFrame, kind: str, id_col: str, name_col: str, k: int = 5, min_score: float = 0.55) -> DataFrame:
-    """Name -> the k best catalogue rows with their scores, by blocking on shared words or leading letters."""
-    q = queries.select("name", *[c for c in ("type_hint", "sector_hint") if c in queries.columns]).where("name is not null").distinct()
-    q = q.withColumn("q_norm", normalize_variants(F.col("name"))).withColumn("q_tok", sig_tokens(F.col("q_norm"), kind))
-    hinted = F.col("type_hint").isNotNull() if "type_hint" in q.columns else F.lit(False)
-    q = q.where((F.size("q_tok") > 0) & (hinted | ~F.col("q_norm").isin(lx.CITIES)))
-    extra = [c for c in ("id_tipo_via", "id_tipo_zona", "sector") if c in catalog.columns]
-    c = catalog.select(F.col(id_col), F.col(name_col), *extra).withColumn("n_norm", normalize_variants(F.col(name_col))).withColumn("n_tok", sig_tokens(F.col("n_norm"), kind)).where(F.size("n_tok") > 0)
-    block = lambda tok: F.explode(F.concat(tok, F.when(F.size(tok) == 1, F.array(F.concat(F.lit("^"), F.left(F.get(tok, F.lit(0)), F.lit(4))))).otherwise(F.array().cast("array<string>"))))
-    pairs = q.withColumn("_b", block(F.col("q_tok"))).join(c.withColumn("_b", block(F.col("n_tok"))), "_b").drop("_b")
-    pairs = pairs.dropDuplicates(["name", id_col, *[x for x in ("type_hint", "sector_hint") if x in q.columns]])
-    digits = lambda tok: F.filter(tok, lambda t: t.rlike(r"^\d+$"))
-    clash = (F.size(digits(F.col("q_tok"))) > 0) & (F.size(digits(F.col("n_tok"))) > 0) & ~F.arrays_overlap(digits(F.col("q_tok")), digits(F.col("n_tok")))
-    sounds = (F.contains("q_norm", F.lit("BRISAS")) & F.contains("n_norm", F.lit("FRESAS"))) | (F.contains("q_norm", F.lit("FRESAS")) & F.contains("n_norm", F.lit("BRISAS")))
-    pairs = pairs.where(~clash & ~sounds).withColumn("ratio", seq_ratio("q_norm", "n_norm"))
-    share = F.size(F.array_intersect("q_tok", "n_tok")) / F.size("q_tok")
-    ratio = F.col("ratio")
-    single = (F.size("q_tok") == 1) & (F.size("n_tok") == 1) & (F.left(F.get("q_tok", F.lit(0)), F.lit(4)) == F.left(F.get("n_tok", F.lit(0)), F.lit(4))) & (F.char_length(F.get("q_tok", F.lit(0))) >= 4)
-    lone = (share == 0) & (F.size("q_tok") == 1) & (F.size("n_tok") == 1) & (ratio >= 0.75)
-    more = F.size("n_tok") - F.size("q_tok")
-    penalty = F.when((more > 0) & ~F.contains("q_norm", F.lit("ETAPA")), 0.05 * more).otherwise(0.0) if kind == "zone" else F.lit(0.0)
-    score = F.when(lone, F.when(single & (ratio >= 0.8), 0.5 + 0.5 * ratio).otherwise(0.4 * ratio)).when(share >= 1, 0.82 + 0.18 * ratio - penalty).when(share >= 0.5, 0.5 * share + 0.5 * ratio).otherwise(0.55 * ratio)
-    type_col = "id_tipo_zona" if kind == "zone" else "id_tipo_via"
-    if "type_hint" in q.columns and type_col in catalog.columns:
-        score = score + F.when((F.col(type_col) == F.col("type_hint")) & (score >= 0.6), 0.03).otherwise(0.0)
-    if kind == "street" and "sector_hint" in q.columns and "sector" in catalog.columns:
-        near = F.arrays_overlap(F.split(F.regexp_replace("sector_hint", ",", " "), " +"), F.split(F.regexp_replace("sector", ",", " "), " +"))
-        score = score + F.when(near & (score >= 0.5), 0.08).otherwise(0.0)
-    hints = [x for x in ("type_hint", "sector_hint") if x in q.columns]
-    best = Window.partitionBy("name", *hints).orderBy(F.desc("score"), id_col)
-    return pairs.withColumn("score", score).where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("q_norm", "n_norm", "ratio")
-
-
-def accept_match(candidates: DataFrame, id_col: str) -> DataFrame:
-    """Name -> the accepted candidate: score 0.93, or 0.88 with a shared word or, both one word, four leading letters."""
-    letters = (F.size("q_tok") == 1) & (F.size("n_tok") == 1) & (F.left(F.get("q_tok", F.lit(0)), F.lit(4)) == F.left(F.get("n_tok", F.lit(0)), F.lit(4)))
-    sure = (F.col("score") >= 0.93) | ((F.col("score") >= 0.88) & (F.arrays_overlap("q_tok", "n_tok") | letters))
-    return candidates.where((F.col("rank") == 1) & sure).select("name", *[c for c in ("type_hint", "sector_hint") if c in candidates.columns], id_col, "score")
-
-
 def apply_choice(candidates: DataFrame, choices: DataFrame, id_col: str) -> DataFrame:
     """C14: a choice made elsewhere, if it is among the candidates."""
     return candidates.join(choices.select("name", id_col), ["name", id_col]).select("name", id_col, "score")

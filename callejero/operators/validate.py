@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import extract as ex
 from ..functions import lexicon as lx
 from ..functions.aliases import STREET_ALIASES, ZONE_ALIASES
-from ..functions.similarity import seq_ratio
+from ..functions.similarity import numbered_grams, ratio_bound, seq_ratio
 from ..functions.text import canonical_tokens, sanitize, sig_tokens, words_to_array
 from ..session import cut
 
@@ -70,6 +70,12 @@ def _alias_words(names: Column, aliases: dict[str, str]) -> Column:
     return canonical_tokens(F.array_join(F.transform(said, lambda a: a["alias"]), " "))
 
 
+def may_be_alike(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (_t, _u) of words whose letters in common allow that ratio; the others never reach Python."""
+    bound = ratio_bound(numbered_grams(F.col("_t"), 1), numbered_grams(F.col("_u"), 1), F.char_length("_t"), F.char_length("_u"))
+    return pairs.where(bound + F.lit(1e-9) >= least)
+
+
 def coverage(df: DataFrame, text: str = "clean", key: str = "id") -> DataFrame:
     """V4: `raw_tokens`, `unmatched` and `coverage` of each row; aliases excuse words, the similarity helper sees leftovers only."""
     no_words = F.array().cast("array<string>")
@@ -84,7 +90,8 @@ def coverage(df: DataFrame, text: str = "clean", key: str = "id") -> DataFrame:
     df = cut(df)  # or the words' rules would run anew wherever these columns are read
     rest = df.where((F.size("_left") > 0) & (F.size("_norm") > 0)).select(key, F.explode("_left").alias("_t"), "_norm").withColumn("_u", F.explode(F.array_distinct("_norm")))
     rest = rest.where(F.abs(F.char_length("_t") - F.char_length("_u")) <= 2).select(key, "_t", "_u")
-    alike = rest.withColumn("_r", seq_ratio("_t", "_u")).where("_r >= 0.88").groupBy(key).agg(F.collect_set("_t").alias("_alike"))
+    close = may_be_alike(rest.select("_t", "_u").distinct(), 0.88).withColumn("_r", seq_ratio("_t", "_u")).where("_r >= 0.88").select("_t", "_u")
+    alike = rest.join(close, ["_t", "_u"]).groupBy(key).agg(F.collect_set("_t").alias("_alike"))
     df = df.join(alike, key, "left").withColumn("_lost", F.array_except("_left", F.coalesce("_alike", no_words)))
     df = df.withColumn("unmatched", F.filter("raw_tokens", lambda t: F.array_contains("_lost", t)))
     n = F.size("raw_tokens")
@@ -96,7 +103,10 @@ def validate(df: DataFrame, text: str = "clean", key: str = "id", threshold: flo
     df = coverage(df.withColumn("rebuilt", rebuilt_text()), text, key)
     kept = F.filter("raw_tokens", lambda t: ~F.array_contains("unmatched", t))
     df = df.withColumn("_all", F.array_join(F.array_sort("raw_tokens"), " ")).withColumn("_kept", F.array_join(F.array_sort(kept), " "))
-    df = df.withColumn("sequence_ratio", F.when(F.size("raw_tokens") > 0, seq_ratio("_all", "_kept")).otherwise(0.0)).drop("_all", "_kept")
+    # Where all words are explained both texts are the same; only the others reach Python.
+    df = cut(df)
+    same = df.where("_all = _kept").withColumn("sequence_ratio", F.when(F.size("raw_tokens") > 0, F.lit(1.0)).otherwise(0.0))
+    df = same.union(df.where("_all != _kept").withColumn("sequence_ratio", seq_ratio("_all", "_kept"))).drop("_all", "_kept")
     score = F.bround(0.6 * F.col("coverage") + 0.4 * F.col("sequence_ratio"), 3)
     df = df.withColumn("score", F.when(F.size("raw_tokens") > 0, score).otherwise(0.0))
     return df.withColumn("valid", (F.col("score") >= threshold) & (F.col("coverage") >= 0.75))

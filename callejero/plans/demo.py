@@ -79,5 +79,11 @@ def with_views(sql: str) -> str:
                 needed.append(name)
 
     need(sql)
+    if not needed:
+        return sql
     views = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in VIEWS if name in needed)
-    return f"WITH {views}\n{sql}" if needed and not sql.lstrip().upper().startswith("WITH") else sql.replace("WITH ", f"WITH {views},\n", 1) if needed else sql
+    text = sql.lstrip()
+    for begin in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(begin):
+            return f"{begin}{views},\n{text[len(begin):]}"
+    return f"WITH {views}\n{sql}"

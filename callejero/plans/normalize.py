@@ -16,6 +16,7 @@ from ..functions.text import capped, clean_number, clean_reference, clean_sublot
 from ..operators import match as mt
 from ..operators import roles as ro
 from ..operators import validate as va
+from ..operators.fuzzy import ACCEPT
 from ..session import cut
 
 
@@ -49,26 +50,39 @@ def settle_roles(df: DataFrame, vias: DataFrame, zonas: DataFrame) -> DataFrame:
     })
 
 
+def _with_match(df: DataFrame, names: DataFrame, index: DataFrame, catalog: DataFrame, kind: str, fields: dict[str, str], id_col: str, name_col: str, fuzzy: bool) -> DataFrame:
+    """df with id_col: the exact match of its (name, hints), or the fuzzy one that C9 accepts; fields: column of names -> of df."""
+    hints = [c for c in fields if c != "name"]
+    exact = [c for c in hints if kind == "street"]
+    found = mt.match_exact(names, index, id_col, hint="type_hint" if "type_hint" in exact else None, sector="sector_hint" if "sector_hint" in exact else None)
+    if fuzzy:
+        lost = found.where(F.col(id_col).isNull()).select("name", *hints)
+        near = mt.accept_match(mt.fuzzy_candidates(lost, catalog, kind, id_col, name_col, k=1, min_score=ACCEPT), id_col)
+        near = near.select(*[F.col(c).alias(f"_near_{c}") for c in ("name", *hints)], F.col(id_col).alias("_near"))
+        on = F.col("name") == F.col("_near_name")
+        for c in hints:
+            on &= F.col(c).eqNullSafe(F.col(f"_near_{c}"))
+        found = found.join(near, on, "left").select("name", *hints, F.coalesce(id_col, "_near").alias(id_col))
+    found = found.select(*[F.col(c).alias(f"_m_{c}") for c in fields], id_col)
+    on = F.lit(True)
+    for c, field in fields.items():
+        on &= F.col(field).eqNullSafe(F.col(f"_m_{c}")) if c != "name" else F.col(field) == F.col("_m_name")
+    return df.join(found, on, "left").drop(*[f"_m_{c}" for c in fields])
+
+
 def match_fields(df: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Zone first, for its sector settles streets of equal name; distinct names only."""
+    zones = df.select(F.col("nom_zona").alias("name"), F.col("tipo_zona").alias("type_hint")).where("name is not null").distinct()
     zone_index = mt.name_index(zonas, "zona_id", "nom_zona", unique=True)
-    zones = df.select(F.col("nom_zona").alias("name")).where("name is not null").distinct()
-    zones = mt.match_exact(zones, zone_index, "zona_id", hint=None, sector=None).join(zonas.select("zona_id", F.col("sector").alias("_s")), "zona_id", "left")
-    zones = zones.select(F.col("name").alias("nom_zona"), "zona_id", F.col("_s").alias("sector_hint"))
-    df = df.join(zones, "nom_zona", "left")
-    street_index = mt.name_index(vias, "via_id", "nom_via")
-    names = df.select(F.col("nom_via").alias("name"), F.col("tipo_via").alias("type_hint"), "sector_hint").where("name is not null").distinct()
-    found = mt.match_exact(names, street_index, "via_id")
+    df = _with_match(df, zones, zone_index, zonas, "zone", {"name": "nom_zona", "type_hint": "tipo_zona"}, "zona_id", "nom_zona", fuzzy)
+    sectors = zonas.groupBy(F.col("zona_id").alias("_z")).agg(F.max("sector").alias("sector_hint"))
+    df = df.join(sectors, F.col("zona_id") == F.col("_z"), "left").drop("_z")
     if fuzzy:
-        lost = found.where("via_id is null").select("name", "type_hint", "sector_hint")
-        near = mt.accept_match(mt.fuzzy_candidates(lost, vias, "street", "via_id", "nom_via", k=8, min_score=0.5), "via_id")
-        near = near.select("name", F.col("type_hint").alias("_t"), F.col("sector_hint").alias("_s"), F.col("via_id").alias("_near"))
-        near = near.withColumnRenamed("name", "_near_name")
-        on = (F.col("name") == F.col("_near_name")) & F.col("type_hint").eqNullSafe(F.col("_t")) & F.col("sector_hint").eqNullSafe(F.col("_s"))
-        found = found.join(near, on, "left").select("name", "type_hint", "sector_hint", F.coalesce("via_id", "_near").alias("via_id"))
-    found = found.select(F.col("name").alias("_n"), F.col("type_hint").alias("_t"), F.col("sector_hint").alias("_h"), "via_id")
-    on = (F.col("nom_via") == F.col("_n")) & F.col("tipo_via").eqNullSafe(F.col("_t")) & F.col("sector_hint").eqNullSafe(F.col("_h"))
-    return df.join(found, on, "left").drop("_n", "_t", "_h", "sector_hint")
+        df = cut(df)
+    names = df.select(F.col("nom_via").alias("name"), F.col("tipo_via").alias("type_hint"), "sector_hint").where("name is not null").distinct()
+    street_index = mt.name_index(vias, "via_id", "nom_via")
+    fields = {"name": "nom_via", "type_hint": "tipo_via", "sector_hint": "sector_hint"}
+    return _with_match(df, names, street_index, vias, "street", fields, "via_id", "nom_via", fuzzy).drop("sector_hint")
 
 
 def normalize(raw: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True, check: bool = True, route: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import extract as ex
@@ -22,6 +22,7 @@ from .operators import select as sl
 from .operators import validate as va
 from .operators import views as vw
 from .plans.demo import demo_tables, with_views
+from .plans.fuzzy_sql import candidates_sql
 from .plans.normalize import extract_fields, normalize
 from .session import cut
 from .sources import tables as st
@@ -404,14 +405,39 @@ def _misspelt(t: dict[str, DataFrame], catalog: str, id_col: str, name_col: str)
     return t[catalog].select(F.concat(name_col, F.lit("S")).alias("name")).distinct()
 
 
-@query("c7_zone_candidates")
+def _scores(found: DataFrame, id_col: str) -> DataFrame:
+    return found.select("name", id_col, F.col("rank").cast("long").alias("rank"), F.round("ratio", 6).alias("ratio"), F.round("score", 6).alias("score"))
+
+
+@query("c7_zone_candidates", candidates_sql("SELECT DISTINCT replace(nom_zona, 'SECTOR', 'SECTORES') || ' NORTE' AS name FROM zona_catalog", "SELECT zona_id, nom_zona AS nom FROM zona_catalog", "zona_id", "zone", 5, 0.55))
+def _(t):
+    names = t["zona_catalog"].select(F.concat(F.replace("nom_zona", F.lit("SECTOR"), F.lit("SECTORES")), F.lit(" NORTE")).alias("name")).distinct()
+    return _scores(mt.fuzzy_candidates(names, t["zona_catalog"], "zone", "zona_id", "nom_zona"), "zona_id")
+
+
+@query("c8_street_candidates", candidates_sql("SELECT DISTINCT nom_via || 'S' AS name FROM via_catalog", "SELECT via_id, nom_via AS nom FROM via_catalog", "via_id", "street", 5, 0.55))
 def _(t):
-    return mt.fuzzy_candidates(_misspelt(t, "zona_catalog", "zona_id", "nom_zona"), t["zona_catalog"], "zone", "zona_id", "nom_zona").select("name", "zona_id", "rank", F.round("score", 6).alias("score"))
+    return _scores(mt.fuzzy_candidates(_misspelt(t, "via_catalog", "via_id", "nom_via"), t["via_catalog"], "street", "via_id", "nom_via"), "via_id")
+
+
+#: Names of three long words from every document; noisy: each word has lost its fifth letter, so none is shared.
+_NOISY_SQL = """SELECT min(doc_id) AS via_id, nom FROM (SELECT doc_id, array_to_string(list_slice(list_transform(regexp_extract_all(text, '[A-Za-z]{6,9}'), lambda w: upper(w)), 1, 3), ' ') AS nom FROM documents) WHERE nom LIKE '% % %' GROUP BY nom"""
+
+
+def long_names(documents: DataFrame) -> DataFrame:
+    """via_id (the least document) and nom of every distinct name."""
+    words = F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,9})"), F.lit(1)), 1, 3)
+    return documents.select("doc_id", F.upper(F.array_join(words, " ")).alias("nom")).where("nom LIKE '% % %'").groupBy("nom").agg(F.min("doc_id").alias("via_id"))
+
+
+def noisy(name: str) -> Column:
+    return F.regexp_replace(name, "([A-Z]{4})[A-Z]([A-Z]*)", "$1$2")
 
 
-@query("c8_street_candidates")
+@query("c8_noisy_names", candidates_sql(f"SELECT DISTINCT regexp_replace(nom, '([A-Z]{{4}})[A-Z]([A-Z]*)', '\\1\\2', 'g') AS name FROM ({_NOISY_SQL})", _NOISY_SQL, "via_id", "street", 5, 0.5))
 def _(t):
-    return mt.fuzzy_candidates(_misspelt(t, "via_catalog", "via_id", "nom_via"), t["via_catalog"], "street", "via_id", "nom_via").select("name", "via_id", "rank", F.round("score", 6).alias("score"))
+    names = cut(long_names(t["documents"]))
+    return _scores(mt.fuzzy_candidates(names.select(noisy("nom").alias("name")), names, "street", "via_id", "nom", min_score=0.5), "via_id")
 
 
 @query("c9_accept_street", "SELECT name, via_id FROM (SELECT nom_via AS name, min(via_id) AS via_id FROM via_catalog GROUP BY nom_via)")
