@@ -11,8 +11,7 @@ prefix, and shingles that two classes list make the lists of an index. The set o
 others, its leader, is compared with the list's other sets, so that a list of n sets costs n comparisons,
 and stars contract what links.
 
-What is left are lists that hold several components. Their sets are indexed again, the shingles in order of
-how few of these sets hold them, by exact counts.
+What is left are lists that hold several components.
 
 * Index skipping: a list is cut into blocks of one component, one range of sizes and one range of places of
   the shingle in its set, about `BLOCK` sets a block at most. Blocks are joined, not sets: a block pair of one
@@ -201,20 +200,10 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _open(entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """_c, _size, _root of the sets in lists that still hold more than one component."""
+    """The entries (_h, _c, _size, _rank, _root) of lists that still hold more than one component."""
     named = _rooted(entries, edges)
     mixed = named.groupBy("_h").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo != _hi").select("_h")
-    return named.join(mixed, "_h", "left_semi").select("_c", "_size", "_root").distinct()
-
-
-def _index(sets: DataFrame, percent: int) -> DataFrame:
-    """Entries (_h, _c, _size, _root, _rank) of the prefixes, shingles in order of how few of these sets hold them."""
-    held = sets.select("_c", "_size", "_root", F.explode("_set").alias("_h"))
-    common = held.groupBy("_h").agg(F.count("*").alias("_df")).where("_df > 1")
-    rank = F.row_number().over(Window.partitionBy("_c").orderBy(F.desc("_df"), F.desc("_h")))
-    # Shingles of one set alone come first in the order, so places are counted from the other end.
-    ranked = held.join(common, "_h").withColumn("_rank", F.col("_size") + 1 - rank)
-    return ranked.where(100 * F.col("_rank") <= (100 - percent) * F.col("_size") + 100).drop("_df")
+    return named.join(mixed, "_h", "left_semi").select("_h", "_c", "_size", "_rank", "_root")
 
 
 def _block_pairs(index: DataFrame, percent: int, block: int) -> DataFrame:
@@ -282,7 +271,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, block: int
         classes = signed.where("_size > 0").groupBy("_class").agg(least, F.first("_size").alias("_size"))
         classes = scratch.stored(classes.select("_class", F.col("_one._row").alias("_c"), F.col("_one.doc_id").alias("_doc"), F.col("_one._key").alias("_key"), "_size"))
         one = signed.join(classes.select(F.col("_c").alias("_row")), "_row", "left_semi")
-        entries = one.select(F.col("_row").alias("_c"), "_size", F.explode("_prefix").alias("_h"))
+        entries = one.select(F.col("_row").alias("_c"), "_size", F.posexplode("_prefix").alias("_rank", "_h")).withColumn("_rank", F.col("_rank") + 1)
         lists = scratch.stored(entries.groupBy("_h").agg(F.count("*").alias("_k")).where("_k > 1").select("_h"))
         entries = scratch.stored(entries.join(lists, "_h", "left_semi"))
         shared = entries.select("_c").distinct().join(classes.select("_c", "_key"), "_c")
@@ -294,8 +283,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, block: int
         known = scratch.stored(known)
         edges = known.where(_links(F.col("_both"), F.col("_m"), F.col("_n"), percent)).select("a", "b")
         edges = scratch.stored(_star(scratch.stored(_star(edges))))
-        open_ = scratch.stored(_open(entries, edges))
-        pairs = scratch.stored(_block_pairs(scratch.stored(_index(open_.join(sets, "_c"), percent)), percent, block))
+        pairs = scratch.stored(_block_pairs(scratch.stored(_open(entries, edges)), percent, block))
         close = known.where(_links(F.col("_both"), F.col("_m"), F.col("_n"), percent))
         asked = pairs.select(F.col("b").alias("_c")).distinct()
         best = close.groupBy(F.col("a").alias("_c")).agg(F.max(F.struct("_both", "b")).alias("_best")).join(asked, "_c")
