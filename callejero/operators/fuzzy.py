@@ -172,7 +172,7 @@ def fuzzy_candidates(queries: DataFrame, catalog: DataFrame, kind: str, id_col:
         score = score + F.when((F.col(type_col) == F.col("type_hint")) & (score >= TYPE_FROM), TYPE_BONUS).otherwise(0.0)
     if near:
         score = score + F.when(F.arrays_overlap(_words_of("sector_hint"), _words_of("sector")) & (score >= SECTOR_FROM), SECTOR_BONUS).otherwise(0.0)
-    best = Window.partitionBy("name", *hints).orderBy(F.desc("score"), id_col)
+    best = Window.partitionBy("name", *hints).orderBy(F.desc(F.round("score", 9)), id_col)
     met = met.withColumn("score", score).where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return met.drop("q_norm", "n_norm")
 

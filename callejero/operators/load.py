@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import remove_accents
+from ..session import cut
+from .numbering import numbered
 
 
 def flatten_children(df: DataFrame, array: str, key: str, fields: dict[str, str], order: str) -> DataFrame:
@@ -57,21 +59,45 @@ def catalog_key(name: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(remove_accents(name), r"\s+", " ")))
 
 
+def resolve_map(id_map: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """old_id, new_id with every chain followed to its end, and the rows that lead into a cycle, as they were.
+
+    Pointers jump: each round every id takes over where its target points, so a chain of n steps takes log2(n)
+    rounds, each written. An id that ends nowhere goes round in a cycle, or leads to one; it is not mapped. Once a
+    round leaves as many open ids as the one before, only those are left. Of several targets of one id the least
+    counts; an id that points at itself, or has a null, is not mapped.
+    """
+    first = id_map.where("old_id != new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id"))
+    now, before = cut(first), None
+    while True:
+        on = now.select(F.col("old_id").alias("_o"), F.col("new_id").alias("_n"))
+        seen = Observation()
+        jumped = now.join(on, F.col("new_id") == F.col("_o"), "left")
+        jumped = jumped.observe(seen, F.count("_o").alias("open")).select("old_id", F.coalesce("_n", "new_id").alias("new_id"), F.col("_o").isNotNull().alias("_open"))
+        jumped = cut(jumped)
+        if seen.get["open"] in (0, before):
+            lost = jumped.where("_open").select("old_id")
+            return jumped.where("NOT _open").select("old_id", "new_id"), first.join(lost, "old_id", "left_semi").select("old_id", "new_id")
+        now, before = jumped.select("old_id", "new_id"), seen.get["open"]
+
+
 def duplicate_map(catalog: DataFrame, id_col: str, type_col: str, name_col: str, explicit: DataFrame | None = None) -> DataFrame:
     """old_id, new_id of rows with equal type and name: the first that an explicit map aims at, else the least.
 
-    An explicit map (old_id, new_id) is applied first.
+    An explicit map (old_id, new_id) goes before; its chains, and those of both maps together, are followed to their
+    end. Explicit rows that run in a cycle count as not written; `resolve_map` tells them.
     """
     rows = catalog.select(F.col(id_col).alias("old_id"), F.col(type_col).alias("_t"), catalog_key(F.col(name_col)).alias("_n"))
+    if explicit is not None:
+        explicit, _ = resolve_map(explicit)
     aimed = explicit.select(F.col("new_id").alias("_aim")).distinct() if explicit is not None else rows.select(F.lit(None).cast("long").alias("_aim")).limit(0)
     rows = rows.join(aimed, F.col("old_id") == F.col("_aim"), "left")
     best = rows.groupBy("_t", "_n").agg(F.coalesce(F.min("_aim"), F.min("old_id")).alias("new_id"))
     found = rows.join(best, rows["_t"].eqNullSafe(best["_t"]) & rows["_n"].eqNullSafe(best["_n"])).select("old_id", "new_id").where("old_id != new_id")
     if explicit is None:
         return found
-    onward = explicit.select(F.col("old_id").alias("_o"), F.col("new_id").alias("_m")).join(found.withColumnRenamed("old_id", "_x").withColumnRenamed("new_id", "_y"), F.col("_m") == F.col("_x"), "left")
-    first = onward.select(F.col("_o").alias("old_id"), F.coalesce("_y", "_m").alias("new_id"))
-    return first.unionByName(found.join(first, "old_id", "left_anti"))
+    # A canonical row may itself be mapped away: then its duplicates follow it. Explicit targets stay canonical, so no cycle arises.
+    return resolve_map(explicit.unionByName(found.join(explicit, "old_id", "left_anti")))[0]
 
 
 def repoint(children: DataFrame, id_map: DataFrame, column: str, parent: str) -> DataFrame:
@@ -99,10 +125,9 @@ def align_types(existing: DataFrame, official: DataFrame) -> tuple[DataFrame, Da
     joined = e.join(o, F.col("_k") == F.col("_ok"), "left")
     taken = official.select(F.col("id").alias("_taken"))
     own = joined.where("_oid is null").join(taken, F.col("old_id") == F.col("_taken"), "left")
-    top = existing.select("id").unionByName(official.select("id")).agg(F.max("id").alias("_top"))
-    rank = F.row_number().over(Window.partitionBy(F.col("_taken").isNotNull()).orderBy("old_id"))  # a type catalogue is small
-    own = own.withColumn("_rank", rank).withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one")
-    own = own.withColumn("new_id", F.when(F.col("_taken").isNotNull(), F.col("_top") + F.col("_rank")).otherwise(F.col("old_id")))
+    top = existing.select("id").unionByName(official.select("id")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    own = numbered(own.withColumn("_clash", F.col("_taken").isNotNull()), ["old_id"], by=["_clash"], name="_rank")
+    own = own.withColumn("new_id", F.when(F.col("_clash"), F.lit(top.first()["_top"]) + F.col("_rank")).otherwise(F.col("old_id")).cast(existing.schema["id"].dataType))
     id_map = joined.where("_oid is not null").select("old_id", F.col("_oid").alias("new_id")).unionByName(own.select("old_id", "new_id"))
     catalog = official.select("id", "nombre").unionByName(own.select(F.col("new_id").alias("id"), F.col("_n").alias("nombre")))
     return catalog, id_map
@@ -129,11 +154,10 @@ def add_entries(catalog: DataFrame, entries: DataFrame) -> DataFrame:
     """New (nombre, abreviatura, sinonimos) with ids after the greatest; names that exist are left out, abbreviations end with a dot."""
     known = catalog.select(catalog_key(F.col("nombre")).alias("_k"))
     fresh = entries.withColumn("_k", catalog_key(F.col("nombre"))).join(known, "_k", "left_anti").dropDuplicates(["_k"])
-    top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1))
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_k"))  # entries typed in by a person
-    fresh = fresh.withColumn("_rank", rank).withColumn("_one", F.lit(1)).join(top, "_one")
+    top = F.lit(catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).first()["_top"])
+    fresh = numbered(fresh, ["_k"], name="_rank")
     short = F.upper(F.trim("abreviatura"))
     short = F.when(F.endswith(short, F.lit(".")), short).otherwise(F.concat(short, F.lit(".")))
     name = F.upper(F.trim("nombre"))
-    rows = fresh.select((F.col("_top") + F.col("_rank")).cast("int").alias("id"), name.alias("nombre"), short.alias("abreviatura"), F.array_sort(F.array_distinct(F.concat(F.array(name, short), F.coalesce("sinonimos", F.array().cast("array<string>"))))).alias("sinonimos"))
+    rows = fresh.select((top + F.col("_rank")).cast("int").alias("id"), name.alias("nombre"), short.alias("abreviatura"), F.array_sort(F.array_distinct(F.concat(F.array(name, short), F.coalesce("sinonimos", F.array().cast("array<string>"))))).alias("sinonimos"))
     return catalog.select("id", "nombre", "abreviatura", "sinonimos").unionByName(rows)

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract as ex
+from ..functions import lexicon as lx
 from ..functions.risk import with_complexity
-from ..functions.text import capped, clean_number, clean_reference, clean_sublot, kilometre, sanitize
+from ..functions.text import capped, clean_number, clean_reference, clean_sublot, kilometre, remove_accents, sanitize
 from ..operators import match as mt
 from ..operators import roles as ro
 from ..operators import validate as va
@@ -57,6 +58,8 @@ def _with_match(df: DataFrame, names: DataFrame, index: DataFrame, catalog: Data
     found = mt.match_exact(names, index, id_col, hint="type_hint" if "type_hint" in exact else None, sector="sector_hint" if "sector_hint" in exact else None)
     if fuzzy:
         lost = found.where(F.col(id_col).isNull()).select("name", *hints)
+        if kind == "zone":  # a city alone is no zone, whatever the hint
+            lost = lost.where(~remove_accents(F.upper(F.trim("name"))).isin(lx.CITIES))
         near = mt.accept_match(mt.fuzzy_candidates(lost, catalog, kind, id_col, name_col, k=1, min_score=ACCEPT), id_col)
         near = near.select(*[F.col(c).alias(f"_near_{c}") for c in ("name", *hints)], F.col(id_col).alias("_near"))
         on = F.col("name") == F.col("_near_name")

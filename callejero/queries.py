@@ -750,6 +750,16 @@ def _(t):
     return ld.duplicate_map(t["via_catalog"], "via_id", "id_tipo_via", "nom_via")
 
 
+# Chains of five steps over six neighbours; in every fifth six the last points back at the first.
+@query("u6_transitive_map", """SELECT via_id AS old_id, CASE WHEN via_id // 6 % 5 = 4 THEN NULL ELSE via_id // 6 * 6 + 5 END AS new_id, via_id // 6 % 5 = 4 AS cycle
+FROM via_catalog WHERE via_id % 6 < 5 OR via_id // 6 % 5 = 4""")
+def _(t):
+    v, six = F.col("via_id"), F.expr("via_id div 6")
+    chains = t["via_catalog"].where((v % 6 < 5) | (six % 5 == 4)).select(v.alias("old_id"), F.when(v % 6 == 5, v - 5).otherwise(v + 1).alias("new_id"))
+    ends, cycles = ld.resolve_map(chains)
+    return ends.withColumn("cycle", F.lit(False)).unionByName(cycles.select("old_id", F.lit(None).cast("long").alias("new_id"), F.lit(True).alias("cycle")))
+
+
 @query("u7_repoint", f"""WITH m AS ({_DUPES}), moved AS (SELECT a.dire_id, coalesce(m.new_id, a.via_id) AS via_id, a.divi_numero, CASE WHEN m.old_id IS NULL THEN 0 ELSE 1 END AS moved, a.via_id AS was FROM address_via a LEFT JOIN m ON m.old_id = a.via_id)
 SELECT dire_id, via_id, divi_numero FROM (SELECT *, row_number() OVER (PARTITION BY dire_id, via_id ORDER BY moved, was) AS k FROM moved) WHERE k = 1""")
 def _(t):
