@@ -26,7 +26,7 @@ from .plans.fuzzy_sql import candidates_sql
 from .plans.normalize import extract_fields, normalize
 from .session import cut
 from .sources import tables as st
-from .streaming.continuous import counts_by_window
+from .streaming.continuous import counts_by_window, progress_by_cycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -913,3 +913,9 @@ def _(t):
 @query("x3_counts_by_window", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS ok FROM events GROUP BY 1, 2")
 def _(t):
     return counts_by_window(t["events"], "ts", "event_type", ok=F.col("value") > 50)
+
+
+@query("x3_progress_by_cycle", """SELECT CAST(CASE WHEN strftime(ts, '%H:%M') < '06:00' THEN ts - INTERVAL 1 DAY ELSE ts END AS DATE) AS day, event_type, count(*) AS n,
+  count(*) FILTER (WHERE strftime(ts, '%H:%M') >= '22:00' OR strftime(ts, '%H:%M') < '06:00') AS inside FROM events GROUP BY 1, 2""")
+def _(t):
+    return progress_by_cycle(t["events"], "ts", "event_type")
