@@ -4,9 +4,10 @@ A document's set holds the distinct shingles of `width` words (the whole sequenc
 sets are one class; classes are joined, documents only carry their class's component.
 
 Two sets that link share a shingle among the first few of each, in any one order of all shingles (prefix
-filter). The first order is by how often shingles of one cell of a hash table occur (`CELLS` saturated
+filter). The first order is by how often shingles of one cell of a hash table occur (saturated
 counters, summed over the tasks and sent to all), then by hash: passages that many documents share come
-late. Counts that are too high by other shingles of the cell cost time, never a link. Every class lists its
+late. There are about as many counters as shingles, up to `MOST_CELLS` (64 MB); counts that are too high by
+other shingles of the cell cost time, never a link. Every class lists its
 prefix, and shingles that two classes list make the lists of an index. The set of a list that meets most
 others, its leader, is compared with the list's other sets, so that a list of n sets costs n comparisons,
 and stars contract what links.
@@ -37,14 +38,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, stored, table
+from ._common import Scratch, stored, table, with_broadcast_if_small
 from ._tokens import mix, slices
 from .near_dedup import _key, _may_link, _star, class_keys, components, sets_of
 
 #: Sets in one block of a long index list, on average at most.
 BLOCK = 64
-#: Counters of the first order: a power of two, one byte each; and how many of them one row carries.
-CELLS, SLICE = 1 << 24, 1 << 16
+#: Least and most counters of the first order, one byte each; one row carries SLICE of them.
+LEAST_CELLS, MOST_CELLS, SLICE = 1 << 20, 1 << 26, 1 << 16
 
 _SET = "array<long>"
 
@@ -54,14 +55,15 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - (percent * size + 99) // 100 + 1
 
 
-def _cells(found: np.ndarray) -> np.ndarray:
-    return (mix(found) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def _cells(found: np.ndarray, cells: int) -> np.ndarray:
+    """Each shingle's counter, of a power of two of them."""
+    return (mix(found) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
-def _count(width: int):
+def _count(width: int, n_cells: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The partition's counters, in slices that hold any."""
-        cells, held, n = np.zeros(CELLS, np.uint8), [], 0
+        cells, held, n = np.zeros(n_cells, np.uint8), [], 0
 
         def flush() -> None:
             at, times = np.unique(np.concatenate(held), return_counts=True)
@@ -69,9 +71,9 @@ def _count(width: int):
             held.clear()
 
         for _, texts in slices(batches):
-            held.append(_cells(sets_of(texts, width)[0]))
+            held.append(_cells(sets_of(texts, width)[0], n_cells))
             n += len(held[-1])
-            if n > CELLS // 4:
+            if n > 4_000_000:
                 flush()
                 n = 0
         if held:
@@ -102,10 +104,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """The counters over all texts: CELLS bytes, whatever the size of docs."""
-    parts = docs.select("text").mapInArrow(_count(width), "_slice long, _cells binary")
+    """The counters over all texts: one a letter to eight, at most MOST_CELLS bytes, whatever the size of docs."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // 8).bit_length()))
+    parts = docs.select("text").mapInArrow(_count(width, n_cells), "_slice long, _cells binary")
     parts = parts.repartition("_slice").sortWithinPartitions("_slice").mapInArrow(_summed, "_slice long, _cells binary")
-    cells = np.zeros(CELLS, np.uint8)
+    cells = np.zeros(n_cells, np.uint8)
     for row in parts.toLocalIterator():
         cells[row["_slice"] * SLICE : (row["_slice"] + 1) * SLICE] = np.frombuffer(row["_cells"], np.uint8)
     return cells
@@ -119,7 +123,7 @@ def _sign(width: int, percent: int, counts: Broadcast):
             found, begin = sets_of(texts, width)
             size = np.diff(begin)
             owner = np.repeat(np.arange(len(texts)), size)
-            order = np.lexsort((mix(found), cells[_cells(found)], owner))
+            order = np.lexsort((mix(found), cells[_cells(found, len(cells))], owner))
             place = np.arange(len(found)) - begin[owner]
             first = place < prefix_length(size, percent)[owner]
             cuts = np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=len(texts))))).astype(np.int32)
@@ -183,16 +187,37 @@ def _links(both: Column, m: Column, n: Column, percent: int) -> Column:
     return 100 * both >= percent * (m + n - both)
 
 
+def _need(m: Column, n: Column, percent: int) -> Column:
+    """The least overlap of linked sets of m and n shingles."""
+    return F.ceil(percent * (m + n) / (100 + percent) - 1e-9)
+
+
+def _reach(m: Column, i: Column, n: Column, j: Column) -> Column:
+    """The most that two sets share if a common shingle at places i and j is the first one."""
+    return F.least(m - i, n - j) + 1
+
+
 def _leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """a, b: each set of a list (_h, _c, _size) and the list's leader, the set that meets most others in all its lists."""
+    """a, b: each set of a list (_h, _c, _size, _rank) and the list's leader, the set that meets most others in all its lists.
+
+    Pairs whose places in a list leave too few shingles are left out there: if they link, an earlier list has them.
+    """
     crowd = entries.groupBy("_h").agg(F.count("*").alias("_n"))
     met = entries.join(crowd, "_h").groupBy("_c").agg(F.sum("_n").alias("_met"))
-    best = F.max(F.struct("_met", (-F.col("_c")).alias("_minus"), "_size")).alias("_best")
-    leads = entries.join(met, "_c").groupBy("_h").agg(best).select("_h", (-F.col("_best._minus")).alias("b"), F.col("_best._size").alias("_n"))
-    led = entries.join(leads, "_h").where((F.col("_c") != F.col("b")) & _may_link(F.col("_size"), F.col("_n"), percent))
+    best = F.max(F.struct("_met", (-F.col("_c")).alias("_minus"), "_size", "_rank")).alias("_best")
+    leads = entries.join(met, "_c").groupBy("_h").agg(best)
+    leads = leads.select("_h", (-F.col("_best._minus")).alias("b"), F.col("_best._size").alias("_n"), F.col("_best._rank").alias("_j"))
+    m, n = F.col("_size"), F.col("_n")
+    led = entries.join(leads, "_h").where((F.col("_c") != F.col("b")) & _may_link(m, n, percent) & (_reach(m, F.col("_rank"), n, F.col("_j")) >= _need(m, n, percent)))
     return led.select(F.col("_c").alias("a"), "b", F.col("_size").alias("_m"), "_n").distinct()
 
 
+def _sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """_c and _set of the classes in keys (_c, _key)."""
+    texts = docs.join(with_broadcast_if_small(keys), "_key").select("_c", "text")
+    return texts.mapInArrow(_shingle(width), f"_c long, _set {_SET}").dropDuplicates(["_c"])
+
+
 def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (_c, ...) with `_root`, the least set known to be in their component."""
     root = edges.groupBy(F.col("a").alias("_c")).agg(F.min("b").alias("_root"))
@@ -217,19 +242,16 @@ def _block_pairs(index: DataFrame, percent: int, block: int) -> DataFrame:
     sums = [F.min("_rank").alias("_least"), F.min("_size").alias("_low"), F.max("_size").alias("_high"), F.collect_list(entry).alias("_sets")]
     blocks = index.groupBy(*key, "_part").agg(*sums)
 
-    def need(m: Column, n: Column) -> Column:
-        return F.ceil(percent * (m + n) / (100 + percent) - 1e-9)
-
     a = blocks.select("_h", "_step", F.col("_root").alias("_r"), F.col("_least").alias("_i"), F.col("_low").alias("_ml"), F.col("_high").alias("_mh"), F.col("_sets").alias("_a"))
     b = blocks.select("_h", F.explode(F.array(F.col("_step"), F.col("_step") - 1)).alias("_step"), F.col("_step").alias("_own"), F.col("_root").alias("_s"), F.col("_least").alias("_j"), F.col("_low").alias("_nl"), F.col("_high").alias("_nh"), F.col("_sets").alias("_b"))
-    fits = F.least(F.col("_mh") - F.col("_i"), F.col("_nh") - F.col("_j")) + 1 >= need(F.col("_ml"), F.col("_nl"))
+    fits = _reach(F.col("_mh"), F.col("_i"), F.col("_nh"), F.col("_j")) >= _need(F.col("_ml"), F.col("_nl"), percent)
     # Within one step both orders of two blocks meet; the one with the lesser component first is taken.
     once = (F.col("_r") != F.col("_s")) & ((F.col("_step") != F.col("_own")) | (F.col("_r") < F.col("_s")))
     met = a.join(b, ["_h", "_step"]).where(once & fits)
 
     def good(x: Column, y: Column) -> Column:
-        left = F.least(x["_size"] - x["_rank"], y["_size"] - y["_rank"]) + 1
-        return _may_link(x["_size"], y["_size"], percent) & (left >= need(x["_size"], y["_size"]))
+        enough = _reach(x["_size"], x["_rank"], y["_size"], y["_rank"]) >= _need(x["_size"], y["_size"], percent)
+        return _may_link(x["_size"], y["_size"], percent) & enough
 
     def pair(x: Column, y: Column) -> Column:
         return F.struct(x["_c"].alias("a"), x["_size"].alias("_m"), y["_c"].alias("b"), y["_size"].alias("_n"))
@@ -270,20 +292,21 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, block: int
         least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_row")).alias("_one")
         classes = signed.where("_size > 0").groupBy("_class").agg(least, F.first("_size").alias("_size"))
         classes = scratch.stored(classes.select("_class", F.col("_one._row").alias("_c"), F.col("_one.doc_id").alias("_doc"), F.col("_one._key").alias("_key"), "_size"))
-        one = signed.join(classes.select(F.col("_c").alias("_row")), "_row", "left_semi")
+        one = signed.join(classes.select(F.col("_c").alias("_row")), "_row", "left_semi").select("_row", "_size", "_prefix")
         entries = one.select(F.col("_row").alias("_c"), "_size", F.posexplode("_prefix").alias("_rank", "_h")).withColumn("_rank", F.col("_rank") + 1)
         lists = scratch.stored(entries.groupBy("_h").agg(F.count("*").alias("_k")).where("_k > 1").select("_h"))
         entries = scratch.stored(entries.join(lists, "_h", "left_semi"))
-        shared = entries.select("_c").distinct().join(classes.select("_c", "_key"), "_c")
-        texts = docs.join(shared, "_key").select("_c", "text")
-        sets = scratch.stored(texts.mapInArrow(_shingle(width), f"_c long, _set {_SET}").dropDuplicates(["_c"]))
-
+        keys = classes.select("_c", "_key")
+        both = lambda p: p.select(F.explode(F.array("a", "b")).alias("_c")).distinct()
         pairs = scratch.stored(_leader_pairs(entries, percent))
+        sets = scratch.stored(_sets(docs, scratch.stored(both(pairs).join(keys, "_c")), width))
         known = _with_sets(pairs.select("a", "b"), sets).mapInArrow(_overlaps, "a long, b long, _both long").join(pairs, ["a", "b"])
         known = scratch.stored(known)
         edges = known.where(_links(F.col("_both"), F.col("_m"), F.col("_n"), percent)).select("a", "b")
         edges = scratch.stored(_star(scratch.stored(_star(edges))))
         pairs = scratch.stored(_block_pairs(scratch.stored(_open(entries, edges)), percent, block))
+        more = both(pairs).join(sets, "_c", "left_anti").join(keys, "_c")
+        sets = sets.union(scratch.stored(_sets(docs, scratch.stored(more), width)))
         close = known.where(_links(F.col("_both"), F.col("_m"), F.col("_n"), percent))
         asked = pairs.select(F.col("b").alias("_c")).distinct()
         best = close.groupBy(F.col("a").alias("_c")).agg(F.max(F.struct("_both", "b")).alias("_best")).join(asked, "_c")
