@@ -23,6 +23,7 @@ from .operators import validate as va
 from .operators import views as vw
 from .plans.demo import demo_tables, with_views
 from .plans.fuzzy_sql import candidates_sql
+from .plans.load import child_tables
 from .plans.normalize import extract_fields, normalize
 from .session import cut
 from .sources import tables as st
@@ -500,6 +501,31 @@ def _(t):
     return ld.flatten_children(_normal(t), "vias", "src_row_id", {"via_id": "via_id", "divi_numero": "divi_numero"}, "divi_orden")
 
 
+def _extracted_children(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Components and units that extraction finds in each address, as W1 loads them."""
+    rows = cut(clean(t)).where("clean != ''")
+    found = cut(extract_fields(rows.select("clean").distinct()).withColumn("vias", F.lit(None).cast("array<struct<via_id:bigint,divi_numero:string>>")))
+    return child_tables(rows.select(F.col("src_row_id").alias("dire_id"), "clean").join(found, "clean"))
+
+
+_PARTS = rf"[{{'codi_id': 1, 'v': {_get(r'\bMZ\b\.?\s*([A-Z0-9]+)\b')}}}, {{'codi_id': 2, 'v': {_get(r'\bLT\b\.?\s*([A-Z0-9]+)\b')}}}, {{'codi_id': 4, 'v': {_get(r'\b(\d+)\s*PISO\b')}}}]"
+
+
+@query("w1_load_components", f"""WITH {_CLEAN}, found AS (SELECT src_row_id, list_filter({_PARTS}, lambda x: x.v IS NOT NULL) AS parts FROM clean WHERE clean <> '')
+SELECT src_row_id AS dire_id, parts[i].codi_id AS codi_id, parts[i].v AS diti_valor, CAST(i AS INT) AS diti_orden FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM found)""")
+def _(t):
+    return _extracted_children(t)["address_comp"]
+
+
+@query("w1_load_units", f"""WITH {_CLEAN}, found AS (SELECT src_row_id, list_concat(list_concat(
+  CASE WHEN regexp_matches(clean, '\\bINT-17 - 19\\b') THEN [{{'t': 1, 'v': '17'}}, {{'t': 1, 'v': '19'}}] ELSE [] END,
+  CASE WHEN regexp_matches(clean, '\\bDPTO-201\\b') THEN [{{'t': 2, 'v': '201'}}] ELSE [] END),
+  CASE WHEN regexp_matches(clean, 'TIENDAS 3, 4, 5 Y 6') THEN [{{'t': 5, 'v': '3'}}, {{'t': 5, 'v': '4'}}, {{'t': 5, 'v': '5'}}, {{'t': 5, 'v': '6'}}] ELSE [] END) AS units FROM clean WHERE clean <> '')
+SELECT src_row_id AS dire_id, units[i].t AS timo_id, units[i].v AS ditm_nombre, CAST(i AS INT) AS ditm_orden FROM (SELECT *, unnest(range(1, len(units) + 1)) AS i FROM found)""")
+def _(t):
+    return _extracted_children(t)["address_mod"]
+
+
 # Zones of the demo end in digits, which 'A - B n' takes for the number: here they are spelt with letters.
 _LETTERED = "translate(nom_zona, '0123456789', 'ABCDEFGHIJ')"
 _PAIRED = f"SELECT r.src_row_id, replace(r.name, ' LT', 'LT') AS name, z.zone, CAST(1 + r.src_row_id % 900 AS STRING) AS num FROM named r JOIN (SELECT zona_id, {_LETTERED} AS zone FROM zona_catalog) z ON z.zona_id = 1 + r.src_row_id % 25"

@@ -1,6 +1,11 @@
 """Maps of ids, dense ids and commits of tables."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from callejero.operators import load as ld
+from callejero.plans.load import child_tables, load_normalized
+from callejero.sources.generations import live_tables
 
 
 def test_chains_and_cycles(spark):
@@ -29,3 +34,36 @@ def test_types_align(spark):
     catalog, id_map = ld.align_types(existing, official)
     assert sorted(tuple(r) for r in catalog.collect()) == [(1, "CALLE"), (2, "AVENIDA"), (3, "JIRÓN"), (9, "RARA"), (10, "PROPIA"), (11, "OTRA")]
     assert {r["old_id"]: r["new_id"] for r in id_map.collect()} == {1: 10, 2: 1, 3: 11, 9: 9}
+
+
+DONE = "dire_id long, es_procesado boolean, zona_id long, referencia string, at string, vias array<struct<via_id:long,divi_numero:string>>, manzana string, lote string, slote string, piso string, block string, modulos array<struct<timo_id:int,ditm_nombre:string>>"
+
+
+def test_load_is_one_commit(spark, tmp_path, monkeypatch):
+    central = spark.createDataFrame([(i, None, None, None, None) for i in range(1, 5)], "dire_id long, zona_id long, dire_referencia string, dire_es_procesado boolean, update_at string")
+    first = [(1, True, 7, "PARQUE", "t1", [(10, "5"), (11, "S/N"), (None, "1")], " a ", "3", None, None, None, [(2, "201"), (2, " 201 "), (3, None)]), (2, False, 8, "X", "t1", [(12, "1")], "b", None, None, None, None, None)]
+    path = str(tmp_path / "w1")
+    assert load_normalized(spark, path, spark.createDataFrame(first, DONE), central) == 1
+    told = lambda: {n: sorted(tuple(r) for r in t.collect()) for n, t in live_tables(spark, path).items()}
+    one = told()
+    assert one["address"] == [(1, 7, "PARQUE", True, "t1"), (2, None, None, False, "t1"), (3, None, None, None, None), (4, None, None, None, None)]
+    assert one["address_via"] == [(1, 10, "5", 1), (1, 11, "S/N", 2)]
+    assert one["address_comp"] == [(1, 1, "A", 1), (1, 2, "3", 2)] and one["address_mod"] == [(1, 2, "201", 2)]
+    second = spark.createDataFrame([(1, True, 9, None, "t2", [(10, "6")], None, "4", None, None, None, [(5, "1")]), (3, True, 9, "R", "t2", None, None, None, None, "2", None, None)], DONE)
+
+    def broken(done):
+        tables = child_tables(done)
+        return tables | {"address_mod": tables["address_mod"].withColumn("ditm_nombre", F.raise_error(F.lit("unit table fails")).cast("string"))}
+
+    with monkeypatch.context() as m:
+        m.setattr("callejero.plans.load.child_tables", broken)
+        with pytest.raises(Exception, match="unit table fails"):
+            load_normalized(spark, path, second)
+    assert told() == one
+    assert load_normalized(spark, path, second) == 2
+    two = told()
+    assert two["address"][0] == (1, 9, None, True, "t2") and two["address"][2] == (3, 9, "R", True, "t2")
+    assert two["address_via"] == [(1, 10, "6", 1), (1, 11, "S/N", 2)] and two["address_comp"] == [(1, 1, "A", 1), (1, 2, "4", 1), (3, 4, "2", 1)]
+    assert two["address_mod"] == [(1, 2, "201", 2), (1, 5, "1", 1)]
+    with pytest.raises(ValueError):
+        load_normalized(spark, str(tmp_path / "other"), second)
