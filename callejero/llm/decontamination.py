@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import apart, stored, table
 from ._tokens import ALNUM, covered, slices, windows, words
 
 #: Most bytes of test text in one broadcast hash set.
@@ -140,7 +140,8 @@ def find_hits(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: in
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, min_hit: int = 1) -> DataFrame:
     """docs without those that have at least min_hit words inside a test window."""
-    return find_hits(docs, items, size).where(F.col("_hits.n_hit") < min_hit).select(*docs.columns)
+    docs, back = apart(docs, "_hits")
+    return find_hits(docs, items, size).where(F.col("_hits.n_hit") < min_hit).select(*back)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ _ALIGNED = "host string, _seq binary, boxes array<bigint>, shared array<boolean>
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, pages in slices(batches, "html"):
-        cut = [blocks(h.decode()) for h in pages]
+        cut = [blocks(h.decode(errors="replace")) for h in pages]
         told = [[_hash(t) for t, _, _ in c] for c in cut]
         seq = pa.array([xxhash.xxh128_digest(np.array(x, np.int64).tobytes()) for x in told], pa.binary())
         boxes = pa.array([[b for _, b, _ in c] for c in cut], pa.list_(pa.int64()))
@@ -259,7 +259,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, shared, usual in told:
             kept = []
             sure = {x >> 1: x & 1 for x in usual or ()}  # places in mostly shared boxes
-            for i, (text, _, kind) in enumerate(blocks(page.decode())):
+            for i, (text, _, kind) in enumerate(blocks(page.decode(errors="replace"))):
                 gone = kind == "chrome" or (sure.get(i) and shared and shared[i] if kind == "content" else i in sure)
                 if not gone:
                     kept.append(text)

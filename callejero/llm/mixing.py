@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table, with_broadcast_if_small
+from ._common import apart, stored, table, with_broadcast_if_small
 
 SEED = "mix-1"
 EPS = 1e-9
@@ -171,13 +171,14 @@ def with_copies(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in these are numbered by a hash of all their columns, so reruns agree.
     """
+    docs, back = apart(docs, "_d", "_s", "_z", "copies", "_n", "_size", "_copy", "_i")
     taken = mix(docs, **options).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
     taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy("copies")))
     rows = docs.withColumn("_size", size_of(F.col("text")))
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64(*docs.columns))))
     on = rows["doc_id"].eqNullSafe(taken["_d"]) & rows["source"].eqNullSafe(taken["_s"]) & (rows["_size"] == taken["_z"]) & (rows["_copy"] == taken["_n"])
     joined = rows.join(taken.where("copies > 0"), on)
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*back)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, stored, table
+from ._common import Scratch, apart, stored, table
 from ._tokens import NOT_SPACE, mix, slices, windows, words
 
 BANDS, ROWS = 48, 6
@@ -261,9 +261,10 @@ def _prefix_pairs(prefix: DataFrame, percent: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document (the least doc_id) of each group; repeated rows of it are one."""
+    docs, back = apart(docs, "_kept")
     keep = _judged(docs, **options).where("_one").select(F.col("_key").alias("_kept"))
     kept = docs.join(keep, _key() == F.col("_kept"))
-    return kept.dropDuplicates(["_kept"]).select(*[docs[c] for c in docs.columns])
+    return kept.dropDuplicates(["_kept"]).select(*back)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ class Ftrl:
 
 
 def _train(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("_h", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    rows = rows.sort_by([("_h", "ascending"), ("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")]).combine_chunks()
     model = Ftrl()
     parts = [(features(texts), part.column("label").to_pylist()) for part, texts in slices(iter(rows.to_batches()))]
     for _ in range(EPOCHS):

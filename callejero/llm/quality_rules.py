@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table, with_broadcast_if_small
+from ._common import apart, stored, table, with_broadcast_if_small
 from ._tokens import NOT_SPACE, covered, per_text, slices, windows, words
 
 #: Bins of the sketches: value v > FLOOR falls into bin ceil(log(v / FLOOR) / log(GROWTH)), all less into bin 0.
@@ -169,8 +169,9 @@ def judge(docs: DataFrame, fence: float = 3.0, min_rows: int = 50, wider: float
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns."""
-    return judge(docs).where("_kept").select(*docs.columns)
+    """The documents that pass, with their columns, whatever these are called."""
+    docs, back = apart(docs, "_kept", "_limits", "_lang", "_source", "_rules")
+    return judge(docs).where("_kept").select(*back)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

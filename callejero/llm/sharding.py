@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table, with_broadcast_if_small
+from ._common import apart, stored, table, with_broadcast_if_small
 
 RING = 1 << 32
 
@@ -146,14 +146,16 @@ def shard_plan(
 
 def with_shards(docs: DataFrame, **options) -> DataFrame:
     """docs with shard and slot (columns of these names are replaced); rows are matched by doc_id, CRC of the text and their number among such rows."""
+    docs, back = apart(docs.drop("shard", "slot"), "_crc", "_copy", "_of_doc_id", "_of__crc", "_of__copy")
     plan = shard_plan(docs, **options)
     key = ["doc_id", "_crc", "_copy"]
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_crc").orderBy(F.xxhash64(*[c for c in docs.columns if c not in ("shard", "slot")])))
-    places = plan.select(F.col("doc_id"), F.col("text_crc32").alias("_crc"), "size", "shard", "slot")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "_crc").orderBy(F.xxhash64(*docs.columns)))
+    places = plan.select(F.col("doc_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
     places = places.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_crc").orderBy("slot", "shard")))
-    keyed = docs.drop("shard", "slot").withColumn("_crc", F.crc32("text")).withColumn("_copy", copy)
-    on = [keyed[k].eqNullSafe(places[k]) for k in key]
-    return keyed.join(places, on[0] & on[1] & on[2]).select(*[keyed[c] for c in docs.columns if c not in ("shard", "slot")], places["shard"], places["slot"])
+    keyed = docs.withColumn("_crc", F.crc32("text")).withColumn("_copy", copy)
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in key]
+    joined = keyed.join(places.withColumnsRenamed({k: f"_of_{k}" for k in key}), on[0] & on[1] & on[2])
+    return joined.select(*back, "shard", "slot")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
