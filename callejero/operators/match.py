@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions.text import normalize_variants, remove_accents, sanitize
 from .fuzzy import accept_match, fuzzy_candidates  # noqa: F401
+from .load import resolve_map
 
 _PREFIX = r"^(?:AV\.|AVENIDA|CA\.|CALLE|JR\.|JIRON|PJE\.|PASAJE|PRLG\.|PROLONGACION|CTRA\.|CARRETERA|AL\.|ALAMEDA|PSO\.|PASEO)\s+"
 
@@ -52,10 +53,12 @@ def extend_catalog(catalog: DataFrame, added: DataFrame, key: str, unique: bool)
     return a.join(b.select(on), on, "left_anti").unionByName(b).drop(on)
 
 
-def name_index(catalog: DataFrame, id_col: str, name_col: str, unique: bool = False) -> DataFrame:
-    """C4: key -> row of the catalogue, by name, name without accents and synonyms; cities are left out.
+def name_index(catalog: DataFrame, id_col: str, name_col: str, unique: bool = False, aliases: DataFrame | None = None) -> DataFrame:
+    """C4: key -> row of the catalogue, by name, name without accents, synonyms and aliases; cities are left out.
 
-    Streets keep all rows of a key; with unique (zones) the last by id wins.
+    Streets keep all rows of a key; with unique (zones) the last by id wins. aliases (alias, target) are other names of
+    keys, or of other aliases: chains are followed to the first key of the catalogue. A key of the catalogue is
+    never an alias; aliases that end in no key, or run in a cycle, count for nothing.
     """
     name = F.upper(F.trim(F.col(name_col)))
     names = F.array(name, remove_accents(name))
@@ -66,7 +69,22 @@ def name_index(catalog: DataFrame, id_col: str, name_col: str, unique: bool = Fa
     if unique:
         cols = [c for c in index.columns if c != "key"]
         index = index.groupBy("key").agg(F.max_by(F.struct(*cols), id_col).alias("_r")).select("key", "_r.*")
-    return index
+    return index if aliases is None else index.unionByName(_alias_rows(index, aliases))
+
+
+def _alias_rows(index: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The index rows of what aliases stand for, under the aliases (with and without accents)."""
+    form = lambda c: F.upper(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    alias, target = form(F.col("alias")), form(F.col("target"))
+    pairs = aliases.select(F.explode(F.array_distinct(F.array(alias, remove_accents(alias)))).alias("old_id"), target.alias("new_id")).where("old_id != ''")
+    keys = index.select(F.col("key").alias("old_id")).distinct()
+    # A target that is written with accents is also known without.
+    known = keys.select(F.col("old_id").alias("_k"))
+    plain = remove_accents(F.col("new_id"))
+    pairs = pairs.join(known, F.col("new_id") == F.col("_k"), "left").select("old_id", F.coalesce("_k", plain).alias("new_id"))
+    ends, _ = resolve_map(pairs.join(keys, "old_id", "left_anti").where(~F.col("old_id").isin(lx.CITIES)))
+    rows = index.withColumnRenamed("key", "_key")
+    return ends.join(rows, F.col("new_id") == F.col("_key")).drop("new_id", "_key").withColumnRenamed("old_id", "key")
 
 
 def cascade_keys(clean: Column, bare: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import let_workers_import
+from ..operators.numbering import numbered
+from ..session import cut, let_workers_import
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 
@@ -46,17 +47,47 @@ SELECT DISTINCT l_orderkey AS dire_id, CAST(1 + l_partkey % 6 AS INT) AS timo_id
 }
 
 
-def demo_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The derived tables and those they come from, by name; nothing runs yet."""
-    let_workers_import(spark)
-    t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
-    for name, sql in VIEWS.items():
-        used = {k: v for k, v in t.items() if f" {k} " in f" {sql} ".replace("\n", " ").replace(")", " )").replace("(", "( ")}
-        text = sql
+#: Tables that many queries share, and whose plans are long: written once a session and folder.
+_STORED = ("via_catalog", "raw_addresses")
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+class _Tables(dict):
+    """The given tables and those derived from them, each made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if name in TABLES:
+            self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name not in VIEWS:
+            raise KeyError(name)
+        elif key in _written:
+            self[name] = _written[key]
+        else:
+            self[name] = self._derived(name)
+            if name in _STORED:
+                self[name] = _written[key] = cut(self[name])
+        return self[name]
+
+    def _derived(self, name: str) -> DataFrame:
+        text = VIEWS[name]
+        if name == "via_catalog":  # the catalogue grows with the parts: its rows are numbered by ranges
+            rows = self.spark.sql(f"SELECT * {text[text.index('FROM (SELECT DISTINCT') :]}".replace("FROM part)", "FROM {part})"), part=self["part"])
+            return numbered(rows, ["nom_via", "id_tipo_via", "sector", "condicion"], name="via_id").select("via_id", *rows.columns[1:2], "nom_via", "sector", "condicion")
+        plain = f" {text} ".replace("\n", " ").replace(")", " )").replace("(", "( ")
+        used = {k: self[k] for k in [*TABLES, *VIEWS] if k != name and f" {k} " in plain}
         for k in sorted(used, key=len, reverse=True):
             text = _named(text, k)
-        t[name] = spark.sql(text, **used)
-    return t
+        return self.spark.sql(text, **used)
+
+
+def demo_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The given and the derived tables, by name; those in _STORED are written when a query first asks for them."""
+    return _Tables(let_workers_import(spark), sf_dir)
 
 
 def _named(sql: str, name: str) -> str:

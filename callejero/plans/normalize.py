@@ -73,27 +73,27 @@ def _with_match(df: DataFrame, names: DataFrame, index: DataFrame, catalog: Data
     return df.join(found, on, "left").drop(*[f"_m_{c}" for c in fields])
 
 
-def match_fields(df: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Zone first, for its sector settles streets of equal name; distinct names only."""
+def match_fields(df: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True, via_aliases: DataFrame | None = None, zona_aliases: DataFrame | None = None) -> DataFrame:
+    """Zone first, for its sector settles streets of equal name; distinct names only. Aliases: (alias, target)."""
     zones = df.select(F.col("nom_zona").alias("name"), F.col("tipo_zona").alias("type_hint")).where("name is not null").distinct()
-    zone_index = mt.name_index(zonas, "zona_id", "nom_zona", unique=True)
+    zone_index = mt.name_index(zonas, "zona_id", "nom_zona", unique=True, aliases=zona_aliases)
     df = _with_match(df, zones, zone_index, zonas, "zone", {"name": "nom_zona", "type_hint": "tipo_zona"}, "zona_id", "nom_zona", fuzzy)
     sectors = zonas.groupBy(F.col("zona_id").alias("_z")).agg(F.max("sector").alias("sector_hint"))
     df = df.join(sectors, F.col("zona_id") == F.col("_z"), "left").drop("_z")
     if fuzzy:
         df = cut(df)
     names = df.select(F.col("nom_via").alias("name"), F.col("tipo_via").alias("type_hint"), "sector_hint").where("name is not null").distinct()
-    street_index = mt.name_index(vias, "via_id", "nom_via")
+    street_index = mt.name_index(vias, "via_id", "nom_via", aliases=via_aliases)
     fields = {"name": "nom_via", "type_hint": "tipo_via", "sector_hint": "sector_hint"}
     return _with_match(df, names, street_index, vias, "street", fields, "via_id", "nom_via", fuzzy).drop("sector_hint")
 
 
-def normalize(raw: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True, check: bool = True, route: bool = True) -> DataFrame:
+def normalize(raw: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True, check: bool = True, route: bool = True, via_aliases: DataFrame | None = None, zona_aliases: DataFrame | None = None) -> DataFrame:
     """Rows of raw (src_schema, src_table, src_row_id, raw_text) with fields, es_procesado, reasons and metodo."""
     rows = cut(raw.withColumn("clean", sanitize(F.col("raw_text"))))
     texts = rows.select("clean").where("clean != ''").distinct()
     df = cut(settle_roles(cut(extract_fields(texts)), vias, zonas))
-    df = cut(ro.with_streets(cut(match_fields(df, vias, zonas, fuzzy)), vias, zonas))
+    df = cut(ro.with_streets(cut(match_fields(df, vias, zonas, fuzzy, via_aliases, zona_aliases)), vias, zonas))
     df = df.withColumn("reasons", va.reasons(df))
     if route:
         df = df.withColumn("reasons", F.when(F.col("risk.complex"), F.array_prepend("reasons", F.concat(F.lit("COMPLEJA: "), F.array_join("risk.triggers", ",")))).otherwise(F.col("reasons")))

@@ -391,6 +391,18 @@ def _(t):
     return mt.name_index(t["via_catalog"], "via_id", "nom_via").groupBy("key").agg(F.count("*").alias("n"), F.min("via_id").alias("first"))
 
 
+# Each name has an alias, which has an alias, which has one; a fourth runs in a cycle with a fifth.
+_ALIAS_CHAIN = """SELECT DISTINCT nom_via || ' UNO' AS alias, nom_via AS target FROM via_catalog UNION ALL SELECT DISTINCT nom_via || ' DOS', lower(nom_via) || '  uno' FROM via_catalog
+UNION ALL SELECT DISTINCT nom_via || ' TRÉS', nom_via || ' DOS' FROM via_catalog UNION ALL SELECT DISTINCT nom_via || ' X', nom_via || ' Y' FROM via_catalog
+UNION ALL SELECT DISTINCT nom_via || ' Y', nom_via || ' X' FROM via_catalog"""
+
+
+@query("c4_alias_closure", """SELECT nom_via || s AS key, n, first FROM (SELECT nom_via, count(*) AS n, min(via_id) AS first FROM via_catalog GROUP BY nom_via), (VALUES (''), (' UNO'), (' DOS'), (' TRÉS'), (' TRES')) v(s)""")
+def _(t):
+    aliases = t["part"].sparkSession.sql(_ALIAS_CHAIN.replace("FROM via_catalog", "FROM {v}"), v=t["via_catalog"])
+    return mt.name_index(t["via_catalog"], "via_id", "nom_via", aliases=aliases).groupBy("key").agg(F.count("*").alias("n"), F.min("via_id").alias("first"))
+
+
 _RANKED = """SELECT q.name, q.sector_hint, v.via_id, row_number() OVER (PARTITION BY q.name, q.sector_hint ORDER BY
     CASE WHEN v.sector = q.sector_hint THEN 0 ELSE 1 END, CASE WHEN v.id_tipo_via = 1 THEN 0 ELSE 1 END, CASE WHEN v.condicion = 'F' THEN 0 ELSE 1 END, v.via_id) AS k
   FROM (SELECT DISTINCT 'AV. ' || nom_via AS name, nom_via, 'S1' AS sector_hint FROM via_catalog) q JOIN via_catalog v ON v.nom_via = q.nom_via"""
