@@ -24,7 +24,7 @@ from ..session import cut
 def extract_fields(texts: DataFrame) -> DataFrame:
     """R1, R2, E1 to E19 for distinct (clean) texts, with an id per text."""
     t = F.col("clean")
-    df = with_complexity(texts.withColumn("id", F.xxhash64("clean")), "clean")
+    df = with_complexity(texts.withColumn("id", F.xxhash64("clean")), "clean", cleaned=True)
     df = df.withColumn("nom_zona", ex.zone_name(t)).withColumn("nom_via", F.coalesce(ex.street_name(t), ex.date_street(t, F.col("nom_zona"))))
     df = df.withColumn("_ref", ex.reference(t))
     shop = ex.is_shop(F.col("nom_via"))
