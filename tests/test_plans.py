@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 #: Queries that number rows, or read the tables that do.
-NUMBERED = ["c4_name_index", "c11_remap_ids", "u5_address_key", "u6_duplicate_map", "u7_repoint", "u9_align_types", "u13_add_entries", "i1_ingest", "q5_overview", "t1_sanitize"]
+NUMBERED = ["c4_name_index", "u6_duplicate_map", "u9_align_types", "u13_add_entries", "q5_overview"]
 
 
 @pytest.mark.parametrize("name", NUMBERED)
