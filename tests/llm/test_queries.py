@@ -50,7 +50,7 @@ def multiset(df, *columns):
     return collections.Counter(tuple(r) for r in df.select(*columns).collect())
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [n for n in QUERIES if n != "op11_prefix_trie"])  # its rows are nodes; see test_trie
 def test_every_row_once(spark, folder, empty, name):
     table = "pages" if name.startswith("op8") else "documents"
     key = "page_id" if table == "pages" else "doc_id"
