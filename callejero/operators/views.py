@@ -111,8 +111,12 @@ def header_sizes(nested: DataFrame) -> DataFrame:
     return nested.agg(*[F.coalesce(F.max(F.size(c)), F.lit(0)).alias(f"max_{c}") for c in ("vias", "modulos", "componentes")])
 
 
-def flat_export(nested: DataFrame, streets: int = 3) -> DataFrame:
-    """Q16: one flat row an address: status, streets 1..n, corner text, plot, units, reference."""
+def flat_export(nested: DataFrame, streets: int | None = None) -> DataFrame:
+    """Q16: one flat row an address: status, streets 1..n, corner text, plot, units, reference.
+
+    n is the most streets of any address (Q15), three at least, unless it is told.
+    """
+    streets = max(3, header_sizes(nested).first()["max_vias"]) if streets is None else streets
     part = lambda i: F.get(F.transform(F.filter("componentes", lambda c: c["codi_id"] == i), lambda c: c["diti_valor"]), F.lit(0))
     name = lambda k: F.get("vias", F.lit(k - 1))["via_nombre"]
     cols = [x for k in range(1, streets + 1) for x in (name(k).alias(f"via_{k}"), F.get("vias", F.lit(k - 1))["divi_numero"].alias(f"numero_{k}"))]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callejero.operators import load as ld
+from callejero.operators.views import flat_export
 from callejero.plans.load import child_tables, load_normalized
 from callejero.sources.generations import live_tables
 
@@ -67,3 +68,13 @@ def test_load_is_one_commit(spark, tmp_path, monkeypatch):
     assert two["address_mod"] == [(1, 2, "201", 2), (1, 5, "1", 1)]
     with pytest.raises(ValueError):
         load_normalized(spark, str(tmp_path / "other"), second)
+
+
+def test_flat_export_holds_all_streets(spark):
+    streets = "array<struct<via_nombre:string,divi_numero:string>>"
+    fields = f"dire_id long, dire_es_procesado boolean, dire_referencia string, vias {streets}, componentes array<struct<codi_id:int,diti_valor:string>>, modulos array<struct<timo_id:int,ditm_nombre:string>>"
+    rows = [(1, True, None, [(f"V{k}", str(k)) for k in range(5)], [], []), (2, None, "R", [], [(1, "A")], [])]
+    flat = flat_export(spark.createDataFrame(rows, fields))
+    got = {r["dire_id"]: r for r in flat.collect()}
+    assert [got[1][f"via_{k}"] for k in range(1, 6)] == ["V0", "V1", "V2", "V3", "V4"] and got[1]["numero_5"] == "4" and got[2]["via_1"] is None
+    assert "via_3" in flat_export(spark.createDataFrame(rows[1:], fields)).columns
