@@ -2,8 +2,9 @@
 
 Every shard owns `virtual_nodes` points of a ring of 2**32 positions. A document stands at the hash of
 its text, so equal texts stand together, and goes to the shard that owns the next point clockwise. A
-shard holds at most `load` times the mean of all bytes; what no longer fits goes on clockwise to the
-next shard with room. Law: `bytes`.
+shard has room for `load` times the mean of all bytes; what no longer fits goes on clockwise to the next
+shard with room. A document goes where its first byte falls, so a shard can exceed its room by the largest
+document for each stretch of the ring that it takes. Law: `bytes`.
 
 Only the bytes of each arc between two points are gathered (shards * virtual_nodes numbers, whatever the
 input). The walk over these arcs fixes, for each arc, which stretch of its bytes goes to which shard. A
