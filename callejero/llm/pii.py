@@ -1,6 +1,6 @@
 """Operator 5: surrogates for personal data, with DataFrame functions only.
 
-One pattern finds e-mail addresses, keys and tokens, IP addresses, card and account numbers, phone numbers
+One pattern finds e-mail addresses, keys and tokens, IP addresses of both versions, card and account numbers, phone numbers
 and names behind a title. Each mention is cut into parts in a canonical form: the digits of a number, the
 lower-cased local part and domain of an address, the given and the family name without title. Each distinct
 part gets one surrogate in the whole corpus, so `4111 1111` and `4111-1111`, or `Mrs Jones` and `Mr John
@@ -20,7 +20,9 @@ Spark splits where a part is hot. Texts without entities are not shuffled.
 
 Null texts stay null, empty ones empty; mentions of any length are replaced whole. Repeated rows and equal
 texts get equal results; ids play no part. Extra columns pass through; `text` and a column `_entities` are
-replaced. An empty table gives an empty result. Names without one of the titles are not found.
+replaced. An empty table gives an empty result. Names without one of the titles are not found, nor local numbers of seven
+digits without an area code; a full and a shortened IPv6 address count as two. Digits behind a complete
+telephone or card number are no part of it, so a number has one surrogate whatever follows it.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, stored, table
 
-KEY = "callejero-surrogates"
+#: Setting that holds the secret key; the query falls back on DEMO_KEY, which is no secret and for trials only.
+KEY_SETTING, DEMO_KEY = "spark.callejero.surrogateKey", "callejero-demo"
 #: Attempts in the part's own format; later ones add digits of the hash.
 PLAIN_ATTEMPTS = 6
 #: Parts whose surrogates one task draws.
@@ -41,22 +44,43 @@ PARTS_PER_TASK = 2_000
 _WORD = r"\p{L}\p{N}"
 _TOKEN = r"(?:AKIA|ASIA)|(?:sk|pk|rk)[-_]|gh[pousr]_|xox[abprs]-|eyJ"
 _TITLE = "Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr"
+#: Titles that count in capitals too; the shorter ones are also abbreviations.
+_CAPITAL_TITLE = "MRS|MR|MISS|DR|PROF|HERR|FRAU|MONSIEUR|MADAME|SEÑORA|SEÑOR"
+
+_SEP = r"[ .\-]"
+#: Shapes of telephone numbers: each is as long as its plan, so digits that follow are left to what comes next.
+_PHONES = [
+    rf"(?:\+\d{{1,3}}{_SEP}?)?\(\d{{2,4}}\){_SEP}?\d{{3,4}}{_SEP}?\d{{3,4}}",
+    rf"\+1{_SEP}?\d{{3}}{_SEP}?\d{{3}}{_SEP}?\d{{4}}",
+    rf"\+\d{{1,3}}{_SEP}\d{{1,3}}(?:{_SEP}\d\d){{3,4}}",
+    rf"\+\d{{1,3}}{_SEP}\d\d{_SEP}\d{{3}}{_SEP}\d{{3}}{_SEP}\d\d",
+    rf"\+\d{{1,3}}{_SEP}\d{{2,4}}{_SEP}\d{{5,8}}",
+    rf"\+\d{{1,3}}{_SEP}\d{{2,5}}{_SEP}\d{{3,5}}(?:{_SEP}\d{{3,4}})?",
+    rf"\+\d{{1,3}}{_SEP}\d{{6,12}}|\+\d{{8,15}}",
+    rf"\d{{3}}{_SEP}\d{{3}}{_SEP}\d{{4}}",
+    r"0\d{2,4}[ /\-]\d{5,8}",
+]
+#: Cards and accounts: digits in one run, or in the groups of a card with one separator throughout.
+_NUMBERS = [r"\d{13,19}", *[rf"\d{{4}}{x}\d{{4}}{x}\d{{4}}{x}\d{{4}}|\d{{4}}{x}\d{{6}}{x}\d{{4,5}}" for x in (" ", "-")], r"\d{3}-\d{2}-\d{4}"]
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 
 #: Kind -> pattern, in order of precedence. No group repeats without a bound, so long runs need no stack.
 PATTERNS = {
     "email": rf"(?<![{_WORD}._%+\-])[{_WORD}._%+\-]++@[{_WORD}\-]++\.[{_WORD}.\-]*[{_WORD}\-]",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk)[-_][0-9A-Za-z_\-]{16,}|gh[pousr]_[0-9A-Za-z]{20,}|xox[abprs]-[0-9A-Za-z\-]{10,}|eyJ[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]{10,}\.[0-9A-Za-z_\-]+)(?![0-9A-Za-z])",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])",
+    "ip": rf"(?<![\d.\p{{L}}])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ip6": rf"(?<![0-9A-Za-z:])(?=[A-Fa-f:]{{0,30}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::(?:{_HEX}:){{0,6}}{_HEX}|(?:{_HEX}:){{1,7}}:)(?![0-9A-Za-z:])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
-    "phone": r"(?<![\d\p{L}])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\d\p{L}])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d\p{L}])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\d)",
-    "number": r"(?<![\d\p{L}])\d(?:[ \-]?\d){12,18}(?!\d)|(?<![\d\p{L}])\d{3}-\d{2}-\d{4}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
+    "phone": rf"(?<![\d\p{{L}}])(?<!\d[.\-/])(?:{'|'.join(_PHONES)})(?!\d|-\d)",
+    "number": rf"(?<![\d\p{{L}}])(?:{'|'.join(_NUMBERS)})(?!\d)",
+    "name": rf"(?<!\p{{L}})(?:{_CAPITAL_TITLE})\.? \p{{Lu}}[\p{{Lu}}'\-]+(?![\p{{L}}'\-])(?: \p{{Lu}}[\p{{Lu}}'\-]+(?![\p{{L}}'\-]))?|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
 }
 #: What every entity has: a digit, an at sign, the beginning of a token, or a title. Most texts have none and skip the patterns.
-HINT = rf"[\d@]|{_TOKEN}|[A-Fa-f]{{32}}|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[\d@]|{_TOKEN}|[A-Fa-f]{{32}}|(?<!\p{{L}})(?:{_TITLE}|{_CAPITAL_TITLE})\.? \p{{Lu}}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
-_FEMALE, _MALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)\b", r"^(?:Mr|Herr|Monsieur|Señor|Sr)\b"
+_FEMALE, _MALE = r"(?iu)^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)\b", r"(?iu)^(?:Mr|Herr|Monsieur|Señor|Sr)\b"
 
 #: Alphabets in which a letter is replaced by another of the same one.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "áéíóúñüäößèêç", "ÁÉÍÓÚÑÜÄÖÈÊÇ", "абвгдежзиклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
@@ -97,6 +121,7 @@ def parts_of(kind: Column, entity: Column) -> Column:
         .when(kind == "phone", F.array(_part("phone", F.concat(prefix, F.lit("|"), rest))))
         .when(kind == "number", F.array(_part("number", F.regexp_replace(entity, r"\D", ""))))
         .when(kind == "iban", F.array(_part("iban", F.regexp_replace(entity, " ", ""))))
+        .when(kind == "ip6", F.array(_part("ip6", F.lower(entity))))
         .when((kind == "name") & (F.size(bare) > 1), F.array(_part(given, F.initcap(bare[0])), family))
         .when(kind == "name", F.array(family))
         .otherwise(F.array(_part(kind, entity)))
@@ -164,14 +189,14 @@ def _name(kind: Column, part: Column, plain: Column, attempt: int) -> Column:
     return F.when(part.rlike(of % "IsLatin"), made("latin")).when(part.rlike(of % "IsCyrillic"), made("cyrillic")).otherwise(plain)
 
 
-def with_surrogates(parts: DataFrame, attempt: int, key: str = KEY) -> DataFrame:
+def with_surrogates(parts: DataFrame, attempt: int, key: str) -> DataFrame:
     """parts (kind, part, form) with the surrogate of each at some attempt."""
     kind, part, plain, hashed = F.col("form"), F.col("part"), F.col("_plain"), F.col("_hash")
     columns = parts.columns
     # Each step is a column that the next one reads often; the kind of a given name holds no gender here.
     parts = parts.withColumn("_hash", F.sha2(F.concat_ws("|", F.lit(key), "kind", "part", F.lit(str(attempt))), 256))
     parts = parts.withColumn("_bytes", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr("_hash", i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-    parts = parts.withColumn("_plain", _letters(part, part.rlike("^[0-9A-Fa-f]{32,}$")))
+    parts = parts.withColumn("_plain", _letters(part, (kind == "ip6") | part.rlike("^[0-9A-Fa-f]{32,}$")))
 
     def with_head(head: Column) -> Column:
         return F.concat(head, F.substr(plain, F.char_length(head) + 1))
@@ -197,7 +222,7 @@ def with_surrogates(parts: DataFrame, attempt: int, key: str = KEY) -> DataFrame
     return parts.select(*columns, made.alias("surrogate"))
 
 
-def surrogates(parts: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(parts: DataFrame, key: str) -> DataFrame:
     """kind, part, surrogate for distinct parts (kind, part, form); within a kind no two surrogates are equal, none equals a part."""
     with Scratch(parts.sparkSession) as scratch:
         parts = scratch.stored(parts)
@@ -238,13 +263,16 @@ def dressed(kind: Column, mention: Column, new: Callable[[int], Column]) -> Colu
         F.when(kind == "email", F.concat(like(mail[0], new(0)), F.lit("@"), like(mail[1], new(1))))
         .when(kind.isin("phone", "number"), between("[0-9]", F.regexp_replace(new(0), r"\D", "")))
         .when(kind == "iban", between("[0-9A-Z]", new(0)))
+        .when(kind == "ip6", like(mention, new(0)))
         .when(kind == "name", F.concat(title, F.when(F.upper(bare) == bare, F.upper(name)).otherwise(name)))
         .otherwise(new(0))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with every entity in `text` replaced, and `_entities`, the number of mentions replaced."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """docs with every entity in `text` replaced, and `_entities`, the number of mentions replaced; key is the caller's secret."""
+    if not key:
+        raise ValueError("surrogates need a key")
     columns = [c for c in docs.columns if c != "_entities"]
     docs = docs.select(*columns)
     some = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ANY), F.lit(False))
@@ -271,4 +299,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", "text", F.col("_entities").alias("n_entities"))
+    return pseudonymise(docs, spark.conf.get(KEY_SETTING, DEMO_KEY)).select("doc_id", "text", F.col("_entities").alias("n_entities"))

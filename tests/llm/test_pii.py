@@ -13,7 +13,7 @@ def luhn(digits):
 
 def replaced(spark, texts):
     rows = [(i, t, f"x{i}") for i, t in enumerate(texts)]
-    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, _entities string").repartition(2)).collect()
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, _entities string").repartition(2), "k").collect()
     assert len(out) == len(texts)
     return {r["doc_id"]: r["text"] for r in out}
 
@@ -59,11 +59,34 @@ def test_long_entities(spark):
 
 def test_distinct_surrogates(spark):
     parts = spark.range(1500).select(F.lit("family").alias("kind"), F.concat(F.lit("Fam"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("part"), F.lit("family").alias("form"))
-    got = pii.surrogates(parts).collect()
+    got = pii.surrogates(parts, "k").collect()
     assert len({r["surrogate"] for r in got}) == len({r["part"] for r in got}) == 1500
     assert not {r["surrogate"] for r in got} & {r["part"] for r in got}
     real = [f"{i:03d}" for i in range(990)]  # as good as every number is taken by a real one
     full = spark.createDataFrame([("number", p, "number") for p in real], "kind string, part string, form string")
-    got = pii.surrogates(full).collect()
+    got = pii.surrogates(full, "k").collect()
     assert len({r["surrogate"] for r in got}) == 990 and not {r["surrogate"] for r in got} & set(real)
-    assert pii.pseudonymise(spark.createDataFrame([], "text string")).count() == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "text string"), "k").count() == 0
+
+
+def test_numbers_end_where_their_plan_ends(spark):
+    texts = [
+        "+49 30 123456 100 times", "+49 30 123456", "+49 171 2345678 0171-2345678", "2024-01-02 1234567890123", "see v1.2.3.4 or 1.2.3.4.5 or 300.1.1.1",
+        "MR JOHN SMITH met Mr John Smith", "from 2001:db8::ff00:42:8329 and 2001:DB8::FF00:42:8329 at 12:30:45", "0171 2345678 or 0171/2345678",
+        "4111 1111 1111 1111 100 times", "4111-1111-1111-1111", "+44 20 7946 0958 100 times", "+33 6 12 34 56 78, +91 98765 43210", "MS WORD and std::vector",
+    ]
+    new = replaced(spark, texts)
+    head, tail = new[0][: len("+49 30 123456")], new[0][len("+49 30 123456") :]
+    assert tail == " 100 times" and head == new[1] and re.fullmatch(r"\+49 \d\d \d{6}", head) and head != texts[1]
+    assert re.fullmatch(r"\+49 \d{3} \d{7} 0?\d{3,4}-\d{7}", new[2]) and "2345678" not in new[2]
+    assert re.fullmatch(r"2024-01-02 \d{13}", new[3]) and new[3] != texts[3]
+    assert new[4] == texts[4] and new[12] == texts[12]
+    upper, lower = new[5].removeprefix("MR ").split(" met Mr ")
+    assert upper == lower.upper() and "JOHN" not in upper and "SMITH" not in upper
+    a, b = re.fullmatch(r"from (\S+) and (\S+) at 12:30:45", new[6]).groups()
+    assert a == b.lower() and re.fullmatch("[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}", a) and a != "2001:db8::ff00:42:8329"
+    x, y = new[7].split(" or ")
+    assert re.sub(r"\D", "", x) == re.sub(r"\D", "", y) != "01712345678"
+    assert new[8].endswith(" 100 times") and re.sub(r"\D", "", new[8][:19]) == new[9].replace("-", "") != "4111111111111111"
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4} 100 times", new[10]) and "7946" not in new[10]
+    assert re.fullmatch(r"\+33 \d( \d\d){4}, \+91 \d{5} \d{5}", new[11]) and "98765" not in new[11]
