@@ -9,11 +9,10 @@ by the pivotal method. Two documents with fractions p and q pass mass between th
 0 or 1; the other goes on to meet the next. Documents are met in order of size, so mass moves between
 documents of like size and the words taken stay near the target. The reduction is a tree: leaves are
 (source, size class, hash bucket), streamed in sorted order with one open document in memory; the open
-documents of all leaves meet by (source, size class); the open documents of all classes meet at the root of
-their source. Documents with over 1 / `heavy` of their source's words, of which a source has fewer than
-`heavy`, join only at this root. There few documents of unlike sizes are left, and a draw could miss the
-target by one of the largest, so they are rounded, largest first, to the side that keeps the source's words
-nearer its target. A hot source is spread over all its classes and buckets.
+documents of all leaves meet by (source, size class). Every document goes this way, whatever its size. What
+is left at the root of a source is one open document a size class, of unlike sizes: a draw there could miss
+the target by one of the largest, so they are rounded, largest first, to the side that keeps the source's
+words nearer its target. A hot source is spread over all its classes and buckets.
 
 Draws are hashes of the ids involved, so reruns agree. Null texts have size 0. Repeated rows are separate
 documents that share their draws' ids. An empty table gives an empty result.
@@ -125,7 +124,7 @@ def off_target(parts: list[DataFrame]) -> DataFrame:
     return stored(every.groupBy("_source").agg(above.alias("_off")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, bucket_rows: int = 200_000, heavy: int = 50) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, bucket_rows: int = 200_000) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every row of docs; buckets grow in number with the rows."""
     sized = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
     buckets = max(64, -(-sized.count() // bucket_rows))
@@ -147,12 +146,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
         F.lit(0.0).alias("_off"),
     )
-    is_heavy = F.col("size") * heavy > F.col("source_size")
-    late, rows = rows.where(is_heavy), rows.where(~is_heavy)
     done: list[DataFrame] = []
     for level, keys in enumerate((["_source", "_class", "_bucket"], ["_source", "_class"], ["_source"])):
         if level == 2:
-            rows = rows.unionByName(late)
             off = off_target([*done, rows])
             rows = rows.drop("_off").join(with_broadcast_if_small(off), "_source").select(*rows.columns)
         order = [*keys, F.col("size").desc() if level == 2 else F.col("size"), "_id"]

@@ -5,10 +5,12 @@ length) are sketched per language and source: values fall into bins whose width
 GROWTH, and a sketch is the count per bin. Sketches merge by adding counts, so a language's or the
 corpus's sketch is the sum of its groups' sketches, and the result does not depend on the order of rows.
 A document fails a ratio if it lies above the upper quartile of its group by more than `fence` times the
-distance of the quartiles plus a tolerance, which matters where both quartiles are 0; word length has a
-lower limit of the same kind. A group's upper limit is at most `wider` times its language's, and a language's
+distance of the quartiles plus a tolerance; word length has a lower limit of the same kind. Most documents
+have no repeated line or word at all, so for these two ratios (SPARSE) the quartiles are those of the values
+above 0, and the limit is never below LEAST, what is nowhere unusual. Symbols keep the quartiles of all
+values: where three quarters of a group have none, those that have some are the unusual ones. A group's upper limit is at most `wider` times its language's, and a language's
 at most `wider` times the corpus's, so a source of junk does not set its own limit. Groups of fewer than
-`min_rows` documents use their language's limits, and languages of fewer rows the corpus's.
+`min_rows` values (`min_some` for SPARSE) use their language's limits, and languages of fewer the corpus's.
 
 Null texts count as empty; null languages and sources are groups of their own; an empty table gives an
 empty result. Extra columns pass through; the counts are in the struct `_rules`, which replaces a column
@@ -33,7 +35,9 @@ GROWTH, FLOOR = 1.05, 1e-4
 REPEAT_WINDOW = 5
 
 #: Ratio -> tolerance beyond its fence.
-SLACK = {"symbols": 0.02, "dup_lines": 0.4, "repeats": 0.15, "long_words": 0.5}
+SLACK = {"symbols": 0.02, "dup_lines": 0.0, "repeats": 0.0, "long_words": 0.5}
+#: Ratios whose quartiles leave out the zeros -> the least limit.
+SPARSE = {"dup_lines": 0.1, "repeats": 0.1}
 #: Ratios that can be too low as well.
 TWO_SIDED = ["long_words"]
 
@@ -114,10 +118,14 @@ def bin_value(bin_: Column) -> Column:
 
 
 def sketches(counted: DataFrame, by: list[str]) -> DataFrame:
-    """The mergeable sketches: by, ratio, bin, n. Base failures are left out: they are rejected anyway."""
+    """The mergeable sketches: by, ratio, bin, n. Base failures are left out: they are rejected anyway.
+
+    Zeros of SPARSE ratios are left out too: a group without a value above 0 has nothing to be judged by them.
+    """
     r = F.col("_rules")
     pairs = F.array(*[F.struct(F.lit(k).alias("ratio"), bin_of(v).alias("bin")) for k, v in ratios(r).items()])
     rows = counted.where(~base_failed(r)).select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.ratio", "_p.bin")
+    rows = rows.where((F.col("bin") > 0) | ~F.col("ratio").isin(list(SPARSE)))
     return rows.groupBy(*by, "ratio", "bin").agg(F.count("*").alias("n"))
 
 
@@ -131,11 +139,12 @@ def _limits(sketch: DataFrame, by: list[str], fence: float) -> DataFrame:
     low, high = bin_value(F.col("_q1")), bin_value(F.col("_q3"))
     slack = F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v))])
     reach = fence * (high - low) + slack[F.col("ratio")]
+    least = F.coalesce(F.create_map(*[x for k, v in SPARSE.items() for x in (F.lit(k), F.lit(v))])[F.col("ratio")], F.lit(0.0))
     lower = F.when(F.col("ratio").isin(TWO_SIDED), low - reach)
-    return found.select(*by, "ratio", "rows", (high + reach).alias("upper"), lower.alias("lower"))
+    return found.select(*by, "ratio", "rows", F.greatest(high + reach, least).alias("upper"), lower.alias("lower"))
 
 
-def thresholds(counted: DataFrame, fence: float = 3.0, min_rows: int = 50, wider: float = 2.0) -> DataFrame:
+def thresholds(counted: DataFrame, fence: float = 3.0, min_rows: int = 50, wider: float = 2.0, min_some: int = 20) -> DataFrame:
     """lang, source, and a map of each ratio to its upper and lower limit."""
     fine = stored(sketches(counted, ["lang", "source"]))
     by_lang = fine.groupBy("lang", "ratio", "bin").agg(F.sum("n").alias("n"))
@@ -144,7 +153,8 @@ def thresholds(counted: DataFrame, fence: float = 3.0, min_rows: int = 50, wider
     b = _limits(by_lang, ["lang"], fence).alias("b")
     c = _limits(whole, [], fence).alias("c")
     joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.ratio") == F.col("b.ratio"))).join(c, F.col("a.ratio") == F.col("c.ratio"))
-    own, lang = F.col("a.rows") >= min_rows, F.col("b.rows") >= min_rows
+    enough = F.when(F.col("a.ratio").isin(list(SPARSE)), min_some).otherwise(min_rows)
+    own, lang = F.col("a.rows") >= enough, F.col("b.rows") >= enough
     of_lang = F.when(lang, F.least(F.col("b.upper"), wider * F.col("c.upper"))).otherwise(F.col("c.upper"))
     upper = F.when(own, F.least(F.col("a.upper"), wider * of_lang)).otherwise(of_lang)
     lower = F.when(own, F.col("a.lower")).when(lang, F.col("b.lower")).otherwise(F.col("c.lower"))
@@ -154,9 +164,9 @@ def thresholds(counted: DataFrame, fence: float = 3.0, min_rows: int = 50, wider
     return stored(maps)
 
 
-def judge(docs: DataFrame, fence: float = 3.0, min_rows: int = 50, wider: float = 2.0) -> DataFrame:
+def judge(docs: DataFrame, fence: float = 3.0, min_rows: int = 50, wider: float = 2.0, min_some: int = 20) -> DataFrame:
     """docs with `_rules` and `_kept`; thresholds come from all of docs. One side of the join is small."""
-    limits = thresholds(with_counts(docs.select("text", "lang", "source")), fence, min_rows, wider)
+    limits = thresholds(with_counts(docs.select("text", "lang", "source")), fence, min_rows, wider, min_some)
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_limits")
     counted = with_counts(docs.drop("_kept", "_limits", "_lang", "_source"))
     joined = counted.join(with_broadcast_if_small(limits), counted["lang"].eqNullSafe(limits["_lang"]) & counted["source"].eqNullSafe(limits["_source"]), "left")
@@ -197,28 +207,28 @@ counts AS (
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
 ratios AS (
   SELECT row, doc_id, lang, source, base_failed, unnest([
-    {'ratio': 'symbols', 'v': CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END, 'slack': 0.02},
-    {'ratio': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END, 'slack': 0.4},
-    {'ratio': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END, 'slack': 0.15},
-    {'ratio': 'long_words', 'v': CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END, 'slack': 0.5}], recursive := true) FROM judged),
+    {'ratio': 'symbols', 'v': CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END, 'slack': 0.02, 'least': 0.0, 'enough': 50},
+    {'ratio': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END, 'slack': 0.0, 'least': 0.1, 'enough': 20},
+    {'ratio': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END, 'slack': 0.0, 'least': 0.1, 'enough': 20},
+    {'ratio': 'long_words', 'v': CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END, 'slack': 0.5, 'least': 0.0, 'enough': 50}], recursive := true) FROM judged),
 binned AS (SELECT *, CAST(CASE WHEN v > 1e-4 THEN ceil(round(ln(v / 1e-4) / ln(1.05), 9)) ELSE 0 END AS INTEGER) AS bin FROM ratios),
-good AS (SELECT * FROM binned WHERE NOT base_failed),
+good AS (SELECT * FROM binned WHERE NOT base_failed AND (bin > 0 OR ratio NOT IN ('dup_lines', 'repeats'))),
 ranked AS (
-  SELECT 1 AS level, lang, source, ratio, slack, bin, row_number() OVER (PARTITION BY lang, source, ratio ORDER BY bin) AS k, count(*) OVER (PARTITION BY lang, source, ratio) AS n FROM good
+  SELECT 1 AS level, lang, source, ratio, slack, least, bin, row_number() OVER (PARTITION BY lang, source, ratio ORDER BY bin) AS k, count(*) OVER (PARTITION BY lang, source, ratio) AS n FROM good
   UNION ALL
-  SELECT 2, lang, NULL, ratio, slack, bin, row_number() OVER (PARTITION BY lang, ratio ORDER BY bin), count(*) OVER (PARTITION BY lang, ratio) FROM good
+  SELECT 2, lang, NULL, ratio, slack, least, bin, row_number() OVER (PARTITION BY lang, ratio ORDER BY bin), count(*) OVER (PARTITION BY lang, ratio) FROM good
   UNION ALL
-  SELECT 3, NULL, NULL, ratio, slack, bin, row_number() OVER (PARTITION BY ratio ORDER BY bin), count(*) OVER (PARTITION BY ratio) FROM good),
+  SELECT 3, NULL, NULL, ratio, slack, least, bin, row_number() OVER (PARTITION BY ratio ORDER BY bin), count(*) OVER (PARTITION BY ratio) FROM good),
 quartiles AS (
-  SELECT level, lang, source, ratio, slack, n, min(CASE WHEN k >= ceil(n * 0.25) THEN bin END) AS q1, min(CASE WHEN k >= ceil(n * 0.75) THEN bin END) AS q3
-  FROM ranked GROUP BY level, lang, source, ratio, slack, n),
+  SELECT level, lang, source, ratio, slack, least, n, min(CASE WHEN k >= ceil(n * 0.25) THEN bin END) AS q1, min(CASE WHEN k >= ceil(n * 0.75) THEN bin END) AS q3
+  FROM ranked GROUP BY level, lang, source, ratio, slack, least, n),
 limits AS (
-  SELECT level, lang, source, ratio, n, high + (3.0 * (high - low) + slack) AS upper, CASE WHEN ratio = 'long_words' THEN low - (3.0 * (high - low) + slack) END AS lower FROM (
+  SELECT level, lang, source, ratio, n, greatest(high + (3.0 * (high - low) + slack), least) AS upper, CASE WHEN ratio = 'long_words' THEN low - (3.0 * (high - low) + slack) END AS lower FROM (
     SELECT *, CASE WHEN q1 > 0 THEN 1e-4 * pow(1.05, q1 - 0.5) ELSE 0.0 END AS low, CASE WHEN q3 > 0 THEN 1e-4 * pow(1.05, q3 - 0.5) ELSE 0.0 END AS high FROM quartiles)),
 verdict AS (
-  SELECT b.row, bool_and(a.n IS NULL OR b.v <= CASE WHEN a.n >= 50 THEN least(a.upper, 2.0 * CASE WHEN l.n >= 50 THEN least(l.upper, 2.0 * c.upper) ELSE c.upper END)
-                                                     WHEN l.n >= 50 THEN least(l.upper, 2.0 * c.upper) ELSE c.upper END)
-         AND bool_and(coalesce(b.v >= CASE WHEN a.n >= 50 THEN a.lower WHEN l.n >= 50 THEN l.lower ELSE c.lower END, true)) AS fine
+  SELECT b.row, bool_and(a.n IS NULL OR b.v <= CASE WHEN a.n >= b.enough THEN least(a.upper, 2.0 * CASE WHEN l.n >= b.enough THEN least(l.upper, 2.0 * c.upper) ELSE c.upper END)
+                                                     WHEN l.n >= b.enough THEN least(l.upper, 2.0 * c.upper) ELSE c.upper END)
+         AND bool_and(coalesce(b.v >= CASE WHEN a.n >= b.enough THEN a.lower WHEN l.n >= b.enough THEN l.lower ELSE c.lower END, true)) AS fine
   FROM binned b
   LEFT JOIN limits a ON a.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source AND a.ratio = b.ratio
   LEFT JOIN limits l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM b.lang AND l.ratio = b.ratio
