@@ -60,6 +60,21 @@ def date_street(text: Column, zone: Column) -> Column:
     return written
 
 
+def date_street_parts(text: Column, zone: Column) -> Column:
+    """E5: struct of the date street, the number behind it (a marked one first) and the letter behind that.
+
+    Null street: null number and letter. Digits of the street's own name are no number of a house.
+    """
+    street = date_street(text, zone)
+    # Its first mention counts; what stands before it may hold other numbers.
+    rest = F.substr(text, F.instr(text, street) + F.char_length(street))
+    marked, plain = r"\b(?:N°|NUM°?|NRO\.?|N)\s*(\d+)\b", r"\b(\d+)\b"
+    number = F.coalesce(_get(rest, marked), _get(rest, plain))
+    letter = r"\s*[-/]?\s*([A-Z])\b"
+    behind = F.when(rest.rlike(rf"(?U){marked}"), _get(rest, marked + letter, 2)).otherwise(_get(rest, plain + letter, 2))
+    return F.struct(street.alias("street"), number.alias("number"), behind.alias("letter"))
+
+
 def house_number(text: Column, name: Column) -> Column:
     """S/N, the number behind N°, or the one behind the street's name."""
     marked = _get(text, r"\bN°\.?\s*(\d+)\b")
@@ -99,11 +114,13 @@ def zone_type(text: Column) -> Column:
 
 
 def reference(text: Column) -> Column:
-    """Parentheses, REF:, a phrase of place, or a shopping centre."""
+    """Parentheses, REF:, a phrase of place, between two streets, a crossing, or a shopping centre."""
     return F.coalesce(
         _get(text, r"\(([^)]+)\)"),
         _get(text, r"\bREF(?:ERENCIA)?\.?\s*[:-]?\s*([^,;()]+)"),
         _get(text, r"\b((?:CERCA\s+(?:AL?|DE)|FRENTE\s+AL?|(?:AL\s+)?COSTADO\s+DEL?|A\s+ESPALDAS?\s+DEL?|A\s+(?:LA\s+)?ALTURA\s+DEL?|A\s+MEDIA\s+CUADRA\s+DEL?)\s+[^,;()]+)"),
+        _get(text, rf"\b(ENTRE\s+{_WORD}+?\s+Y\s+[^,;()]+)"),
+        _get(text, r"\b(CRUCE\s+(?:CON\s+)?[^,;()]+)"),
         _get(text, r"\b((?:(?:C\.?C\.?|CENTRO\s+COMERCIAL|MALL)\s+)?(?:REAL\s+PLAZA|OPEN\s+PLAZA|PLAZA\s+BOLOGNESI)|MALL\s+AVENTURA|BOULEVARD)\b"),
     )
 
@@ -154,6 +171,18 @@ def is_shop(name: Column) -> Column:
     return name.rlike(rf"(?U)\b(?:MERCADO|MALL|REAL PLAZA|OPEN PLAZA|CENTRO COMERCIAL|GALERIA|{brands})\b")
 
 
+def noisy_zone(name: Column) -> Column:
+    """V1: why an uncatalogued zone is none: 'number', 'shop' or 'unit'; null for a name."""
+    shop = r"(?U)\b(?:GRAN\s+PLAZA|REAL\s+PLAZA|OPEN\s+PLAZA|AEROPUERTO|MERCADO|MDO|MALL|GALERIA)\b"
+    unit = r"(?U)\b(?:TIENDA|TDA|STAND|STD|INT(?:ERIOR)?|DPTO|DEP|EDIF(?:ICIO)?|PLANTA|PISO|PLAZA)\b"
+    return F.when(F.trim(name).rlike(r"^\d+$"), "number").when(name.rlike(shop), "shop").when(name.rlike(unit), "unit")
+
+
+def formal_zone(text: Column) -> Column:
+    """V1: an urbanisation or settlement is written, so its zone must be in the catalogue."""
+    return text.rlike(rf"(?U)\b(?:URB\.?|URBANIZACION|P\.?J\.?|PP\.?\s?JJ\.?|PUEBLO\s+JOVEN|A\.?H\.?|AA\.?\s?HH\.?|ASENTAMIENTO\s+HUMANO|UPIS|CONJ\.?\s*HAB\.?)(?!\w)")
+
+
 def unclear_unit(text: Column) -> Column:
     """A shop unit with a name in place of a number."""
     return text.rlike(r"(?U)\b(?:TIENDA|STAND|PUESTO|LOCAL)\s+(?!N°|NRO|NUM|\d|[A-Z]\b|[A-Z]?-?\d)[A-Z]{3,}")

@@ -20,8 +20,35 @@ def _has(column: str) -> Column:
     return F.coalesce(F.trim(F.col(column).cast("string")) != "", F.lit(False))
 
 
+def settle_zone(df: DataFrame, text: str = "clean") -> DataFrame:
+    """V1: an uncatalogued zone that is noise, or an informal sector, is no reason but a number or a reference.
+
+    Digits become the second number of the door, a shop and an informal sector (a catalogued street with a number
+    or a corner, no plot, no road, no formal settlement in the text) go to the reference, words of units go.
+    """
+    zone, t = F.col("nom_zona"), F.col(text)
+    noise = F.when(_has("nom_zona") & F.col("zona_id").isNull(), ex.noisy_zone(zone))
+    corner = F.size(F.coalesce("esquinas", F.array().cast("array<string>"))) > 0
+    road = (F.coalesce(F.col("tipo_via"), F.lit(0)) == 6) | F.coalesce(F.col("nom_via").rlike(r"(?U)\b(?:PANAMERICANA|CARRETERA|AUTOPISTA)\b"), F.lit(False))
+    informal = _has("nom_zona") & F.col("zona_id").isNull() & F.col("via_id").isNotNull() & (_has("num_via") | corner)
+    informal &= ~(_has("manzana") | _has("lote")) & ~road & ~ex.formal_zone(t) & ~ex.formal_zone(zone)
+    kind = F.coalesce(noise, F.when(F.coalesce(informal, F.lit(False)), "sector"))
+    df = df.withColumn("_kind", kind)
+    digits = F.coalesce(F.nullif(F.ltrim(F.trim(zone), F.lit("0")), F.lit("")), F.lit("0"))
+    second = (F.col("_kind") == "number") & F.col("num_via").rlike(r"^\d+$") & (F.col("num_via") != digits)
+    moved = F.when(F.col("_kind") == "shop", F.concat(F.lit("C.C. "), zone)).when(F.col("_kind") == "sector", F.concat(F.lit("SECTOR: "), zone))
+    return df.withColumns({
+        "num_via": F.when(F.coalesce(second, F.lit(False)), F.concat_ws("-", "num_via", digits)).otherwise(F.col("num_via")),
+        "referencia": F.when(moved.isNotNull(), F.concat_ws(" - ", F.nullif("referencia", F.lit("")), moved)).otherwise(F.col("referencia")),
+        "nom_zona": F.when(F.col("_kind").isNull(), zone),
+    }).drop("_kind")
+
+
 def reasons(df: DataFrame, text: str = "clean") -> Column:
-    """V1: why an address cannot be taken as normalised."""
+    """V1: why an address cannot be taken as normalised.
+
+    Two catalogued streets that a mere hyphen joins (`cruce`, where df has it) are a conflict; a written corner is none.
+    """
     t = F.col(text)
     plot = _has("manzana") | _has("lote") | _has("slote") | _has("block")
     street, zone = _has("nom_via"), _has("nom_zona")
@@ -29,7 +56,10 @@ def reasons(df: DataFrame, text: str = "clean") -> Column:
     corner = F.size(F.coalesce("esquinas", F.array().cast("array<string>"))) > 0
     written = t.rlike(r"(?U)\bS/N\b") | F.contains(t, F.lit("/"))
     outside = ex.outside_district(t, F.col("nom_via"), F.col("nom_zona"), F.col("via_id"), F.col("zona_id"))
+    crossing = F.col("cruce") if "cruce" in df.columns else F.lit(None).cast("array<string>")
+    cornered = t.rlike(r"(?U)\b(?:CON|ESQ(?:UINA)?|CRUCE|Y)\b") | F.contains(t, F.lit("/")) | corner
     rules = [
+        ((F.size(crossing) > 1) & ~cornered, F.concat(F.lit("CONFLICTO DE VIAS: "), F.array_join(crossing, " / "))),
         (street & F.col("via_id").isNull(), F.concat(F.lit("VIA NO CATALOGADA: "), F.col("nom_via"))),
         (zone & F.col("zona_id").isNull() & ~(F.col("via_id").isNotNull() | _has("num_via")), F.concat(F.lit("ZONA NO CATALOGADA: "), F.col("nom_zona"))),
         (plot & ~zone & ~street, F.lit("MANZANA O LOTE SIN ZONA")),
@@ -39,6 +69,7 @@ def reasons(df: DataFrame, text: str = "clean") -> Column:
         (~street & (zone | plot | units) & ~(F.col("zona_id").isNotNull() & (plot | _has("piso") | units) & ~_has("num_via")), F.lit("SIN VIA")),
         (street & ~(_has("num_via") | plot | units | corner | written), F.lit("INCOMPLETA")),
         (ex.unclear_unit(t), F.lit("UNIDAD COMERCIAL NO CLARA")),
+        (F.contains(t, F.lit("NO USAR LA VIA PUBLICA")), F.lit("ADVERTENCIA: NO USAR LA VIA PUBLICA")),
     ]
     return F.array_compact(F.array(*[F.when(rule, why) for rule, why in rules]))
 

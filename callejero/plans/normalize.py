@@ -25,14 +25,15 @@ def extract_fields(texts: DataFrame) -> DataFrame:
     """R1, R2, E1 to E19 for distinct (clean) texts, with an id per text."""
     t = F.col("clean")
     df = with_complexity(texts.withColumn("id", F.xxhash64("clean")), "clean", cleaned=True)
-    df = df.withColumn("nom_zona", ex.zone_name(t)).withColumn("nom_via", F.coalesce(ex.street_name(t), ex.date_street(t, F.col("nom_zona"))))
+    df = df.withColumn("nom_zona", ex.zone_name(t)).withColumn("nom_via", ex.street_name(t))
+    df = df.withColumn("_date", F.when(F.col("nom_via").isNull(), ex.date_street_parts(t, F.col("nom_zona")))).withColumn("nom_via", F.coalesce("nom_via", "_date.street"))
     df = df.withColumn("_ref", ex.reference(t))
     shop = ex.is_shop(F.col("nom_via"))
     df = df.withColumn("referencia", capped(F.coalesce("_ref", F.when(shop, F.col("nom_via"))), "referencia")).withColumn("nom_via", F.when(~shop, capped(F.col("nom_via"), "nom_via"))).drop("_ref")
     return df.withColumns({
-        "tipo_via": ex.street_type(t), "tipo_zona": ex.zone_type(t), "num_via": ex.house_number(t, F.col("nom_via")), "manzana": ex.block(t), "lote": ex.lot(t),
-        "slote": F.lit(None).cast("string"), "piso": ex.floor_number(t), "block": ex.tower(t), "modulos": ex.units(t), "esquinas": ex.corner_names(t), "metodo": F.lit("HEURISTICA"),
-    })
+        "tipo_via": ex.street_type(t), "tipo_zona": ex.zone_type(t), "num_via": F.coalesce(ex.house_number(t, F.col("nom_via")), "_date.number"), "manzana": ex.block(t), "lote": ex.lot(t),
+        "slote": F.col("_date.letter"), "piso": ex.floor_number(t), "block": ex.tower(t), "modulos": ex.units(t), "esquinas": ex.corner_names(t), "metodo": F.lit("HEURISTICA"),
+    }).drop("_date")
 
 
 def settle_roles(df: DataFrame, vias: DataFrame, zonas: DataFrame) -> DataFrame:
@@ -94,6 +95,7 @@ def normalize(raw: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = T
     texts = rows.select("clean").where("clean != ''").distinct()
     df = cut(settle_roles(cut(extract_fields(texts)), vias, zonas))
     df = cut(ro.with_streets(cut(match_fields(df, vias, zonas, fuzzy, via_aliases, zona_aliases)), vias, zonas))
+    df = va.settle_zone(df)
     df = df.withColumn("reasons", va.reasons(df))
     if route:
         df = df.withColumn("reasons", F.when(F.col("risk.complex"), F.array_prepend("reasons", F.concat(F.lit("COMPLEJA: "), F.array_join("risk.triggers", ",")))).otherwise(F.col("reasons")))

@@ -175,6 +175,11 @@ def _(t):
     return sl.next_batch(sl.filter_status(t["central"], "pending"), "dire_id", 500, 50).select("dire_id", "dire_valor_origen")
 
 
+@query("p3_page_at", "SELECT dire_id, dire_valor_origen FROM central WHERE dire_es_procesado IS NULL ORDER BY dire_id LIMIT 50 OFFSET 100")
+def _(t):
+    return sl.page_at(sl.filter_status(t["central"], "pending"), "dire_id", 100, 50).select("dire_id", "dire_valor_origen")
+
+
 @query("p4_empty", "SELECT src_row_id FROM raw_addresses WHERE raw_text IS NULL OR trim(raw_text) = ''")
 def _(t):
     return t["raw_addresses"].where(sl.is_empty(F.col("raw_text"))).select("src_row_id")
@@ -327,6 +332,22 @@ def _(t):
     return t["raw_addresses"].select("src_row_id", ex.date_street(text, F.lit("9 DE OCTUBRE")).alias("via"))
 
 
+_DATE = r"concat_ws(' ', CASE substr(clean, 1, 1) WHEN 'C' THEN 'CALLE 7 DE ENERO' ELSE '28 DE JULIO' END, clean)"
+_REST = f"substr({_DATE}, CASE substr(clean, 1, 1) WHEN 'C' THEN 17 ELSE 12 END)"
+_BOTH = [r"\b(?:N°|NUM°?|NRO\.?|N)\s*(\d+)\b", r"\b(\d+)\b"]
+
+
+@query("e5_date_street_parts", rf"""WITH {_CLEAN}, rest AS (SELECT src_row_id, clean, {_REST} AS r FROM clean)
+SELECT src_row_id, CASE substr(clean, 1, 1) WHEN 'C' THEN '7 DE ENERO' ELSE '28 DE JULIO' END AS via,
+  coalesce(nullif(regexp_extract(r, '{_BOTH[0]}', 1), ''), nullif(regexp_extract(r, '{_BOTH[1]}', 1), '')) AS numero,
+  CASE WHEN regexp_matches(r, '{_BOTH[0]}') THEN nullif(regexp_extract(r, '{_BOTH[0]}\s*[-/]?\s*([A-Z])\b', 2), '')
+    ELSE nullif(regexp_extract(r, '{_BOTH[1]}\s*[-/]?\s*([A-Z])\b', 2), '') END AS letra FROM rest""")
+def _(t):
+    df = clean(t).withColumn("clean", F.expr(_DATE))
+    part = ex.date_street_parts(F.col("clean"), F.lit(None).cast("string"))
+    return df.select("src_row_id", part["street"].alias("via"), part["number"].alias("numero"), part["letter"].alias("letra"))
+
+
 @query("e14_corner_names", "SELECT src_row_id, CASE src_row_id % 3 WHEN 0 THEN 'BALTA' WHEN 1 THEN 'BALTA,GRAU' ELSE '' END AS esquinas FROM raw_addresses")
 def _(t):
     text = F.expr("CASE src_row_id % 3 WHEN 0 THEN 'CALLE REAL ESQ. CON AV. BALTA 5' WHEN 1 THEN 'REAL CON BALTA N° 3 CRUCE GRAU' ELSE 'CALLE REAL 5' END")
