@@ -813,9 +813,16 @@ def _(t):
 @query("u6_transitive_map", """SELECT via_id AS old_id, CASE WHEN via_id // 6 % 5 = 4 THEN NULL ELSE via_id // 6 * 6 + 5 END AS new_id, via_id // 6 % 5 = 4 AS cycle
 FROM via_catalog WHERE via_id % 6 < 5 OR via_id // 6 % 5 = 4""")
 def _(t):
-    v, six = F.col("via_id"), F.expr("via_id div 6")
-    chains = t["via_catalog"].where((v % 6 < 5) | (six % 5 == 4)).select(v.alias("old_id"), F.when(v % 6 == 5, v - 5).otherwise(v + 1).alias("new_id"))
-    ends, cycles = ld.resolve_map(chains)
+    return chained(t["via_catalog"])
+
+
+def chained(catalog: DataFrame) -> DataFrame:
+    """Where the catalogue's ids end; the last six is whole in the map, however few of it the catalogue has."""
+    v, six = F.col("v"), F.expr("v div 6")
+    whole = catalog.select(F.explode(F.expr("sequence(via_id div 6 * 6, via_id div 6 * 6 + 5)")).alias("v")).distinct()
+    chains = whole.where((v % 6 < 5) | (six % 5 == 4)).select(v.alias("old_id"), F.when(v % 6 == 5, v - 5).otherwise(v + 1).alias("new_id"))
+    known = catalog.select(F.col("via_id").alias("old_id"))
+    ends, cycles = (found.join(known, "old_id", "left_semi") for found in ld.resolve_map(chains))
     return ends.withColumn("cycle", F.lit(False)).unionByName(cycles.select("old_id", F.lit(None).cast("long").alias("new_id"), F.lit(True).alias("cycle")))
 
 

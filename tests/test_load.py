@@ -78,3 +78,11 @@ def test_flat_export_holds_all_streets(spark):
     got = {r["dire_id"]: r for r in flat.collect()}
     assert [got[1][f"via_{k}"] for k in range(1, 6)] == ["V0", "V1", "V2", "V3", "V4"] and got[1]["numero_5"] == "4" and got[2]["via_1"] is None
     assert "via_3" in flat_export(spark.createDataFrame(rows[1:], fields)).columns
+
+
+def test_chains_end_outside_a_catalogue_that_stops_within_a_six(spark):
+    from callejero.queries import chained
+
+    for n, last in ((8, (8, 11, False)), (26, (26, None, True))):
+        rows = {r["old_id"]: (r["old_id"], r["new_id"], r["cycle"]) for r in chained(spark.range(1, n + 1).withColumnRenamed("id", "via_id")).collect()}
+        assert rows[n] == last and rows[6] == (6, 11, False) and set(rows) <= set(range(1, n + 1))
