@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
-from .text import UPPER, squeeze
+from .text import UPPER, let, squeeze
 
 _WORD = rf"[{UPPER}0-9 .]"
 #: Street type words, longest first so that a prefix does not win.
@@ -16,7 +16,8 @@ ZONE_PREFIX = r"URBANIZACION|URB\.?|PUEBLO JOVEN|P\.J\.|PJ|A\.H\.|AH|ASENTAMIENT
 
 def _get(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without one or if it is blank; the text is evaluated once."""
-    return F.nullif(F.trim(F.get(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(group)), F.lit(0))), F.lit(""))
+    found = F.trim(F.get(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(group)), F.lit(0)))
+    return let(found, lambda v: F.when(v != "", v))
 
 
 def street_type(text: Column) -> Column:
@@ -35,8 +36,7 @@ def street_name(text: Column) -> Column:
     """The name behind a street type, else behind a leading city and before a number."""
     typed = _get(text, rf"(?:^|\s)(?:{STREET_PREFIX})\s+([{UPPER} .]+?){_STOP}")
     city = _get(text, rf"^(?:CHICLAYO|LAMBAYEQUE|FERRENAFE|PIMENTEL|LA VICTORIA|JLO)\s*(?:-\s*)?([{UPPER} .-]+?)\s+(?:N°\s*)?(?:\d+|S/N)")
-    name = F.coalesce(typed, city)
-    return F.when(~is_no_street(name), name)
+    return let(F.coalesce(typed, city), lambda name: F.when(~is_no_street(name), name))
 
 
 def is_no_street(name: Column) -> Column:

@@ -1,11 +1,14 @@
 """Text functions: Column in, Column out, all inside the JVM.
 
-Rules are lists of (pattern, replacement) applied in order, so the order is data. Every pattern is Unicode
+Rules are lists of (pattern, replacement) applied in order, so the order is data; steps of rules say what a text must have. Every pattern is Unicode
 aware. Null stays null unless stated.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial, reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,30 +18,42 @@ UPPER = "A-ZÁÉÍÓÚÑ"
 _KEEPERS = "MZ|MZA|LT|LOTE|INT|DPTO|KM|CDRA|CUADRA"
 _UNITS = "DPTO|DEP|DEPARTAMENTO|INT|INTERIOR|TDA|TIENDA|STAND|STD|PTO|PUESTO|LOCAL|LOC|OF|OFICINA|BLOCK|BLQ|PISO|PLANTA|MZ|MZA|LT|LOTE"
 
-SANITIZE_RULES = [
-    (rf"([{UPPER}0-9])-([{UPPER}0-9])", "$1 - $2"),
-    *[(rf"(?U)\b{k}\.(?=[{UPPER}])", f"{v} ") for k, v in list(lx.EXPANSIONS.items())[:3]],
-    *[(rf"(?U)\b{k}(?:\.|\b)", v) for k, v in lx.EXPANSIONS.items()],
+#: Rules of cleaning in order, in steps: what a text must have for any rule of the step to match (a pattern, or a list of
+#: which one must be written), and the rules. A text without it passes the step as it is, after one look at it.
+#: Letters in either case: the lists name no I, K or S, which other letters equal without regard to case.
+SANITIZE_STEPS = [
+    (["-"], [(rf"([{UPPER}0-9])-([{UPPER}0-9])", "$1 - $2")]),
+    (rf"(?U)\b(?:{'|'.join(lx.EXPANSIONS)})\b", [
+        *[(rf"(?U)\b{k}\.(?=[{UPPER}])", f"{v} ") for k, v in list(lx.EXPANSIONS.items())[:3]],
+        *[(rf"(?U)\b{k}(?:\.|\b)", v) for k, v in lx.EXPANSIONS.items()],
+    ]),
     # Glued units, blocks, lots and house numbers.
-    (rf"(?iU)(\d+)({_UNITS})\b", "$1 $2"),
-    (rf"(?iU)([{UPPER}]{{2,}})(MZ|MZA|LOTE)\b", "$1 $2"),
-    (rf"(?iU)([{UPPER}]{{2,}})(LT)(?=[0-9.\s])", "$1 $2"),
-    (r"(?iU)\b(MZ|MZA)\.?\s*([A-Z0-9])\s*(LT|LOTE)\b", "$1 $2 $3"),
-    (rf"(?U)([{UPPER}]{{3,}})(0\d{{2,5}})", "$1 $2"),
-    (r"(?iU)\b(PORVENIR|VICTORIA|LORENZO|MARTIN|CAMPODONICO)(SIMON|MANUEL|JOSE|FRANCISCO|PEDRO|AV|CA|CALLE|AVENIDA)\b", "$1 $2"),
-    (r"^(CHICLAYO|LAMBAYEQUE|FERRENAFE|PIMENTEL|LA VICTORIA|JLO|REQUE|MONSEFU)([A-ZÁÉÍÓÚ])", "$1 $2"),
+    (r"(?iU)\d[BDILMOPST]", [(rf"(?iU)(\d+)({_UNITS})\b", "$1 $2")]),
+    (rf"(?iU)(?:MZA?|LOTE)\b|LT[0-9.\s]", [
+        (rf"(?iU)([{UPPER}]{{2,}})(MZ|MZA|LOTE)\b", "$1 $2"),
+        (rf"(?iU)([{UPPER}]{{2,}})(LT)(?=[0-9.\s])", "$1 $2"),
+    ]),
+    (["MZ"], [(r"(?iU)\b(MZ|MZA)\.?\s*([A-Z0-9])\s*(LT|LOTE)\b", "$1 $2 $3")]),
+    (rf"(?U)0(?<=[{UPPER}]0)\d\d", [(rf"(?U)([{UPPER}]{{3,}})(0\d{{2,5}})", "$1 $2")]),
+    (["PORVEN", "CTOR", "LORENZO", "MART", "CAMPODON"], [
+        (r"(?iU)\b(PORVENIR|VICTORIA|LORENZO|MARTIN|CAMPODONICO)(SIMON|MANUEL|JOSE|FRANCISCO|PEDRO|AV|CA|CALLE|AVENIDA)\b", "$1 $2"),
+    ]),
+    (None, [(r"^(CHICLAYO|LAMBAYEQUE|FERRENAFE|PIMENTEL|LA VICTORIA|JLO|REQUE|MONSEFU)([A-ZÁÉÍÓÚ])", "$1 $2")]),
     # Numbers glued to words lose leading zeros, but for blocks, lots, units and the like.
-    (rf"(?U)\b((?!(?:{_KEEPERS})\d)[{UPPER}]{{2,}})(?=\d{{1,6}}\b)0*([1-9]\d*)\b", "$1 $2"),
-    (rf"(?U)\b([{UPPER}]{{2,}})(\d{{1,6}})\b", "$1 $2"),
+    (rf"(?U)\d(?<=[{UPPER}]\d)", [
+        (rf"(?U)\b((?!(?:{_KEEPERS})\d)[{UPPER}]{{2,}})(?=\d{{1,6}}\b)0*([1-9]\d*)\b", "$1 $2"),
+        (rf"(?U)\b([{UPPER}]{{2,}})(\d{{1,6}})\b", "$1 $2"),
+    ]),
     # Normal forms of units and numbers.
-    (r"(?U)\bINT\s*[-–.]\s*([A-Z0-9]+)", "INT-$1"),
-    (r"(?U)\bDPTO\s*[-–.]\s*([A-Z0-9]+)", "DPTO-$1"),
-    (r"(?iU)\b(?:N|NUM|NRO)[°ºª.]*\s*(\d+)", "N° $1"),
-    (r"(?iU)\b(?:N|NUM|NRO)[°ºª.]*\s*S/?N\b", "S/N"),
-    *[(rf"(?U)^{t}\s+([A-Z])", rf"{t}. $1") for t in ("AV", "CA", "JR", "PJE")],
-    (r"(?U)^\s*-\s*", ""),
-    (r"(?U)\s*-\s*$", ""),
-]
+    (["INT"], [(r"(?U)\bINT\s*[-–.]\s*([A-Z0-9]+)", "INT-$1")]),
+    (["DPTO"], [(r"(?U)\bDPTO\s*[-–.]\s*([A-Z0-9]+)", "DPTO-$1")]),
+    (r"(?iU)\b(?:N|NUM|NRO)[°ºª.]*\s*(?:\d|S/?N\b)", [
+        (r"(?iU)\b(?:N|NUM|NRO)[°ºª.]*\s*(\d+)", "N° $1"),
+        (r"(?iU)\b(?:N|NUM|NRO)[°ºª.]*\s*S/?N\b", "S/N"),
+    ]),
+    (None, [(r"(?U)^(AV|CA|JR|PJE)\s+([A-Z])", "$1. $2")]),
+    (["-"], [(r"(?U)^\s*-\s*", ""), (r"(?U)\s*-\s*$", "")]),
+]
 
 
 def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -47,14 +62,39 @@ def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where the value is evaluated once, however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def written(text: Column, words: list[str]) -> Column:
+    """Is one of the words part of the text? Needs no pattern."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def apply_steps(text: Column, steps: list[tuple[str | list[str] | None, list[tuple[str, str]]]]) -> Column:
+    """The rules of all steps, each step only for texts that have what it needs."""
+    for needs, rules in steps:
+        if needs is None:
+            text = apply_rules(text, rules)
+        else:
+            text = let(text, partial(_step, needs, rules))
+    return text
+
+
+def _step(needs: str | list[str], rules: list[tuple[str, str]], text: Column) -> Column:
+    return F.when(text.rlike(needs) if isinstance(needs, str) else written(text, needs), apply_rules(text, rules)).otherwise(text)
+
+
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space as one blank each; a text that has only single blanks is not built anew."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def sanitize(text: Column) -> Column:
     """The cleaned, upper-case form of an address; null and blank give ''."""
     printable = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{C}\p{Z}&&[^ ]]", "")
-    return squeeze(apply_rules(F.upper(squeeze(printable)), SANITIZE_RULES))
+    return squeeze(apply_steps(F.upper(squeeze(printable)), SANITIZE_STEPS))
 
 
 _MARKED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝáàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
@@ -66,19 +106,19 @@ def remove_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{M}", "")
 
 
-VARIANT_RULES = [
-    *[
+VARIANT_STEPS = [
+    (["ETAPA"], [
         (rf"(?iU)\b(?:{n}\s*(?:{suffix})|{roman}|{n})\s+ETAPA\b|\bETAPA\s+(?:{n}(?:{suffix})|{roman}|{n})\b", f"{word} ETAPA")
         for n, (word, roman, suffix) in lx.STAGES.items()
-    ],
-    (r"(?U)\b0+(\d+)\b", "$1"),
-    *[(rf"(?iU)\b{word}\b", digit) for word, digit in lx.NUMBER_WORDS.items()],
-]
+    ]),
+    (["0"], [(r"(?U)\b0+(\d+)\b", "$1")]),
+    (rf"(?iU)\b(?:{'|'.join(lx.NUMBER_WORDS)})\b", [(rf"(?iU)\b{word}\b", digit) for word, digit in lx.NUMBER_WORDS.items()]),
+]
 
 
 def normalize_variants(text: Column) -> Column:
     """Stages and written numbers in one form, without accents."""
-    return squeeze(apply_rules(remove_accents(sanitize(text)), VARIANT_RULES))
+    return squeeze(apply_steps(remove_accents(sanitize(text)), VARIANT_STEPS))
 
 
 def words_to_array(words: list[str]) -> Column:
