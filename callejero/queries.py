@@ -94,6 +94,11 @@ def clean(t: dict[str, DataFrame]) -> DataFrame:
     return t["raw_addresses"].withColumn("clean", tx.sanitize(F.col("raw_text")))
 
 
+def named(t: dict[str, DataFrame]) -> DataFrame:
+    """src_row_id, raw_text and the written street of the addresses that have one; stored, or a filter would clean each text anew."""
+    return cut(clean(t).select("src_row_id", "raw_text", tx.let(F.col("clean"), ex.street_name).alias("name"))).where("name is not null")
+
+
 # ---- ingest and sources --------------------------------------------------------------------------------
 
 _STORED = "src_schema AS dire_esquema, src_table AS dire_tabla, 'direccion' AS dire_columna, src_row_id AS dire_tabla_id, CASE WHEN trim(raw_text) <> '' THEN raw_text END AS dire_valor_origen, CAST(NULL AS BOOLEAN) AS dire_es_procesado, 'A' AS dire_estado"
@@ -382,7 +387,7 @@ def _(t):
 
 @query("r1_complexity_documents")
 def _(t):
-    return with_complexity(t["documents"], "text").select("doc_id", "risk.score", "risk.complex", F.array_join("risk.triggers", ",").alias("triggers"))
+    return with_complexity(t["documents"].select("doc_id", "text"), "text").select("doc_id", "risk.score", "risk.complex", F.array_join("risk.triggers", ",").alias("triggers"))
 
 
 @query("r2_route_complex", f"WITH {_CLEAN} SELECT complex, count(*) AS n FROM ({_RISK}) GROUP BY complex")
@@ -567,9 +572,8 @@ _KNOWN = "name IN (SELECT nom_via FROM via_catalog)"
 
 def _named(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The written street of each address with a zone of the catalogue beside it, and that catalogue."""
-    named = clean(t).select("src_row_id", ex.street_name(F.col("clean")).alias("name")).where("name is not null")
     zonas = t["zona_catalog"].withColumn("nom_zona", F.expr(_LETTERED))
-    pairs = t["zona_catalog"].sparkSession.sql(_PAIRED.replace("FROM named", "FROM {named}").replace("FROM zona_catalog", "FROM {zonas}"), named=named, zonas=t["zona_catalog"])
+    pairs = t["zona_catalog"].sparkSession.sql(_PAIRED.replace("FROM named", "FROM {named}").replace("FROM zona_catalog", "FROM {zonas}"), named=named(t), zonas=t["zona_catalog"])
     return cut(pairs), zonas
 
 
@@ -720,8 +724,7 @@ SELECT src_row_id, CASE WHEN form < 2 THEN name END AS nom_via, CASE WHEN form =
   CASE form WHEN 2 THEN '5:3' || CASE WHEN row = '3' THEN '' ELSE ',5:' || row END WHEN 3 THEN '2:201,1:5,1:6' ELSE '' END AS modulos, CASE WHEN form = 1 THEN row END AS lote, CASE WHEN form = 2 THEN 'B' || row END AS slote,
   CASE form WHEN 1 THEN '3' WHEN 2 THEN '2' WHEN 3 THEN '2' END AS piso, CASE form WHEN 1 THEN 'C' WHEN 2 THEN 'D' WHEN 3 THEN 'A' END AS block, CASE WHEN form = 3 THEN 'FRENTE A ' || name END AS referencia FROM f""")
 def _(t):
-    named = clean(t).select("src_row_id", F.col("src_row_id").cast("string").alias("row"), ex.street_name(F.col("clean")).alias("name")).where("name is not null")
-    df = an.parse_answers(cut(named.select("src_row_id", F.expr(_ANSWER).alias("answer"))), "answer")
+    df = an.parse_answers(cut(named(t).withColumn("row", F.col("src_row_id").cast("string")).select("src_row_id", F.expr(_ANSWER).alias("answer"))), "answer")
     return df.select("src_row_id", "nom_via", "tipo_via", "num_via", F.array_join("vias.nombre", ",").alias("vias"), "nom_zona", "tipo_zona", _parts_text("componentes", "nombre", "valor").alias("componentes"), _parts_text("modulos", "timo_id", "ditm_nombre").alias("modulos"), "lote", "slote", "piso", "block", "referencia")
 
 
@@ -740,18 +743,16 @@ def _(t):
 
 @query("l2_evidence", f"WITH {_CLEAN}, {_NAMED_SQL} SELECT src_row_id, CASE WHEN src_row_id % 2 = 0 THEN name END AS nom_via FROM named")
 def _(t):
-    named = clean(t).select("src_row_id", "raw_text", ex.street_name(F.col("clean")).alias("name")).where("name is not null")
-    return named.select("src_row_id", va.with_evidence(F.when(F.col("src_row_id") % 2 == 0, F.col("name")).otherwise("CALLE QUETZALCOATL"), F.col("raw_text")).alias("nom_via"))
+    return named(t).select("src_row_id", va.with_evidence(F.when(F.col("src_row_id") % 2 == 0, F.col("name")).otherwise("CALLE QUETZALCOATL"), F.col("raw_text")).alias("nom_via"))
 
 
 @query("l2_evidence_aliases", f"""WITH {_CLEAN}, {_NAMED_SQL} SELECT src_row_id, CASE WHEN src_row_id % 4 = 0 THEN 'PORCULLA' END AS nom_via,
   CASE src_row_id % 4 WHEN 0 THEN 'CERCADO DE CHICLAYO' WHEN 1 THEN 'URB. ' || name WHEN 3 THEN 'PROGRESIVA SAN JOSÉ OBRERO' END AS nom_zona, CASE WHEN src_row_id % 4 <> 2 THEN 'FRENTE A ' || name END AS referencia FROM named""")
 def _(t):
-    named = clean(t).select("src_row_id", F.upper("raw_text").alias("raw_text"), ex.street_name(F.col("clean")).alias("name")).where("name is not null")
     text = F.expr("concat(name, CASE src_row_id % 4 WHEN 0 THEN ' PORCUYA CERCADO' WHEN 1 THEN ' URB. ' || name WHEN 2 THEN ' 5' ELSE ' JOSE OBRERO' END)")
     zone = F.expr("CASE src_row_id % 4 WHEN 0 THEN 'CERCADO DE CHICLAYO' WHEN 1 THEN 'URB. ' || name WHEN 2 THEN name ELSE 'PROGRESIVA SAN JOSÉ OBRERO' END")
     ref = F.expr("CASE WHEN src_row_id % 4 = 2 THEN 'FRENTE AL QUETZALCOATL' ELSE 'FRENTE A ' || name END")
-    return named.select("src_row_id", va.with_evidence(F.lit("PORCULLA"), text).alias("nom_via"), va.zone_with_evidence(zone, F.col("name"), text).alias("nom_zona"), va.reference_with_evidence(ref, text).alias("referencia"))
+    return named(t).select("src_row_id", va.with_evidence(F.lit("PORCULLA"), text).alias("nom_via"), va.zone_with_evidence(zone, F.col("name"), text).alias("nom_zona"), va.reference_with_evidence(ref, text).alias("referencia"))
 
 
 @query("l3_combine", "SELECT src_row_id, CASE WHEN src_row_id % 2 = 0 THEN 'IA' ELSE 'PROPIA' END AS nom_via, CASE WHEN src_row_id % 3 = 0 THEN '5' END AS num_via, CASE WHEN src_row_id % 2 <> 0 THEN 'HEURISTICA' WHEN src_row_id % 3 = 0 THEN 'HIBRIDO' ELSE 'IA' END AS metodo FROM raw_addresses")
