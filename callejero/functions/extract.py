@@ -65,7 +65,10 @@ def date_street_parts(text: Column, zone: Column) -> Column:
 
     Null street: null number and letter. Digits of the street's own name are no number of a house.
     """
-    street = date_street(text, zone)
+    return let(date_street(text, zone), lambda street: _behind_date(text, street))
+
+
+def _behind_date(text: Column, street: Column) -> Column:
     # Its first mention counts; what stands before it may hold other numbers.
     rest = F.substr(text, F.instr(text, street) + F.char_length(street))
     marked, plain = r"\b(?:N°|NUM°?|NRO\.?|N)\s*(\d+)\b", r"\b(\d+)\b"

@@ -147,7 +147,8 @@ CANONICAL_RULES = [
 
 def _mapped(token: Column, pairs: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, token), token)
+    # A map is searched entry by entry, a list of constants by hash: most words are in neither.
+    return F.when(token.isin(list(pairs)), F.try_element_at(table, token)).otherwise(token)
 
 
 def canonical_tokens(text: Column) -> Column:
@@ -157,7 +158,7 @@ def canonical_tokens(text: Column) -> Column:
 
     def canonical(t: Column) -> Column:
         number = F.regexp_replace(t, r"^0+(?=\d)", "")
-        return _mapped(F.when(t.rlike(r"^\d+$"), number).otherwise(_mapped(t, lx.TOKEN_ORDINALS)), lx.TOKEN_FORMS)
+        return let(F.when(t.rlike(r"^\d+$"), number).otherwise(_mapped(t, lx.TOKEN_ORDINALS)), lambda w: _mapped(w, lx.TOKEN_FORMS))
 
     return F.transform(tokens, canonical)
 

@@ -9,7 +9,7 @@ from ..functions import extract as ex
 from ..functions import lexicon as lx
 from ..functions.aliases import STREET_ALIASES, ZONE_ALIASES
 from ..functions.similarity import numbered_grams, ratio_bound, seq_ratio
-from ..functions.text import canonical_tokens, sanitize, sig_tokens, words_to_array
+from ..functions.text import canonical_tokens, let, sanitize, sig_tokens, words_to_array
 from ..session import cut
 
 #: Columns of a normalised row that rules look at.
@@ -97,7 +97,7 @@ def _alias_words(names: Column, aliases: dict[str, str]) -> Column:
     """The words of all aliases whose target is one of the names, holds it or is held by it."""
     known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(t).alias("target")) for a, t in aliases.items()])
     names = F.filter(F.transform(names, lambda n: F.upper(F.trim(n))), lambda n: n != "")
-    said = F.filter(known, lambda a: F.exists(names, lambda n: F.contains(n, a["target"]) | F.contains(a["target"], n)))
+    said = let(names, lambda all_: F.filter(known, lambda a: F.exists(all_, lambda n: F.contains(n, a["target"]) | F.contains(a["target"], n))))
     return canonical_tokens(F.array_join(F.transform(said, lambda a: a["alias"]), " "))
 
 
@@ -162,7 +162,8 @@ def with_evidence(value: Column, text: Column, kind: str = "street") -> Column:
     """L2: an external value counts only if it shares a telling word with the text, or if an alias of it is written."""
     aliases = STREET_ALIASES if kind == "street" else ZONE_ALIASES
     known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(t).alias("target")) for a, t in aliases.items()])
-    alias = F.exists(known, lambda a: F.contains(F.upper(value), a["target"]) & F.contains(F.upper(text), a["alias"]))
+    said = F.struct(F.upper(value).alias("value"), F.upper(text).alias("text"))  # once, not for each alias
+    alias = let(said, lambda u: F.exists(known, lambda a: F.contains(u["value"], a["target"]) & F.contains(u["text"], a["alias"])))
     return F.when(F.arrays_overlap(sig_tokens(value, kind), sig_tokens(sanitize(text), kind)) | alias, value)
 
 

@@ -32,3 +32,9 @@ def test_texts_are_cleaned_once_before_their_names_are_read(spark):
     for name in ("l2_evidence", "l2_evidence_aliases", "l1_parse_extraction"):
         plan = qs.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_replace") < 120, name  # 476 where the filter and each rule cleaned the text anew
+
+
+def test_words_are_looked_up_once(spark):
+    df = spark.createDataFrame([("AV. PRIMERA DOS 007 MZ X 3RA BALTA",)], "x string").select(tx.canonical_tokens(F.col("x")).alias("t"))
+    assert df.first()["t"] == ["AVENIDA", "1", "2", "7", "MANZANA", "10", "3", "BALTA"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("try_element_at") + df._jdf.queryExecution().optimizedPlan().toString().count("element_at(") <= 4
