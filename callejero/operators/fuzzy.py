@@ -11,6 +11,10 @@ an index of its own:
   common subsequence L >= r T / 2 of two texts with T letters in all; every letter outside it spoils at most q
   grams, which leaves (2 q - 1) L - (q - 1) (T + 1) grams in common. So lengths are bounded, and of a
   text's numbered grams only the rarest few are looked up.
+* Segments, in place of grams where r is 0.9 or more and the query has at most 40 letters: D = T - 2 L letters stand
+  outside, so of D + 1 segments of the catalogue's text one is whole in the query's, and some whole one has as many
+  of these letters before it as there are segments before it. That leaves few places where to look it up. What meets is
+  compared in the join (Levenshtein's distance is D at most), so no pair is written that shares a segment only.
 
 Pairs of texts, not of rows, are met: each once, however many rows have the text. The letters that both have
 in common bound r from above (the multiset overlap); pairs whose score cannot reach the least one end there,
@@ -33,13 +37,16 @@ TYPE_BONUS, TYPE_FROM, SECTOR_BONUS, SECTOR_FROM = 0.03, 0.6, 0.08, 0.5
 FEW_SHARED = 0.55
 #: The least score at which C9 accepts a candidate; no lesser candidate changes what is accepted.
 ACCEPT = 0.88
+#: From this ratio on, and up to so many letters of a query, segments are looked up; longer texts have too many places.
+SEGMENT_FROM, SEGMENT_LETTERS = 0.9, 40
 _EPS = 1e-9
 
 
 def _forms(names: DataFrame, kind: str, q: int) -> DataFrame:
     """Distinct names with their text in one form, its telling words, letters and grams; stored."""
     norm = F.col("_norm")
-    named = cut(names.select("name").distinct().withColumn("_norm", normalize_variants(F.col("name"))))  # or each letter would clean it anew
+    tasks = names.sparkSession.sparkContext.defaultParallelism  # few bytes, but much work each: one task would get them all
+    named = cut(names.select("name").repartition(tasks, "name").distinct().withColumn("_norm", normalize_variants(F.col("name"))))  # or each letter would clean it anew
     told = {"_tok": sig_tokens(norm, kind), "_len": F.char_length(norm), "_letters": numbered_grams(norm, 1), "_grams": numbered_grams(norm, q)}
     return cut(named.withColumns(told).where(F.size("_tok") > 0))
 
@@ -85,6 +92,37 @@ def _by_grams(q: DataFrame, n: DataFrame, r: float, size: int) -> DataFrame:
     return a.join(b, "_b").select("q_norm", "n_norm")
 
 
+def _outside(total: Column, r: float) -> Column:
+    """How many of the letters of two texts may stand outside a common subsequence, for the ratio r."""
+    return (total - 2 * F.ceil(r * total / 2 - _EPS)).cast("int")
+
+
+def _segments(forms: DataFrame, partner: str, r: float) -> DataFrame:
+    """forms with the lengths `partner` that a text of that ratio can have, and `_d`, the letters outside."""
+    low, high = F.ceil(F.col("_len") * r / (2 - r) - _EPS), F.floor(F.col("_len") * (2 - r) / r + _EPS)
+    each = forms.select("_norm", "_len", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias(partner))
+    each = each.withColumn("_d", _outside(F.col("_len") + F.col(partner), r))
+    return each.where(F.abs(F.col("_len") - F.col(partner)) <= F.col("_d"))
+
+
+def _by_segments(q: DataFrame, n: DataFrame, r: float) -> DataFrame:
+    """Pairs that can have the ratio r or more: a whole segment in common, and a small distance."""
+    i, k = F.col("_i"), F.col("_d") + 1
+    start, end = F.floor(i * F.col("_n") / k), F.floor((i + 1) * F.col("_n") / k)
+
+    def key(begin: Column) -> Column:
+        return F.xxhash64("_n", "_d", "_i", F.substring("_norm", (begin + 1).cast("int"), (end - start).cast("int"))).alias("_b")
+
+    held = _segments(n, "_m", r).select("_norm", F.col("_len").alias("_n"), "_d").distinct().withColumn("_i", F.explode(F.sequence(F.lit(0), "_d")))
+    held = held.select(key(start), F.col("_norm").alias("n_norm"))
+    # With i letters outside before segment i, its shift is one of -i, -i + 2, ... i; the rest must make up the lengths.
+    asked = _segments(q, "_n", r).withColumn("_i", F.explode(F.sequence(F.lit(0), "_d"))).withColumn("_by", F.explode(F.sequence(-i, i, F.lit(2))))
+    asked = asked.where(F.abs(F.col("_len") - F.col("_n") - F.col("_by")) <= F.col("_d") - i)
+    asked = asked.where((start + F.col("_by") >= 0) & (end + F.col("_by") <= F.col("_len"))).select(key(start + F.col("_by")), F.col("_norm").alias("q_norm"), F.col("_d"))
+    met = asked.join(held, "_b").where(F.expr("levenshtein(q_norm, n_norm, _d) >= 0"))
+    return met.select("q_norm", "n_norm")
+
+
 def gram_size(r: float) -> int:
     """The longest of 3, 2 and 1 letters that leaves a gram in common at every length, for unequal texts of that ratio."""
     return 3 if r >= 0.9 else 2 if r >= 5 / 6 else 1
@@ -118,7 +156,12 @@ def form_pairs(q: DataFrame, n: DataFrame, kind: str, least: float, bonus: float
         found = found.union(_by_words(q, n, 1.0))
     r = max(_EPS, min(least, max(SECTOR_FROM, least - SECTOR_BONUS) if bonus > TYPE_BONUS else least)) / FEW_SHARED
     if r < 1:  # at 1 the texts are equal, and so are their words
-        found = found.union(_by_grams(q, n, r, gram_size(r)))
+        if r >= SEGMENT_FROM:
+            found = found.union(_by_segments(q.where(F.col("_len") <= SEGMENT_LETTERS), n, r))
+            # A query of more letters, and what is not too short for one.
+            found = found.union(_by_grams(q.where(F.col("_len") > SEGMENT_LETTERS), n.where(F.col("_len") > SEGMENT_LETTERS * r / (2 - r)), r, gram_size(r)))
+        else:
+            found = found.union(_by_grams(q, n, r, gram_size(r)))
     sides = [f.select(*[F.col(c).alias(f"{s}{c}") for c in ("_norm", "_tok", "_len", "_letters")]) for f, s in ((q, "q"), (n, "n"))]
     pairs = found.distinct().join(sides[0], "q_norm").join(sides[1], "n_norm")
 

@@ -139,3 +139,29 @@ def test_misspelt_zones_settle(spark):
     fields = spark.createDataFrame([(1, "PRECURSORE", 1, "LOS TUMBO", 2), (2, "ANGELA", 2, "LOS TUMBOS", 2), (3, "CHICLAYO", 1, None, None), (4, None, None, "NADA", 2), (5, "LOS PRECURSORES", None, None, None)], "id int, nom_zona string, tipo_zona int, nom_via string, tipo_via int")
     got = {r["id"]: (r["zona_id"], r["via_id"]) for r in match_fields(fields, vias, zonas).collect()}
     assert got == {1: (1, 10), 2: (3, 11), 3: (None, None), 4: (None, None), 5: (1, None)}
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_segments_find_all_pairs_of_the_ratio_and_write_few_others(spark):
+    """Words of few syllables, each with a letter lost or changed, short to long: every pair of the ratio is met, hardly any other."""
+    r = random.Random(5)
+    texts = sorted({" ".join("".join(r.choice(SYLLABLES) for _ in range(3)) for _ in range(1 + i % 7)) for i in range(300)})
+    asked = sorted({misspelt(r, t, i % 3) for i, t in enumerate(texts)} | {"".join(c for c in t if r.random() > 0.12) for t in texts[::3]} | {t[:20] for t in texts})
+    q, n = (fuzzy._forms(spark.createDataFrame([(t,) for t in x], "name string"), "street", 3).where("name = _norm") for x in (asked, texts))
+    left, right = ([x["_norm"] for x in f.collect()] for f in (q, n))
+    ratio = 0.5 / fuzzy.FEW_SHARED
+    want = {(a, b) for a in left for b in right if abs(len(a) - len(b)) <= (1 - ratio) * (len(a) + len(b)) and common(a, b) >= ratio * (len(a) + len(b)) / 2 - 1e-9}
+    short = {p for p in want if len(p[0]) <= fuzzy.SEGMENT_LETTERS}
+    met = {tuple(x) for x in fuzzy._by_segments(q.where(F.col("_len") <= fuzzy.SEGMENT_LETTERS), n, ratio).collect()}
+    assert short <= met and len(short) > 200 and len(want - short) > 50 and len(met) < 1.2 * len(short)
+    every = {(x["q_norm"], x["n_norm"]) for x in fuzzy.form_pairs(q, n, "street", 0.5, 0.0).collect()}
+    assert want <= every  # longer texts by grams
