@@ -91,10 +91,30 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
+def _single_blanks(text: Column) -> Column:
+    """squeeze() of a text whose only white space is the blank."""
+    return F.trim(let(text, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)))
+
+
+def _upper_printable(text: Column) -> Column:
+    # Printable ASCII fails at once: most letters need no look at their category.
+    printable = F.regexp_replace(F.coalesce(text, F.lit("")), r"[[^ -~]&&[\p{C}\p{Z}]]", "")
+    return F.upper(_single_blanks(printable))
+
+
+def _by_steps(text: Column) -> Column:
+    return _single_blanks(apply_steps(text, SANITIZE_STEPS))
+
+
 def sanitize(text: Column) -> Column:
     """The cleaned, upper-case form of an address; null and blank give ''."""
-    printable = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{C}\p{Z}&&[^ ]]", "")
-    return squeeze(apply_steps(F.upper(squeeze(printable)), SANITIZE_STEPS))
+    return _by_steps(_upper_printable(text))
+
+
+def sanitize_twice(text: Column) -> Column:
+    """The cleaned form, cleaned again; where no rule changed the text, none would the second time."""
+    again = lambda start, clean: F.when(start == clean, clean).otherwise(_by_steps(clean))
+    return let(_upper_printable(text), lambda start: let(_by_steps(start), lambda clean: again(start, clean)))
 
 
 _MARKED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝáàâäãåéèêëíìîïóòôöõúùûüñçýÿ"

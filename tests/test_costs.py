@@ -38,3 +38,20 @@ def test_words_are_looked_up_once(spark):
     df = spark.createDataFrame([("AV. PRIMERA DOS 007 MZ X 3RA BALTA",)], "x string").select(tx.canonical_tokens(F.col("x")).alias("t"))
     assert df.first()["t"] == ["AVENIDA", "1", "2", "7", "MANZANA", "10", "3", "BALTA"]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("element_at(") == 2  # 3 where the second map read the first one twice
+
+
+def test_a_text_that_no_rule_changes_is_cleaned_once(spark):
+    df = spark.createDataFrame([(x,) for x in [*TEXTS, "uno\tdos  tres\u00a0\u2003x\u0000", " \u200b ", "PROSA SIN REGLAS", "\U0001f600 \u0149 \u01c5 \u00df"]], "x string")
+    rows = df.select(tx.sanitize(tx.sanitize(F.col("x"))).alias("a"), tx.sanitize_twice(F.col("x")).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    plan = lambda c: df.select(c.alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tx.sanitize_twice(F.col("x"))).count("[^ -~]") == 1 and r"\s{2,}" not in plan(tx.sanitize(F.col("x")))  # each pass looked up every letter's category once and its white space twice
+
+
+def test_what_a_family_needs_is_written_wherever_it_matches(spark):
+    df = spark.createDataFrame([(x,) for x in [*TEXTS, "P\u0130SO 3 N\u0130VEL", "BLOC\u212a B", "REAL  PLAZA C.C", "LT. 5", "MZA B", "TORRE \u0130NTER\u0130OR", "C.C.", "S/N"] if x], "x string")
+    said = [F.array(*[F.upper("x").rlike(f"(?iU){p}") for p in patterns]) for patterns in rk.FAMILIES]
+    rows = df.select(rk._found(F.upper("x"))["families"].alias("n"), *[F.array_contains(c, True).cast("int").alias(f"f{i}") for i, c in enumerate(said)]).collect()
+    assert [r["n"] for r in rows] == [sum(r[1:]) for r in rows] and sum(r["n"] for r in rows) > 8
+    plan = df.select(rk._found(F.upper("x"))["families"].alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "BLOQUE)" in plan  # looked for before its pattern runs
