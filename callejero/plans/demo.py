@@ -69,6 +69,8 @@ class _Tables(dict):
             self[name] = _written[key]
         else:
             self[name] = self._derived(name)
+            if name == "raw_addresses":  # a short text is much work: the files of the orders may be too few for all cores
+                self[name] = self[name].repartition(4 * self.spark.sparkContext.defaultParallelism)
             if name in _STORED:
                 self[name] = _written[key] = cut(self[name])
         return self[name]

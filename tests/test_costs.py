@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from callejero import queries as qs
 from callejero.functions import risk as rk
 from callejero.functions import text as tx
+from callejero.plans.demo import demo_tables
 
 TEXTS = [
     "PISO3 AV BALTAMZ B LT.12", "MZA.CLT 5", "İNT.5-K 3İNT", "Km. 5 N°S/N NRO. 0012", "PORVENİRSIMON LORENZOPEDRO", "MCDO.CENTRAL STA.ROSA ESTA 3STD", "BALTA00123 CDRA.5", "CA BALTA-5 -", "- AV GRAU\t\n N", "SAGA I-RUN RİPLEY ESTILOS",
@@ -55,3 +56,8 @@ def test_what_a_family_needs_is_written_wherever_it_matches(spark):
     assert [r["n"] for r in rows] == [sum(r[1:]) for r in rows] and sum(r["n"] for r in rows) > 8
     plan = df.select(rk._found(F.upper("x"))["families"].alias("n"))._jdf.queryExecution().optimizedPlan().toString()
     assert "BLOQUE)" in plan  # looked for before its pattern runs
+
+
+def test_addresses_are_read_by_all_cores(spark):
+    raw = demo_tables(spark, "/root/testdata/sf0.01")["raw_addresses"]
+    assert raw.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # one where one file of orders gave one file of addresses
