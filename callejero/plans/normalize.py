@@ -1,6 +1,6 @@
 """Raw addresses to normalised rows, set at a time.
 
-Blank texts branch off first. All rules run once per distinct text; the catalogues are joined by name, the
+All rules run once per distinct text, cleaning too; the catalogues are joined by name, the
 exact cascade first and the fuzzy one on what it missed; results join back to the rows by text. The plan is
 cut by a written table after cleaning, extraction and matching, or Catalyst would spend minutes on it.
 """
@@ -21,10 +21,17 @@ from ..operators.fuzzy import ACCEPT
 from ..session import cut
 
 
-def extract_fields(texts: DataFrame) -> DataFrame:
-    """R1, R2, E1 to E19 for distinct (clean) texts, with an id per text."""
+def clean_texts(raw: DataFrame) -> DataFrame:
+    """raw_text and clean of the distinct raw texts that are not blank; stored. Each is cleaned once, however many rows have it."""
+    return cut(raw.select("raw_text").where("trim(raw_text) != ''").distinct().withColumn("clean", sanitize(F.col("raw_text"))))
+
+
+def extract_fields(texts: DataFrame, risk: bool = True) -> DataFrame:
+    """R1, R2 (with risk), E1 to E19 for distinct (clean) texts, with an id per text."""
     t = F.col("clean")
-    df = with_complexity(texts.withColumn("id", F.xxhash64("clean")), "clean", cleaned=True)
+    df = texts.withColumn("id", F.xxhash64("clean"))
+    if risk:
+        df = with_complexity(df, "clean", cleaned=True)
     df = df.withColumn("nom_zona", ex.zone_name(t)).withColumn("nom_via", ex.street_name(t))
     df = df.withColumn("_date", F.when(F.col("nom_via").isNull(), ex.date_street_parts(t, F.col("nom_zona")))).withColumn("nom_via", F.coalesce("nom_via", "_date.street"))
     df = df.withColumn("_ref", ex.reference(t))
@@ -38,9 +45,9 @@ def extract_fields(texts: DataFrame) -> DataFrame:
 
 def settle_roles(df: DataFrame, vias: DataFrame, zonas: DataFrame) -> DataFrame:
     """E4, E15, E17, then T8 to T11 on what they settle; `cruce` holds the streets that cross."""
-    df = cut(ro.settle_pair(df, vias, zonas))
-    df = cut(ro.settle_pieces(df, vias, zonas))
-    df = cut(ro.swap_roles(df, vias, zonas))
+    df = ro.settle_pair(df, vias, zonas)
+    df = ro.settle_pieces(df, vias, zonas)
+    df = cut(ro.swap_roles(cut(df), vias, zonas))
     km = kilometre(F.col("clean"))
     on_road = F.coalesce(F.regexp_replace(km, r"^KM\.?\s*0*", "") == F.ltrim(F.col("num_via"), F.lit("0")), F.lit(False))
     ref = clean_reference(F.col("referencia"), F.col("clean"))
@@ -67,7 +74,8 @@ def _with_match(df: DataFrame, names: DataFrame, index: DataFrame, catalog: Data
         for c in hints:
             on &= F.col(c).eqNullSafe(F.col(f"_near_{c}"))
         found = found.join(near, on, "left").select("name", *hints, F.coalesce(id_col, "_near").alias(id_col))
-    found = found.select(*[F.col(c).alias(f"_m_{c}") for c in fields], id_col)
+    # Stored, its size is known: few names are sent to the texts.
+    found = cut(found.where(F.col(id_col).isNotNull()).select(*[F.col(c).alias(f"_m_{c}") for c in fields], id_col))
     on = F.lit(True)
     for c, field in fields.items():
         on &= F.col(field).eqNullSafe(F.col(f"_m_{c}")) if c != "name" else F.col(field) == F.col("_m_name")
@@ -91,9 +99,9 @@ def match_fields(df: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool =
 
 def normalize(raw: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True, check: bool = True, route: bool = True, via_aliases: DataFrame | None = None, zona_aliases: DataFrame | None = None) -> DataFrame:
     """Rows of raw (src_schema, src_table, src_row_id, raw_text) with fields, es_procesado, reasons and metodo."""
-    rows = cut(raw.withColumn("clean", sanitize(F.col("raw_text"))))
-    texts = rows.select("clean").where("clean != ''").distinct()
-    df = cut(settle_roles(cut(extract_fields(texts)), vias, zonas))
+    cleaned = clean_texts(raw)
+    texts = cleaned.select("clean").where("clean != ''").distinct()
+    df = cut(settle_roles(cut(extract_fields(texts, risk=route)), vias, zonas))
     df = cut(ro.with_streets(cut(match_fields(df, vias, zonas, fuzzy, via_aliases, zona_aliases)), vias, zonas))
     df = va.settle_zone(df)
     df = df.withColumn("reasons", va.reasons(df))
@@ -103,6 +111,9 @@ def normalize(raw: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = T
     if check:
         df = va.veto(va.validate(df))
     fields = [c for c in (*va.FIELDS, "modulos", "esquinas", "vias", "es_procesado", "reasons", "metodo") if c in df.columns]
-    done = rows.join(df.select("clean", *fields), "clean", "left")
+    done = cleaned.join(df.select("clean", *fields), "clean", "left").withColumnRenamed("raw_text", "_raw")
+    # Null and blank texts have no partner; they are not sent to one task.
+    key = F.when(F.trim("raw_text") != "", F.col("raw_text"))
+    done = raw.join(done, key == F.col("_raw"), "left").drop("_raw").withColumn("clean", F.coalesce("clean", F.lit("")))
     empty = F.col("clean") == ""
     return done.withColumn("es_procesado", F.when(empty, F.lit(False)).otherwise(F.col("es_procesado"))).withColumn("reasons", F.when(empty, F.array(F.lit("DIRECCION VACIA"))).otherwise(F.col("reasons"))).withColumn("metodo", F.when(empty, "VACIA").otherwise(F.col("metodo")))
