@@ -1,4 +1,7 @@
-"""Fields cut from a cleaned address, as columns."""
+"""Fields cut from a cleaned address, as columns.
+
+A pattern over a whole text is run only where one of the words is written that it can't match without (`needs`).
+"""
 
 from __future__ import annotations
 
@@ -6,26 +9,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
-from .text import UPPER, let, squeeze
+from .text import UPPER, let, squeeze, written
 
 _WORD = rf"[{UPPER}0-9 .]"
 #: Street type words, longest first so that a prefix does not win.
 STREET_PREFIX = "|".join(sorted({s.replace(".", r"\.") for _, _, names in lx.STREET_TYPES.values() for s in names}, key=lambda s: (-len(s), s)))
 ZONE_PREFIX = r"URBANIZACION|URB\.?|PUEBLO JOVEN|P\.J\.|PJ|A\.H\.|AH|ASENTAMIENTO HUMANO|UPIS|COOPERATIVA|COOP\.?|SECTOR|CONDOMINIO|RESIDENCIAL"
+_ZONE_NEEDS = ["URB", "PUEBLO JOVEN", "P.J.", "PJ", "A.H.", "AH", "ASENTAMIENTO HUMANO", "UPIS", "COOP", "SECTOR", "CONDOMINIO", "RESIDENCIAL"]
+
+
+def _get(text: Column, pattern: str, group: int = 1, needs: list[str] | None = None) -> Column:
+    """The group of the first match, null without one or if it is blank; the text is evaluated once, without needs."""
+    found = F.trim(F.regexp_extract(text, f"(?U){pattern}", group))
+    found = let(found, lambda v: F.when(v != "", v))
+    return found if needs is None else F.when(written(text, needs), found)
 
 
-def _get(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null without one or if it is blank; the text is evaluated once."""
-    found = F.trim(F.get(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(group)), F.lit(0)))
-    return let(found, lambda v: F.when(v != "", v))
+def _shortest(words: list[str]) -> list[str]:
+    """The words that hold no other one: any of the words is written only where one of these is."""
+    return [w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)]
 
 
 def street_type(text: Column) -> Column:
     """Id of the first type, in catalogue order, that is written."""
     found = F.lit(None).cast("int")
     for id_, (_, _, names) in reversed(lx.STREET_TYPES.items()):
-        stems = "|".join(sorted({n.rstrip(".").replace(".", r"\.") for n in names if len(n) > 2}, key=lambda s: (-len(s), s)))
-        found = F.when(text.rlike(rf"(?U)\b(?:{stems})\b"), F.lit(id_)).otherwise(found)
+        words = sorted({n.rstrip(".") for n in names if len(n) > 2}, key=lambda s: (-len(s), s))
+        stems = "|".join(w.replace(".", r"\.") for w in words)
+        found = F.when(written(text, _shortest(words)) & text.rlike(rf"(?U)\b(?:{stems})\b"), F.lit(id_)).otherwise(found)
     return found
 
 
@@ -56,8 +67,7 @@ DATE_STREETS = ["7 DE ENERO SUR", "SIETE DE ENERO SUR", "7 DE ENERO", "SIETE DE
 
 def date_street(text: Column, zone: Column) -> Column:
     """E5: the first of the known date streets that is written and not part of the zone."""
-    written = F.coalesce(*[F.when(text.rlike(rf"(?U)\b{s}\b") & ~F.coalesce(F.contains(zone, F.lit(s)), F.lit(False)), F.lit(s)) for s in DATE_STREETS])
-    return written
+    return F.coalesce(*[F.when(written(text, [s]) & text.rlike(rf"(?U)\b{s}\b") & ~F.coalesce(F.contains(zone, F.lit(s)), F.lit(False)), F.lit(s)) for s in DATE_STREETS])
 
 
 def date_street_parts(text: Column, zone: Column) -> Column:
@@ -80,10 +90,10 @@ def _behind_date(text: Column, street: Column) -> Column:
 
 def house_number(text: Column, name: Column) -> Column:
     """S/N, the number behind N°, or the one behind the street's name."""
-    marked = _get(text, r"\bN°\.?\s*(\d+)\b")
+    marked = _get(text, r"\bN°\.?\s*(\d+)\b", needs=["N°"])
     rest = F.call_function("substring_index", text, name, F.lit(-1))
     after = F.when(F.contains(text, name), _get(rest, r"^\s+(?:N°?\s*)?(\d+)\b"))
-    return F.when(name.isNotNull(), F.when(text.rlike(r"(?U)\bS/N\b"), F.lit("S/N")).otherwise(F.coalesce(marked, after)))
+    return F.when(name.isNotNull(), F.when(written(text, ["S/N"]) & text.rlike(r"(?U)\bS/N\b"), F.lit("S/N")).otherwise(F.coalesce(marked, after)))
 
 
 def door_letter(text: Column, number: Column) -> Column:
@@ -93,50 +103,53 @@ def door_letter(text: Column, number: Column) -> Column:
 
 def block(text: Column) -> Column:
     """E7: 'manzana'."""
-    return _get(text, r"\b(?:MANZANA|MZA|MZ)\b\.?\s*[:-]?\s*([A-Z0-9]+)\b")
+    return _get(text, r"\b(?:MANZANA|MZA|MZ)\b\.?\s*[:-]?\s*([A-Z0-9]+)\b", needs=["MANZANA", "MZ"])
 
 
 def lot(text: Column) -> Column:
     """E7: 'lote'."""
-    return _get(text, r"\b(?:LOTE|LT)\b\.?\s*[:-]?\s*([A-Z0-9]+)\b")
+    return _get(text, r"\b(?:LOTE|LT)\b\.?\s*[:-]?\s*([A-Z0-9]+)\b", needs=["LOTE", "LT"])
 
 
 def zone_name(text: Column) -> Column:
     """The name before '- MZ', or behind a zone prefix, without street prefix and city."""
-    before = _get(text, rf"^([{UPPER} .]+?)\s+-\s*(?:MZA?|MANZANA)\b")
-    behind = _get(text, rf"\b(?:{ZONE_PREFIX})\s+([^,;()-]+?)(?=\s+(?:{STREET_PREFIX}|MZ|LT|LOTE|MANZANA|BLOCK|BLOQUE|BLQ|TORRE|DPTO|DEP|PISO|REF)\b|,|;|\(|\s*-|$)")
-    name = F.coalesce(F.when(~before.isin(lx.CITIES), before), behind)
+    before = _get(text, rf"^([{UPPER} .]+?)\s+-\s*(?:MZA?|MANZANA)\b", needs=["MZ", "MANZANA"])
+    behind = _get(text, rf"\b(?:{ZONE_PREFIX})\s+([^,;()-]+?)(?=\s+(?:{STREET_PREFIX}|MZ|LT|LOTE|MANZANA|BLOCK|BLOQUE|BLQ|TORRE|DPTO|DEP|PISO|REF)\b|,|;|\(|\s*-|$)", needs=_ZONE_NEEDS)
+    name = F.coalesce(let(before, lambda b: F.when(~b.isin(lx.CITIES), b)), behind)
     name = squeeze(F.regexp_replace(name, r"(?U)\s+(?:CHICLAYO|LAMBAYEQUE|FERRENAFE)$", ""))
-    return F.coalesce(name, F.when(text.rlike(r"(?U)\bCERCADO\b"), F.lit("CERCADO DE CHICLAYO")))
+    return F.coalesce(name, F.when(written(text, ["CERCADO"]) & text.rlike(r"(?U)\bCERCADO\b"), F.lit("CERCADO DE CHICLAYO")))
 
 
 def zone_type(text: Column) -> Column:
     """Id of the written zone type; CERCADO last."""
-    rules = [(1, r"AA\.?HH\.?|A\.H\.?|ASENTAMIENTO\s+HUMANO"), (5, r"PP\.?JJ\.?|P\.J\.?|PUEBLO\s+JOVEN"), (7, r"UPIS|URB(?:ANIZACION|\.)?\s*POP(?:ULAR)?"), (6, r"URB(?:ANIZACION)?|H\.U\.?"), (10, "ASOC(?:IACION)?"), (11, "COOP(?:ERATIVA)?"), (26, r"C\.P\.?M?|CENTRO\s+POBLADO"), (8, "CERCADO")]
-    return F.coalesce(*[F.when(text.rlike(rf"(?U)\b(?:{p})\b"), F.lit(i)) for i, p in rules])
+    rules = [
+        (1, r"AA\.?HH\.?|A\.H\.?|ASENTAMIENTO\s+HUMANO", ["HH", "A.H", "HUMANO"]), (5, r"PP\.?JJ\.?|P\.J\.?|PUEBLO\s+JOVEN", ["JJ", "P.J", "JOVEN"]), (7, r"UPIS|URB(?:ANIZACION|\.)?\s*POP(?:ULAR)?", ["UPIS", "POP"]),
+        (6, r"URB(?:ANIZACION)?|H\.U\.?", ["URB", "H.U"]), (10, "ASOC(?:IACION)?", ["ASOC"]), (11, "COOP(?:ERATIVA)?", ["COOP"]), (26, r"C\.P\.?M?|CENTRO\s+POBLADO", ["C.P", "POBLADO"]), (8, "CERCADO", ["CERCADO"]),
+    ]
+    return F.coalesce(*[F.when(written(text, needs) & text.rlike(rf"(?U)\b(?:{p})\b"), F.lit(i)) for i, p, needs in rules])
 
 
 def reference(text: Column) -> Column:
     """Parentheses, REF:, a phrase of place, between two streets, a crossing, or a shopping centre."""
     return F.coalesce(
-        _get(text, r"\(([^)]+)\)"),
-        _get(text, r"\bREF(?:ERENCIA)?\.?\s*[:-]?\s*([^,;()]+)"),
-        _get(text, r"\b((?:CERCA\s+(?:AL?|DE)|FRENTE\s+AL?|(?:AL\s+)?COSTADO\s+DEL?|A\s+ESPALDAS?\s+DEL?|A\s+(?:LA\s+)?ALTURA\s+DEL?|A\s+MEDIA\s+CUADRA\s+DEL?)\s+[^,;()]+)"),
-        _get(text, rf"\b(ENTRE\s+{_WORD}+?\s+Y\s+[^,;()]+)"),
-        _get(text, r"\b(CRUCE\s+(?:CON\s+)?[^,;()]+)"),
-        _get(text, r"\b((?:(?:C\.?C\.?|CENTRO\s+COMERCIAL|MALL)\s+)?(?:REAL\s+PLAZA|OPEN\s+PLAZA|PLAZA\s+BOLOGNESI)|MALL\s+AVENTURA|BOULEVARD)\b"),
+        _get(text, r"\(([^)]+)\)", needs=["("]),
+        _get(text, r"\bREF(?:ERENCIA)?\.?\s*[:-]?\s*([^,;()]+)", needs=["REF"]),
+        _get(text, r"\b((?:CERCA\s+(?:AL?|DE)|FRENTE\s+AL?|(?:AL\s+)?COSTADO\s+DEL?|A\s+ESPALDAS?\s+DEL?|A\s+(?:LA\s+)?ALTURA\s+DEL?|A\s+MEDIA\s+CUADRA\s+DEL?)\s+[^,;()]+)", needs=["CERCA", "FRENTE", "COSTADO", "ESPALDA", "ALTURA", "CUADRA"]),
+        _get(text, rf"\b(ENTRE\s+{_WORD}+?\s+Y\s+[^,;()]+)", needs=["ENTRE"]),
+        _get(text, r"\b(CRUCE\s+(?:CON\s+)?[^,;()]+)", needs=["CRUCE"]),
+        _get(text, r"\b((?:(?:C\.?C\.?|CENTRO\s+COMERCIAL|MALL)\s+)?(?:REAL\s+PLAZA|OPEN\s+PLAZA|PLAZA\s+BOLOGNESI)|MALL\s+AVENTURA|BOULEVARD)\b", needs=["PLAZA", "MALL", "BOULEVARD"]),
     )
 
 
 def floor_number(text: Column) -> Column:
     """The first number of the floor phrase."""
-    phrase = _get(text, r"\b((?:\d+(?:DO|ER|TO|VO|MO)?\.?\s*(?:Y\s*\d+(?:DO|ER|TO|VO|MO)?\.?\s*)?PISO)|(?:PISO\s*\d+))\b")
+    phrase = _get(text, r"\b((?:\d+(?:DO|ER|TO|VO|MO)?\.?\s*(?:Y\s*\d+(?:DO|ER|TO|VO|MO)?\.?\s*)?PISO)|(?:PISO\s*\d+))\b", needs=["PISO"])
     return _get(phrase, r"(\d+)")
 
 
 def tower(text: Column) -> Column:
     """Block or tower, not behind 'DE LA', not a number mark."""
-    return _get(text, r"(?<!DE LA )\b(?:BLOCK|BLOQUE|BLQ|TORRE)\s+(?!N°|NRO|NUM|N\b)([A-Z0-9-]+)\b")
+    return _get(text, r"(?<!DE LA )\b(?:BLOCK|BLOQUE|BLQ|TORRE)\s+(?!N°|NRO|NUM|N\b)([A-Z0-9-]+)\b", needs=["BLOCK", "BLOQUE", "BLQ", "TORRE"])
 
 
 _UNIT_WORDS = {n.rstrip("."): id_ for id_, (_, names) in lx.UNIT_TYPES.items() for n in names} | {"TIENDAS": 5, "STANDS": 4, "LOCALES": 9}
@@ -153,13 +166,16 @@ def units(text: Column) -> Column:
         parts = F.split(pair["1"], r"\s*(?:,|-|\bY\b)\s*")
         return F.transform(parts, lambda p: F.struct(F.element_at(ids, pair["0"]).alias("timo_id"), p.alias("ditm_nombre")))
 
-    return F.array_distinct(F.flatten(F.transform(F.arrays_zip(kinds.alias("0"), values.alias("1")), each)))
+    found = F.array_distinct(F.flatten(F.transform(F.arrays_zip(kinds.alias("0"), values.alias("1")), each)))
+    none = F.array().cast("array<struct<timo_id:int,ditm_nombre:string>>")
+    return F.when(written(text, _shortest(list(_UNIT_WORDS))), found).when(text.isNotNull(), none)
 
 
 def corner_names(text: Column) -> Column:
     """The streets named behind CON, ESQ or CRUCE, at most two more than the first."""
     found = F.regexp_extract_all(text, F.lit(rf"(?U)\b(?:CON|ESQ(?:UINA)?\.?|CRUCE)\s+(?:CON\s+)?(?:(?:{STREET_PREFIX})\s+)?([{UPPER} .]+?)(?=\s+(?:N°|\d|INT|DPTO|PISO|CON|ESQ|CRUCE)|\s*[-,(]|\s*$)"), F.lit(1))
-    return F.slice(F.array_distinct(F.transform(found, F.trim)), 1, 2)
+    names = F.slice(F.array_distinct(F.transform(found, F.trim)), 1, 2)
+    return F.when(written(text, ["CON", "ESQ", "CRUCE"]), names).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def street_pieces(name: Column) -> Column:
@@ -183,12 +199,13 @@ def noisy_zone(name: Column) -> Column:
 
 def formal_zone(text: Column) -> Column:
     """V1: an urbanisation or settlement is written, so its zone must be in the catalogue."""
-    return text.rlike(rf"(?U)\b(?:URB\.?|URBANIZACION|P\.?J\.?|PP\.?\s?JJ\.?|PUEBLO\s+JOVEN|A\.?H\.?|AA\.?\s?HH\.?|ASENTAMIENTO\s+HUMANO|UPIS|CONJ\.?\s*HAB\.?)(?!\w)")
+    needs = ["URB", "PJ", "P.J", "JJ", "JOVEN", "AH", "A.H", "HH", "HUMANO", "UPIS", "CONJ"]
+    return written(text, needs) & text.rlike(rf"(?U)\b(?:URB\.?|URBANIZACION|P\.?J\.?|PP\.?\s?JJ\.?|PUEBLO\s+JOVEN|A\.?H\.?|AA\.?\s?HH\.?|ASENTAMIENTO\s+HUMANO|UPIS|CONJ\.?\s*HAB\.?)(?!\w)")
 
 
 def unclear_unit(text: Column) -> Column:
     """A shop unit with a name in place of a number."""
-    return text.rlike(r"(?U)\b(?:TIENDA|STAND|PUESTO|LOCAL)\s+(?!N°|NRO|NUM|\d|[A-Z]\b|[A-Z]?-?\d)[A-Z]{3,}")
+    return written(text, ["TIENDA", "STAND", "PUESTO", "LOCAL"]) & text.rlike(r"(?U)\b(?:TIENDA|STAND|PUESTO|LOCAL)\s+(?!N°|NRO|NUM|\d|[A-Z]\b|[A-Z]?-?\d)[A-Z]{3,}")
 
 
 # Written form -> district, in order of precedence. Santa Rosa is a zone's name too and counts only with its word.
@@ -210,12 +227,12 @@ def outside_district(text: Column, street: Column, zone: Column, via_id: Column
     hits = []
     for d, name in OUTSIDE.items():
         part = F.coalesce(F.contains(street, F.lit(d)), F.lit(False)) | F.coalesce(F.contains(zone, F.lit(d)), F.lit(False))
-        written = d.replace(".", r"\.")
-        hits.append(F.when(text.rlike(rf"(?U){_NAMED}(?<=^|[-–—,/\s])\b{written}(?!\w)") & ~part, F.lit(name)))
+        said = d.replace(".", r"\.")
+        hits.append(F.when(written(text, [d]) & ~part & text.rlike(rf"(?U){_NAMED}(?<=^|[-–—,/\s])\b{said}(?!\w)"), F.lit(name)))
     found = F.coalesce(*hits)
     if zona_id is not None:
         found = F.when(zona_id.isNull(), found)
     if via_id is not None:
         chiclayo = text.rlike(r"(?U)(?:^|[-–—,/]|\bDISTRITO\s+(?:DE\s+)?)\s*CHICLAYO\b")
-        found = F.when(~(via_id.isNotNull() & chiclayo), found)
+        found = let(found, lambda name: F.when(name.isNotNull() & ~(via_id.isNotNull() & chiclayo), name))
     return found

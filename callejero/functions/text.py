@@ -19,17 +19,17 @@ _KEEPERS = "MZ|MZA|LT|LOTE|INT|DPTO|KM|CDRA|CUADRA"
 _UNITS = "DPTO|DEP|DEPARTAMENTO|INT|INTERIOR|TDA|TIENDA|STAND|STD|PTO|PUESTO|LOCAL|LOC|OF|OFICINA|BLOCK|BLQ|PISO|PLANTA|MZ|MZA|LT|LOTE"
 
 #: Rules of cleaning in order, in steps: what a text must have for any rule of the step to match (a pattern, or a list of
-#: which one must be written), and the rules. A text without it passes the step as it is, after one look at it.
+#: which one must be written, or both), and the rules. A text without it passes the step as it is, after one look at it.
 #: Letters in either case: the lists name no I, K or S, which other letters equal without regard to case.
 SANITIZE_STEPS = [
     (["-"], [(rf"([{UPPER}0-9])-([{UPPER}0-9])", "$1 - $2")]),
-    (rf"(?U)\b(?:{'|'.join(lx.EXPANSIONS)})\b", [
+    (([*lx.EXPANSIONS], rf"(?U)\b(?:{'|'.join(lx.EXPANSIONS)})\b"), [
         *[(rf"(?U)\b{k}\.(?=[{UPPER}])", f"{v} ") for k, v in list(lx.EXPANSIONS.items())[:3]],
         *[(rf"(?U)\b{k}(?:\.|\b)", v) for k, v in lx.EXPANSIONS.items()],
     ]),
     # Glued units, blocks, lots and house numbers.
     (r"(?iU)\d[BDILMOPST]", [(rf"(?iU)(\d+)({_UNITS})\b", "$1 $2")]),
-    (rf"(?iU)(?:MZA?|LOTE)\b|LT[0-9.\s]", [
+    ((["MZ", "LOTE", "LT"], rf"(?iU)(?:MZA?|LOTE)\b|LT[0-9.\s]"), [
         (rf"(?iU)([{UPPER}]{{2,}})(MZ|MZA|LOTE)\b", "$1 $2"),
         (rf"(?iU)([{UPPER}]{{2,}})(LT)(?=[0-9.\s])", "$1 $2"),
     ]),
@@ -72,7 +72,7 @@ def written(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def apply_steps(text: Column, steps: list[tuple[str | list[str] | None, list[tuple[str, str]]]]) -> Column:
+def apply_steps(text: Column, steps: list[tuple[str | list[str] | tuple[list[str], str] | None, list[tuple[str, str]]]]) -> Column:
     """The rules of all steps, each step only for texts that have what it needs."""
     for needs, rules in steps:
         if needs is None:
@@ -82,8 +82,12 @@ def apply_steps(text: Column, steps: list[tuple[str | list[str] | None, list[tup
     return text
 
 
-def _step(needs: str | list[str], rules: list[tuple[str, str]], text: Column) -> Column:
-    return F.when(text.rlike(needs) if isinstance(needs, str) else written(text, needs), apply_rules(text, rules)).otherwise(text)
+def _step(needs: str | list[str] | tuple[list[str], str], rules: list[tuple[str, str]], text: Column) -> Column:
+    if isinstance(needs, tuple):
+        may = written(text, needs[0]) & text.rlike(needs[1])
+    else:
+        may = text.rlike(needs) if isinstance(needs, str) else written(text, needs)
+    return F.when(may, apply_rules(text, rules)).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -123,7 +127,8 @@ _PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCYaaaaaaeeeeiiiiooooouuuuncyy"
 
 def remove_accents(text: Column) -> Column:
     """Latin letters without diacritics; combining marks are dropped."""
-    return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{M}", "")
+    # Letters without any are told by one look: each letter of the others is looked up.
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F°]"), F.regexp_replace(F.translate(t, _MARKED, _PLAIN), r"\p{M}", "")).otherwise(t))
 
 
 VARIANT_STEPS = [
@@ -153,16 +158,17 @@ def sig_tokens(text: Column, kind: str) -> Column:
     return F.array_distinct(F.array_except(telling, words_to_array(stop)))
 
 
-CANONICAL_RULES = [
-    (r"(?U)\b(\d+)(?:ER|ERO|RO|RA|DO|DA|TO|TA|VO|VA|MO|MA)\b", "$1"),
-    (r"(?U)\b(?:P\.?P\.?\s*J\.?J\.?|P\.?J\.?)\b", " PUEBLO JOVEN "),
-    (r"(?U)\b(?:A\.?A\.?\s*H\.?H\.?|A\.?H\.?)\b", " ASENTAMIENTO HUMANO "),
-    (r"(?U)\bC\.?P\.?\b", " CENTRO POBLADO "),
-    (r"(?U)\bU\.?R\.?B\.?\b", " URBANIZACION "),
-    (r"[.,;:_/\-()\[\]#°ºª\\–]+", " "),
-    (rf"(?U)([{UPPER}]{{2,}})(\d+)", "$1 $2"),
-    (rf"(?U)(\d+)([{UPPER}]{{2,}})", "$1 $2"),
-]
+#: Steps of the canonical words: what a text must have, as in SANITIZE_STEPS, and the rules.
+CANONICAL_STEPS = [
+    (r"(?U)\d[DEMRTV]", [(r"(?U)\b(\d+)(?:ER|ERO|RO|RA|DO|DA|TO|TA|VO|VA|MO|MA)\b", "$1")]),
+    (r"(?U)P\.?\s*J", [(r"(?U)\b(?:P\.?P\.?\s*J\.?J\.?|P\.?J\.?)\b", " PUEBLO JOVEN ")]),
+    (r"(?U)A\.?\s*H", [(r"(?U)\b(?:A\.?A\.?\s*H\.?H\.?|A\.?H\.?)\b", " ASENTAMIENTO HUMANO ")]),
+    (r"(?U)C\.?P", [(r"(?U)\bC\.?P\.?\b", " CENTRO POBLADO ")]),
+    (r"(?U)U\.?R\.?B", [(r"(?U)\bU\.?R\.?B\.?\b", " URBANIZACION ")]),
+    (None, [(r"[.,;:_/\-()\[\]#°ºª\\–]+", " ")]),
+    (rf"(?U)\d(?<=[{UPPER}]\d)", [(rf"(?U)([{UPPER}]{{2,}})(\d+)", "$1 $2")]),
+    (rf"(?U)\d[{UPPER}]", [(rf"(?U)(\d+)([{UPPER}]{{2,}})", "$1 $2")]),
+]
 
 
 def _mapped(token: Column, pairs: dict[str, str]) -> Column:
@@ -173,7 +179,7 @@ def _mapped(token: Column, pairs: dict[str, str]) -> Column:
 
 def canonical_tokens(text: Column) -> Column:
     """T5: the words of an address in canonical form, in order, repeats kept; [] for null or blank."""
-    clean = squeeze(apply_rules(F.upper(remove_accents(F.coalesce(text, F.lit("")))), CANONICAL_RULES))
+    clean = squeeze(apply_steps(F.upper(remove_accents(F.coalesce(text, F.lit("")))), CANONICAL_STEPS))
     tokens = F.filter(F.split(clean, " "), lambda t: (t != "") & ~t.isin(lx.TOKEN_NOISE) & ~t.isin(lx.TOKEN_STOPWORDS))
 
     def canonical(t: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions import extract as ex
 from ..functions import lexicon as lx
 from ..functions.aliases import STREET_ALIASES, ZONE_ALIASES
 from ..functions.similarity import numbered_grams, ratio_bound, seq_ratio
-from ..functions.text import canonical_tokens, let, sanitize, sig_tokens, words_to_array
+from ..functions.text import canonical_tokens, let, sanitize, sig_tokens, words_to_array, written
 from ..session import cut
 
 #: Columns of a normalised row that rules look at.
@@ -65,7 +65,7 @@ def reasons(df: DataFrame, text: str = "clean") -> Column:
         (plot & ~zone & ~street, F.lit("MANZANA O LOTE SIN ZONA")),
         ((F.col("tipo_via") == 6) & ~_has("num_via") & ~plot, F.lit("CARRETERA SIN NUMERO")),
         (~street & ~zone & ~plot & ~units, F.lit("NADA RECONOCIDO")),
-        (outside.isNotNull(), F.concat(F.lit("FUERA DEL DISTRITO: "), outside)),
+        (F.lit(True), F.concat(F.lit("FUERA DEL DISTRITO: "), outside)),  # null without one
         (~street & (zone | plot | units) & ~(F.col("zona_id").isNotNull() & (plot | _has("piso") | units) & ~_has("num_via")), F.lit("SIN VIA")),
         (street & ~(_has("num_via") | plot | units | corner | written), F.lit("INCOMPLETA")),
         (ex.unclear_unit(t), F.lit("UNIDAD COMERCIAL NO CLARA")),
@@ -97,8 +97,12 @@ def _alias_words(names: Column, aliases: dict[str, str]) -> Column:
     """The words of all aliases whose target is one of the names, holds it or is held by it."""
     known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(t).alias("target")) for a, t in aliases.items()])
     names = F.filter(F.transform(names, lambda n: F.upper(F.trim(n))), lambda n: n != "")
-    said = let(names, lambda all_: F.filter(known, lambda a: F.exists(all_, lambda n: F.contains(n, a["target"]) | F.contains(a["target"], n))))
-    return canonical_tokens(F.array_join(F.transform(said, lambda a: a["alias"]), " "))
+    said = lambda all_: F.filter(known, lambda a: F.exists(all_, lambda n: F.contains(n, a["target"]) | F.contains(a["target"], n)))
+    # Most names have nothing to do with any alias, which one look at all targets tells.
+    targets = list(dict.fromkeys(aliases.values()))
+    related = lambda all_: F.exists(all_, lambda n: F.contains(F.lit("\n".join(targets)), n) | written(n, targets))
+    words = lambda all_: canonical_tokens(F.array_join(F.transform(said(all_), lambda a: a["alias"]), " "))
+    return let(names, lambda all_: F.when(related(all_), words(all_)).otherwise(F.array().cast("array<string>")))
 
 
 def may_be_alike(pairs: DataFrame, least: float) -> DataFrame:
@@ -123,21 +127,24 @@ def coverage(df: DataFrame, text: str = "clean", key: str = "id") -> DataFrame:
     rest = rest.where(F.abs(F.char_length("_t") - F.char_length("_u")) <= 2).select(key, "_t", "_u")
     close = may_be_alike(rest.select("_t", "_u").distinct(), 0.88).withColumn("_r", seq_ratio("_t", "_u")).where("_r >= 0.88").select("_t", "_u")
     alike = rest.join(close, ["_t", "_u"]).groupBy(key).agg(F.collect_set("_t").alias("_alike"))
-    df = df.join(alike, key, "left").withColumn("_lost", F.array_except("_left", F.coalesce("_alike", no_words)))
-    df = df.withColumn("unmatched", F.filter("raw_tokens", lambda t: F.array_contains("_lost", t)))
+    # The lost words are found once a text, not for each of its words; mostly there are none.
+    lost = F.when(F.size("_left") == 0, no_words).otherwise(F.array_except("_left", F.coalesce("_alike", no_words)))
+    unmatched = let(lost, lambda lost: F.when(F.size(lost) == 0, no_words).otherwise(F.filter("raw_tokens", lambda t: F.array_contains(lost, t))))
+    df = df.join(alike, key, "left").withColumn("unmatched", unmatched)
     n = F.size("raw_tokens")
-    return df.withColumn("coverage", F.when(n > 0, (n - F.size("unmatched")) / n).otherwise(0.0)).drop("_norm", "_left", "_alike", "_lost")
+    return df.withColumn("coverage", F.when(n > 0, (n - F.size("unmatched")) / n).otherwise(0.0)).drop("_norm", "_left", "_alike")
 
 
 def validate(df: DataFrame, text: str = "clean", key: str = "id", threshold: float = 0.85) -> DataFrame:
     """V5: score = 0.6 coverage + 0.4 ratio of the sorted words; valid from the threshold on if coverage is 0.75 or more."""
     df = coverage(df.withColumn("rebuilt", rebuilt_text()), text, key)
-    kept = F.filter("raw_tokens", lambda t: ~F.array_contains("unmatched", t))
-    df = df.withColumn("_all", F.array_join(F.array_sort("raw_tokens"), " ")).withColumn("_kept", F.array_join(F.array_sort(kept), " "))
-    # Where all words are explained both texts are the same; only the others reach Python.
+    # Where all words are explained both texts are the same; only the others are put together and reach Python.
     df = cut(df)
-    same = df.where("_all = _kept").withColumn("sequence_ratio", F.when(F.size("raw_tokens") > 0, F.lit(1.0)).otherwise(0.0))
-    df = same.union(df.where("_all != _kept").withColumn("sequence_ratio", seq_ratio("_all", "_kept"))).drop("_all", "_kept")
+    same = df.where(F.size("unmatched") == 0).withColumn("sequence_ratio", F.when(F.size("raw_tokens") > 0, F.lit(1.0)).otherwise(0.0))
+    kept = F.filter("raw_tokens", lambda t: ~F.array_contains("unmatched", t))
+    sorted_text = lambda words: F.array_join(F.sort_array(words), " ")
+    rest = df.where(F.size("unmatched") > 0)
+    df = same.union(rest.withColumn("sequence_ratio", seq_ratio(sorted_text(F.col("raw_tokens")), sorted_text(kept))))
     score = F.bround(0.6 * F.col("coverage") + 0.4 * F.col("sequence_ratio"), 3)
     df = df.withColumn("score", F.when(F.size("raw_tokens") > 0, score).otherwise(0.0))
     return df.withColumn("valid", (F.col("score") >= threshold) & (F.col("coverage") >= 0.75))

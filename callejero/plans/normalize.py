@@ -23,7 +23,18 @@ from ..session import cut
 
 def clean_texts(raw: DataFrame) -> DataFrame:
     """raw_text and clean of the distinct raw texts that are not blank; stored. Each is cleaned once, however many rows have it."""
-    return cut(raw.select("raw_text").where("trim(raw_text) != ''").distinct().withColumn("clean", sanitize(F.col("raw_text"))))
+    texts = _dealt(raw.select("raw_text").where("trim(raw_text) != ''").distinct())
+    return cut(texts.withColumn("clean", sanitize(F.col("raw_text"))))
+
+
+def addresses(cleaned: DataFrame) -> DataFrame:
+    """The distinct clean texts of clean_texts, but for ''."""
+    return _dealt(cleaned.select("clean").where("clean != ''").distinct())
+
+
+def _dealt(texts: DataFrame) -> DataFrame:
+    """The texts dealt over all cores: a short text is much work, and by their bytes a few tasks would get them."""
+    return texts.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism)
 
 
 def extract_fields(texts: DataFrame, risk: bool = True) -> DataFrame:
@@ -100,8 +111,7 @@ def match_fields(df: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool =
 def normalize(raw: DataFrame, vias: DataFrame, zonas: DataFrame, fuzzy: bool = True, check: bool = True, route: bool = True, via_aliases: DataFrame | None = None, zona_aliases: DataFrame | None = None) -> DataFrame:
     """Rows of raw (src_schema, src_table, src_row_id, raw_text) with fields, es_procesado, reasons and metodo."""
     cleaned = clean_texts(raw)
-    texts = cleaned.select("clean").where("clean != ''").distinct()
-    df = cut(settle_roles(cut(extract_fields(texts, risk=route)), vias, zonas))
+    df = cut(settle_roles(cut(extract_fields(addresses(cleaned), risk=route)), vias, zonas))
     df = cut(ro.with_streets(cut(match_fields(df, vias, zonas, fuzzy, via_aliases, zona_aliases)), vias, zonas))
     df = va.settle_zone(df)
     df = df.withColumn("reasons", va.reasons(df))

@@ -685,9 +685,9 @@ def _(t):
 
 @query("v5_validate")
 def _(t):
-    from .plans.normalize import match_fields
+    from .plans.normalize import addresses, clean_texts, match_fields
 
-    df = cut(extract_fields(cut(clean(t).select("clean")).where("clean != ''").distinct()))
+    df = cut(extract_fields(addresses(clean_texts(t["raw_addresses"])), risk=False))
     df = va.validate(cut(match_fields(df, t["via_catalog"], t["zona_catalog"], fuzzy=False)))
     return df.select("clean", "score", F.round("coverage", 6).alias("coverage"), F.round("sequence_ratio", 6).alias("ratio"), "valid", F.array_join("unmatched", " ").alias("unmatched"))
 

@@ -32,3 +32,8 @@ def test_fields_without_risk_are_the_same(spark, risk):
     df = spark.createDataFrame([("CALLE GRAU N° 12 - CHICLAYO",)], "clean string")
     row = nm.extract_fields(df, risk=risk).first()
     assert ("risk" in row.asDict()) is risk and row["num_via"] == "12" and row["metodo"] == "HEURISTICA"
+
+
+def test_texts_are_dealt_over_all_cores(spark):
+    raw = spark.createDataFrame([(f"CALLE GRAU {i}",) for i in range(200)], "raw_text string")
+    assert nm.addresses(nm.clean_texts(raw)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # one where bytes decided
