@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -100,3 +101,29 @@ def test_blocks_skip(spark):
     assert jaccard_join._block_pairs(index.where("_h = 7"), 80, 64).count() == 500 * 100
     far = index.where("_h = 7").withColumn("_rank", F.when(F.col("_root") == 2, 90).otherwise(3).cast("long"))
     assert jaccard_join._block_pairs(far, 80, 64).count() == 0
+
+
+def test_lone_shingles_are_only_counted(spark):
+    """Shingles that no other set holds aren't listed, copies in a partition list none, and places stay those in the whole order."""
+    texts = [f"{' '.join(f't{i}w{k}' for k in range(100))} same tail of these words" for i in range(3)]
+    rows = [(i, texts[i % 3]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("_key", jaccard_join._key())
+    counts = jaccard_join.shingle_counts(docs.limit(3), 5)
+    assert counts.max() == 3 and (counts > 0).sum() == 3 * 100 + 1
+    packed = spark.sparkContext.broadcast(zlib.compress(counts.tobytes()))
+    signed = docs.mapInArrow(jaccard_join._sign(5, 0, packed), "doc_id long, _key binary, _class binary, _size long, _alone int, _prefix array<long>")
+    found = {r["doc_id"]: (r["_size"], r["_alone"], len(r["_prefix"])) for r in signed.collect()}
+    assert found == {i: (101, 100, 1) if i < 3 else (101, 0, 0) for i in range(6)}
+
+
+def test_many_keys_shuffle_few_other_texts(spark, folder, monkeypatch):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).withColumn("_key", jaccard_join._key())
+    keys = docs.where("doc_id % 10 = 3").select(F.col("doc_id").alias("_c"), "_key")
+    left = {r["doc_id"] for r in jaccard_join._marked(docs, keys).collect()}
+    assert left >= set(range(3, 5000, 10)) and len(left) < 510
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
+    assert sorted(tuple(r) for r in jaccard_join._texts(docs.union(docs), keys).collect()) == [(i, f"text {i}") for i in range(3, 5000, 10)]
+    monkeypatch.setattr(jaccard_join, "LEAST_CELLS", 1 << 16)
+    monkeypatch.setattr(jaccard_join, "MOST_CELLS", 1 << 16)
+    found = similar_sets(spark.read.parquet(f"{folder}/documents.parquet"), 2, 80, 1)
+    assert sorted((tuple(r)[:3] for r in found.collect()), key=str) == brute(rows(), 2, 80)
